@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from lucarne.functions.vocabulary import FALSE_MARKERS, LENIENT_TRUE_MARKERS, MONTHS, TRUE_MARKERS
 
-# Patterns tried in turn, the first that parses wins.
-DATE_PATTERNS = ["yyyy-M-d", "d-M-yyyy", "M-d-yyyy"]
-NAMED_DATE_PATTERNS = ["M-yyyy-d", "d-M-yyyy", "yyyy-M-d"]
-TIMESTAMP_PATTERNS = [
-    "yyyy-M-d H:m:s",
-    "d-M-yyyy H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.[SSSSSS][SSS][S]",
-    "yyyy-M-d H:m",
+# Accepted spellings, tried in turn, the first valid one wins. Each is a shape and
+# the rewriting that turns it into year-month-day, which Spark casts without a formatter.
+DATE_SHAPES = [
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+]
+NAMED_DATE_SHAPES = [
+    (r"^(\d{1,2})-(\d{4})-(\d{1,2})$", "$2-$1-$3"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
+]
+_CLOCK = r"(\d{1,2}:\d{1,2}:\d{1,2})"
+TIMESTAMP_SHAPES = [
+    (rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}}) {_CLOCK}$", "$1 $2"),
+    (rf"^(\d{{1,2}})-(\d{{1,2}})-(\d{{4}}) {_CLOCK}$", "$3-$2-$1 $4"),
+    (rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})T{_CLOCK}$", "$1 $2"),
+    (rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}}) {_CLOCK}(\.\d{{1,9}})$", "$1 $2$3"),
+    (r"^(\d{4}-\d{1,2}-\d{1,2}) (\d{1,2}:\d{1,2})$", "$1 $2:00"),
 ]
 UNIX_MILLIS_ABOVE = 10**11
 
@@ -36,34 +46,36 @@ def to_boolean_strict(c: Column) -> Column:
     return F.when(text.isin(TRUE_MARKERS), F.lit(True)).when(text.isin(FALSE_MARKERS), F.lit(False))
 
 
-def _shaped_date(text: Column, pattern: str) -> Column:
-    # Years must have exactly four digits: the parser alone would also take "2024-1-5-"-like
-    # or five-digit forms under a lenient year width.
-    digits = {"yyyy": r"\d{4}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
-    shape = "^" + "-".join(digits[part] for part in pattern.split("-")) + "$"
-    return F.when(text.rlike(shape), F.try_to_date(text, pattern))
+def _first_shape(text: Column, shapes: list[tuple[str, str]], target: str) -> Column:
+    return F.coalesce(*[
+        F.when(text.rlike(shape), F.regexp_replace(text, shape, order).try_cast(target)) for shape, order in shapes
+    ])
+
+
+def _months_as_numbers(text: Column) -> Column:
+    """Lower-cased words that name a month, at their first occurrence, become its number."""
+    months = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])
+    words = F.split(F.lower(text), r"(?U)\b")
+    def numbered(word: Column, i: Column) -> Column:
+        return F.when(F.array_position(words, word) == i + 1, F.coalesce(F.try_element_at(months, word), word)).otherwise(word)
+
+    return F.array_join(F.transform(words, numbered), "")
 
 
 def to_date(c: Column) -> Column:
     """Dates written with ``- / .`` or blanks, then dates with a French or English month name (TYP-5)."""
     text = trimmed(c)
-    plain = F.regexp_replace(text, r"[/.\s]", "-")
-    named = F.lower(text)
-    for name, number in MONTHS.items():
-        named = F.regexp_replace(named, rf"(?U)\b{name}\b", number)
-    named = F.regexp_replace(F.regexp_replace(named, r"[\s/.]+", "-"), r"^-+|-+$", "")
-    attempts = [_shaped_date(plain, p) for p in DATE_PATTERNS]
-    # Month words only matter where there are letters; the guard keeps the folded
-    # replacements off the purely numeric cells.
-    has_letter = text.rlike(r"\p{L}")
-    attempts += [F.when(has_letter, _shaped_date(named, p)) for p in NAMED_DATE_PATTERNS]
-    return F.coalesce(*attempts)
+    plain = _first_shape(F.regexp_replace(text, r"[/.\s]", "-"), DATE_SHAPES, "date")
+    numbered = F.regexp_replace(F.regexp_replace(_months_as_numbers(text), r"[\s/.]+", "-"), r"^-+|-+$", "")
+    # The one-element transform evaluates the replaced text once for all three shapes; cells
+    # without a letter never get there.
+    named = F.get(F.transform(F.array(numbered), lambda t: _first_shape(t, NAMED_DATE_SHAPES, "date")), F.lit(0))
+    return F.coalesce(plain, F.when(text.rlike(r"\p{L}"), named))
 
 
 def to_timestamp(c: Column) -> Column:
-    """Date and time, five spellings after ``/`` became ``-`` (TYP-6)."""
-    text = F.regexp_replace(trimmed(c), "/", "-")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in TIMESTAMP_PATTERNS])
+    """Date and time, five spellings after ``/`` became ``-`` (TYP-6); wall-clock, without zone."""
+    return _first_shape(F.regexp_replace(trimmed(c), "/", "-"), TIMESTAMP_SHAPES, "timestamp_ntz")
 
 
 def unix_to_timestamp(c: Column) -> Column:
@@ -116,5 +128,5 @@ def recast(c: Column, dtype: str, target: str, through_text: bool = False) -> Co
     if target == "Date":
         return c.cast("date") if dtype in TEMPORAL else to_date(c)
     if target == "Datetime":
-        return c.cast("timestamp_ntz") if dtype in TEMPORAL else to_timestamp(c).cast("timestamp_ntz")
+        return c.cast("timestamp_ntz") if dtype in TEMPORAL else to_timestamp(c)
     raise ValueError(f"unknown target type {target!r}")
