@@ -38,9 +38,15 @@ def log_base(x: Column, base: float = 10.0) -> Column:
 
 
 def round_half_even(x: Column, decimals: int = 0) -> Column:
-    """Round to ``decimals``, ties to the even digit; NaN and Infinity pass through (EXP-7)."""
-    finite = ~F.isnan(x) & (F.abs(x) != INF)
-    return F.when(finite, F.bround(x, decimals)).otherwise(x)
+    """Round to ``decimals``, ties of the scaled value to even; NaN and Infinity pass through (EXP-7).
+
+    The value is scaled first, unlike in ``bround``, which looks for ties in the decimal text.
+    """
+    if decimals == 0:
+        return F.rint(x)
+    scale = F.lit(10.0 ** decimals)
+    scaled = x * scale
+    return F.when(F.abs(scaled) == INF, x).otherwise(F.rint(scaled) / scale)
 
 
 def is_bad(x: Column) -> Column:
