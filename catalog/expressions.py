@@ -35,7 +35,7 @@ def calc_div_safe(spark, sf):
 def calc_log(spark, sf):
     df = _lines(spark, sf)
     parts = {"a": "LOG(l_extendedprice)", "b": "ln(l_quantity)", "c": "LOG(l_quantity, 2)", "d": "EXP(l_tax)", "e": "SQRT(ABS(l_discount - l_tax))"}
-    return df.select(*KEY, *[F.bround(formula(f, df.columns), 8).alias(n) for n, f in parts.items()])
+    return df.select(*KEY, *[F.bround(formula(f, df.columns), 6).alias(n) for n, f in parts.items()])
 
 
 def calc_round(spark, sf):
@@ -72,8 +72,8 @@ QUERIES = {
 SELECT {_K}, CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'nan' WHEN l_tax = 0 THEN 'inf' ELSE 'finite' END AS kind,
        CASE WHEN l_tax <> 0 THEN l_discount / l_tax END AS ratio FROM lineitem"""),
     "calc_log": (calc_log, f"""
-SELECT {_K}, round(log10(l_extendedprice), 8) AS a, round(ln(l_quantity), 8) AS b, round(log2(l_quantity), 8) AS c,
-       round(exp(l_tax), 8) AS d, round(sqrt(abs(l_discount - l_tax)), 8) AS e FROM lineitem"""),
+SELECT {_K}, round(log10(l_extendedprice), 6) AS a, round(ln(l_quantity), 6) AS b, round(log2(l_quantity), 6) AS c,
+       round(exp(l_tax), 6) AS d, round(sqrt(abs(l_discount - l_tax)), 6) AS e FROM lineitem"""),
     "calc_round": (calc_round, f"SELECT {_K}, round_even(l_extendedprice * l_discount / 7, 2) AS two, round_even(l_extendedprice / 3, 0) AS none FROM lineitem"),
     "calc_force": (calc_force, f"SELECT {_K}, CASE WHEN l_discount > 0 AND l_tax > 0 THEN round(ln(l_discount) / l_tax, 6) END AS x FROM lineitem"),
     "calc_check": (calc_check, """

@@ -68,7 +68,7 @@ def detect_encoding(spark, sf):
     found = []
     for encoding in ("UTF-8", "ISO-8859-1"):
         path = scratch(spark)
-        docs.write.options(encoding=encoding, header=True).csv(path)
+        docs.write.options(encoding=encoding).csv(path)
         seen = detection.detect_encoding(spark, path).select("encoding", "has_bom").distinct()
         found.append(seen.withColumn("written", F.lit(encoding)))
     return found[0].unionByName(found[1])

@@ -59,6 +59,45 @@ def finite_or_null(x: Column) -> Column:
     return F.when(~is_bad(x), x)
 
 
+def _scaled_floor(x: Column, decimals: int) -> Column:
+    """``|x| * 10^decimals`` rounded half-even on the exact binary value, for 1 or 2 decimals.
+
+    Whether the fraction lies above or below a tie c / (2 * 10^decimals) is decided without error:
+    20 and 200 are split into powers of two, and close to the tie every difference taken below is
+    between numbers within a factor of two, hence exact.
+    """
+    size = F.abs(x)
+    whole = F.floor(size).cast("double")
+    part = size - whole
+    step = 10.0 ** decimals
+    digit = F.floor(part * step).cast("double")
+    tie = digit * 2 + 1
+    if decimals == 1:
+        above = (part * 16 - tie) + part * 4
+    elif decimals == 2:
+        above = ((part * 128 - tie) + part * 64) + part * 8
+    else:
+        raise ValueError("only 1 or 2 decimals")
+    up = (above > 0) | ((above == 0) & (digit % 2 == 1))
+    return whole * step + digit + F.when(up, 1.0).otherwise(0.0)
+
+
+EXACT_BELOW = float(2**43)    # scaled values stay below 2^53
+
+
+def round_exact(x: Column, decimals: int) -> Column:
+    """Round as Python does: half-even on the binary value, not on its decimal text."""
+    rounded = F.signum(x) * _scaled_floor(x, decimals) / 10.0 ** decimals
+    return F.when(F.abs(x) < EXACT_BELOW, rounded).otherwise(F.bround(x, decimals))
+
+
+def one_decimal(x: Column) -> Column:
+    """A non-negative number as text with one decimal, rounded as ``round_exact`` does."""
+    tenths = _scaled_floor(x, 1).cast("bigint")
+    text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(F.abs(x) < EXACT_BELOW, text).otherwise(F.format_string("%.1f", x))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to one decimal, half-even; 0 for an empty whole."""
-    return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, round_exact(part / whole * 100, 1)).otherwise(F.lit(0.0))

@@ -28,6 +28,7 @@ TIMESTAMP_SHAPES = [
     (r"^(\d{4}-\d{1,2}-\d{1,2}) (\d{1,2}:\d{1,2})$", "$1 $2:00"),
 ]
 UNIX_MILLIS_ABOVE = 10**11
+LONGEST_NAMED_DATE = 24    # two nine-letter months, a year, two separators
 
 
 def trimmed(c: Column) -> Column:
@@ -66,11 +67,15 @@ def to_date(c: Column) -> Column:
     """Dates written with ``- / .`` or blanks, then dates with a French or English month name (TYP-5)."""
     text = trimmed(c)
     plain = _first_shape(F.regexp_replace(text, r"[/.\s]", "-"), DATE_SHAPES, "date")
-    numbered = F.regexp_replace(F.regexp_replace(_months_as_numbers(text), r"[\s/.]+", "-"), r"^-+|-+$", "")
-    # The one-element transform evaluates the replaced text once for all three shapes; cells
-    # without a letter never get there.
-    named = F.get(F.transform(F.array(numbered), lambda t: _first_shape(t, NAMED_DATE_SHAPES, "date")), F.lit(0))
-    return F.coalesce(plain, F.when(text.rlike(r"\p{L}"), named))
+    # Separators first: what is left of a date is at most two month names and a year, so longer
+    # cells (whole documents) are ruled out before their words are looked up.
+    joined = F.regexp_replace(F.regexp_replace(text, r"[\s/.]+", "-"), r"^-+|-+$", "")
+    # The one-element transform evaluates the replaced text once for all three shapes.
+    named = F.get(F.transform(
+        F.array(_months_as_numbers(joined)), lambda t: _first_shape(t, NAMED_DATE_SHAPES, "date")
+    ), F.lit(0))
+    worth_it = (F.length(joined) <= LONGEST_NAMED_DATE) & joined.rlike(r"\p{L}")
+    return F.coalesce(plain, F.when(worth_it, named))
 
 
 def to_timestamp(c: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lucarne.functions.arithmetic import one_decimal
 from lucarne.functions.casts import is_numeric_type
 from lucarne.functions.vocabulary import (
     METHOD_LABELS, ROW_SEVERITY, ROW_SEVERITY_ELSE, SENSITIVITY, TABLE_SEVERITY, TABLE_SEVERITY_ELSE,
@@ -122,8 +123,8 @@ def score_label(name: Column, value: Column, median: Column) -> Column:
     return (
         F.when(name.isNull(), "Déviation détectée")
         .when(ratio.isNull(), F.concat(F.lit("Valeur atypique sur "), name))
-        .when(ratio >= 2, F.format_string("×%.1f la médiane", ratio))
-        .otherwise(F.format_string("%.0f%% d'écart à la médiane", apart))
+        .when(ratio >= 2, F.concat(F.lit("×"), one_decimal(ratio), F.lit(" la médiane")))
+        .otherwise(F.concat(F.rint(apart).cast("bigint").cast("string"), F.lit("% d'écart à la médiane")))
     )
 
 

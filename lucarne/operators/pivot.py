@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucarne.functions.arithmetic import finite_or_null
+from lucarne.functions.arithmetic import finite_or_null, round_exact
 from lucarne.functions.casts import is_numeric_type
 from lucarne.functions.vocabulary import PIVOT_SEPARATOR, PIVOT_WIDTH
 from lucarne.operators.cleaning import cell
@@ -112,7 +112,7 @@ def pivot(
     def shown(header: str) -> Column:
         if headers[header] == "count":
             return cell(header)
-        return F.bround(finite_or_null(cell(header)), 2).alias(header)
+        return round_exact(finite_or_null(cell(header)), 2).alias(header)
 
     table = table.select(*[cell(r) for r in rows], *[shown(h) for h in headers])
     result = table.withColumn("is_total", F.lit(False))
@@ -121,7 +121,7 @@ def pivot(
             total = spread(keyed, []).select(*[shown(h) for h in headers])
         else:
             total = table.agg(*[
-                (F.sum(cell(h)) if a == "count" else F.bround(F.sum(cell(h)), 2)).alias(h)
+                (F.sum(cell(h)) if a == "count" else round_exact(F.sum(cell(h)), 2)).alias(h)
                 for h, a in headers.items()
             ])
         result = result.select(
