@@ -98,7 +98,11 @@ def _bracketed(
     if not groups:
         return {}
     spark = long.sparkSession
-    while any(g["inside"] > max(group_rows, small) for g in groups.values()):
+    # Each round leaves about 8 / GRID of a bracket per rank. It stops paying only when the ranks
+    # lie so close together that their brackets join up.
+    limit, last = max(group_rows, small), _INF
+    while limit < (fullest := max(g["inside"] for g in groups.values())) < last:
+        last = fullest
         _narrow(spark, long, groups, accuracy)
     found = _select(spark, long, groups)
     result = {}
@@ -197,8 +201,9 @@ def _narrow(spark: SparkSession, long: DataFrame, groups: dict, accuracy: int) -
     )
     held = {(r["g"], r["cell"], r["place"]): r for r in cells}
     for g, info in groups.items():
-        before, shrunk, largest = 0, [], 0
+        before, shrunk, total = 0, [], 0
         for i, (lo, hi, ranks) in enumerate(info["intervals"]):
+            left = 0
             n_gap, n_lo, n_mid, n_hi = (held[g, i, p]["c"] if (g, i, p) in held else 0 for p in range(4))
             before += n_gap
             if ranks[0] < before or ranks[-1] >= before + n_lo + n_mid + n_hi:
@@ -214,7 +219,8 @@ def _narrow(spark: SparkSession, long: DataFrame, groups: dict, accuracy: int) -
                     at = within / n_mid * GRID
                     a, b = math.floor(at - reach), math.ceil(at + reach)
                     shrunk.append((lo if a <= 0 else marks[a], hi if b >= GRID else marks[b], [r]))
-                    largest += math.ceil(n_mid * (2 * reach + 2) / GRID)
+                    left += math.ceil(n_mid * (2 * reach + 2) / GRID)
+            total += min(n_mid, left)
             before += n_lo + n_mid + n_hi
         info["intervals"] = _merge(shrunk)
-        info["inside"] = largest
+        info["inside"] = total
