@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import table, union_all
 from lucarne.functions import casts
 from lucarne.operators import cleaning, inference
+from lucarne.session import small_table
 
 # Month names used to spell the order dates, and the SQL that spells them alike.
 FRENCH = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
@@ -165,7 +166,7 @@ def table_gaps(spark, sf):
     """Rows and cells per column behind the table check."""
     df = cleaning.validate_table(table(spark, sf, "orders").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW"))))
     counts = cleaning.null_counts(df)
-    return spark.createDataFrame([(c, counts[""], counts[c]) for c in df.columns], "column string, rows bigint, cells bigint")
+    return small_table(spark, [(c, counts[""], counts[c]) for c in df.columns], "column string, rows bigint, cells bigint")
 
 
 _CASES = "CASE event_type WHEN 'click' THEN true WHEN 'error' THEN false WHEN 'purchase' THEN true WHEN 'signup' THEN {other} END"

@@ -24,10 +24,11 @@ from lucarne.operators.filters import ordering
 from lucarne.operators.inference import semantic_types
 from lucarne.operators.profile import numeric_columns
 from lucarne.operators.quantiles import LINEAR, NEAREST, exact_quantiles, long_numbers
-from lucarne.session import stage
+from lucarne.session import small_table, stage
 
 TOP_CONTRIBUTORS = 2
 TOP_COLUMNS = 5
+SPREAD_BELOW = 5_000_000
 
 
 def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
@@ -39,7 +40,7 @@ def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
     names = [c for c in df.columns if c in kinds]
     schema = "column string, type string, count bigint, pct double, severity string"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     quartiles = exact_quantiles(long_numbers(df, names), [0.25, 0.75], NEAREST)
     outside = []
     for c in names:
@@ -52,7 +53,7 @@ def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
         (c, kinds[c], count, round(count / n * 100, 1), "high" if count > n * 0.05 else "medium")
         for c, count in zip(names, row[1:]) if count
     ]
-    return df.sparkSession.createDataFrame(rows, schema)
+    return small_table(df.sparkSession, rows, schema)
 
 
 @dataclass
@@ -174,7 +175,7 @@ class Detection:
     def normal_ranges(self) -> DataFrame:
         """Median and quartiles of every analysed column (ANO-9)."""
         rows = [(c, n.median, n.q1, n.q3) for c, n in self.norms.items()]
-        return self.anomalies.sparkSession.createDataFrame(rows, "column string, median double, q1 double, q3 double")
+        return small_table(self.anomalies.sparkSession, rows, "column string, median double, q1 double, q3 double")
 
 
 def _flagged(
@@ -268,6 +269,9 @@ def _isolation_forest(df, key, columns, known, contamination: float, n: int) ->
     the flagged rows are then scored again on the way out instead of writing the table a second time.
     """
     spark = df.sparkSession
+    if n <= SPREAD_BELOW:
+        # A small table may sit in one file block; scoring is heavy enough to deal it out first.
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     scaled = robust_scaled(df, columns, known, n)
     features = df.select(*[s.alias(f"f{i}") for i, s in enumerate(scaled)])
     grown = iforest.fit(features, features.columns, n)

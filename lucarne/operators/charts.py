@@ -15,6 +15,7 @@ from lucarne.functions.vocabulary import (
 from lucarne.operators.cleaning import cell
 from lucarne.operators.filters import apply_filters, drop_nulls, ordering
 from lucarne.operators.quantiles import exact_quantiles
+from lucarne.session import small_table
 
 CHART_TYPES = ("bar", "line", "area", "pie", "scatter", "boxplot")
 
@@ -86,7 +87,7 @@ def _boxes(df: DataFrame, x: str, y: str, filters: Mapping[str, Any] | None, lim
         reach = 1.5 * (q3 - q1)
         fences.append((name, n, q1, q2, q3, q1 - reach, q3 + reach))
     schema = "category string, n bigint, q1 double, q2 double, q3 double, low double, high double"
-    return points, df.sparkSession.createDataFrame(fences, schema)
+    return points, small_table(df.sparkSession, fences, schema)
 
 
 def boxplot(

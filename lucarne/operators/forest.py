@@ -72,13 +72,15 @@ class Forest:
         """Anomaly score per row in (-1, 0], lower is more isolated."""
         count = len(points)
         flat = np.ascontiguousarray(points.T).ravel()    # one column after the other
-        row = np.arange(count)
+        row = np.arange(count, dtype=np.int32)
         total = np.zeros(count)
-        for feature, threshold, path in zip(self.feature * count, self.threshold, self.path):
-            at = np.zeros(count, dtype=np.int64)
+        for feature, threshold, path in zip(self.feature * np.int32(count), self.threshold, self.path):
+            at = np.zeros(count, dtype=np.int32)
             for _ in range(self.depth):
                 above = flat.take(feature.take(at) + row) > threshold.take(at)
-                at = 2 * at + 1 + above
+                at += at
+                at += 1
+                at += above
             total += path.take(at)
         mean_path = total / len(self.feature)
         whole = float(expected_path(self.subsample))
@@ -88,7 +90,7 @@ class Forest:
 def assemble(nodes: pd.DataFrame, trees: int, depth: int, subsample: int) -> Forest:
     """Node rows to arrays; below a leaf every row keeps going left, to a copy of its path length."""
     size = 2 ** (depth + 1) - 1
-    feature = np.zeros((trees, size), dtype=np.int64)
+    feature = np.zeros((trees, size), dtype=np.int32)
     threshold = np.full((trees, size), np.inf)
     path = np.zeros((trees, size))
     for t, n, f, thr, p in nodes.itertuples(index=False):

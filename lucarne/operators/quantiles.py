@@ -10,11 +10,14 @@ values inside the (narrow) brackets is shuffled. Brackets still too full are nar
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lucarne.session import small_table
+
 ACCURACY = 10_000        # sketch: rank error at most n / ACCURACY
 GROUP_ROWS = 1_000_000   # values of one group that may meet in one task
 GRID = 1_024             # marks per narrowing round
@@ -49,7 +52,7 @@ def long_numbers(df: DataFrame, columns: list[str], key: str = "column", value:
 
 def exact_quantiles(
     long: DataFrame,
-    probs: list[float],
+    probs: Sequence[float | tuple[float, str]],
     kind: str = NEAREST,
     key: str = "column",
     value: str = "value",
@@ -58,22 +61,23 @@ def exact_quantiles(
 ) -> dict[str, tuple[int, list[float]]]:
     """``{group: (n, [quantile per prob])}`` for a *bounded* number of groups (columns, boxes).
 
-    ``long`` holds non-null doubles. Two jobs for up to about ``group_rows * accuracy / 8`` values
+    A prob may be paired with a kind of its own. ``long`` holds non-null doubles. Two jobs for up to about ``group_rows * accuracy / 8`` values
     per group, one more for each further factor of about 300.
     """
     long = long.select(F.col(key).alias("g"), F.col(value).alias("v"))
+    wanted = [p if isinstance(p, tuple) else (p, kind) for p in probs]
     for widen in (3.0, 30.0, 300.0):
         try:
-            return _bracketed(long, probs, kind, accuracy, group_rows, widen / accuracy)
+            return _bracketed(long, wanted, accuracy, group_rows, widen / accuracy)
         except _Missed:
             continue
     raise RuntimeError("quantile brackets missed their ranks three times")
 
 
 def _bracketed(
-    long: DataFrame, probs: list[float], kind: str, accuracy: int, group_rows: int, margin: float
+    long: DataFrame, wanted: list[tuple[float, str]], accuracy: int, group_rows: int, margin: float
 ) -> dict[str, tuple[int, list[float]]]:
-    marks = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-margin, margin)})
+    marks = sorted({min(1.0, max(0.0, q + d)) for q, _ in wanted for d in (-margin, margin)})
     sketch = (
         long.groupBy("g")
         .agg(F.count("v").alias("n"), F.percentile_approx("v", marks, accuracy).alias("m"))
@@ -83,13 +87,13 @@ def _bracketed(
     groups: dict[str, dict] = {}
     for row in sketch:
         n = row["n"]
-        ranks = sorted({k for q in probs for k in _position(n, q, kind)[:2]})
+        ranks = sorted({k for q, kind in wanted for k in _position(n, q, kind)[:2]})
         if n <= small:
             intervals = [(-_INF, _INF, ranks)]
         else:
             at = dict(zip(marks, row["m"]))
             intervals = []
-            for q in probs:
+            for q, kind in wanted:
                 lo = -_INF if q - margin <= 0 else at[max(0.0, q - margin)]
                 hi = _INF if q + margin >= 1 else at[min(1.0, q + margin)]
                 intervals.append((lo, hi, sorted(set(_position(n, q, kind)[:2]))))
@@ -108,7 +112,7 @@ def _bracketed(
     result = {}
     for g, info in groups.items():
         values = []
-        for q in probs:
+        for q, kind in wanted:
             lo, hi, w = _position(info["n"], q, kind)
             a, b = found[g][lo], found[g][hi]
             values.append(a if w == 0.0 or a == b else a + (b - a) * w)
@@ -143,7 +147,7 @@ def _placed(spark: SparkSession, long: DataFrame, groups: dict) -> DataFrame:
     or by the caller's category limit.
     """
     rows = [(g, [i[0] for i in info["intervals"]], [i[1] for i in info["intervals"]]) for g, info in groups.items()]
-    brackets = F.broadcast(spark.createDataFrame(rows, _BRACKETS))
+    brackets = F.broadcast(small_table(spark, rows, _BRACKETS))
     width = max(len(r[1]) for r in rows)
     joined = long.join(brackets, "g")
     v, cell, place = F.col("v"), F.lit(0), F.lit(0)
@@ -166,11 +170,10 @@ def _select(spark: SparkSession, long: DataFrame, groups: dict) -> dict[str, dic
     # A group's rows here are bounded by its bracket contents, checked before this is called.
     order = Window.partitionBy("g").orderBy("cell", F.col("v").asc_nulls_first())
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = spark.createDataFrame(
-        [(g, r) for g, info in groups.items() for i in info["intervals"] for r in i[2]], "g string, r bigint"
-    )
+    ranks = [(g, sorted({r for i in info["intervals"] for r in i[2]})) for g, info in groups.items()]
+    wanted = small_table(spark, ranks, "g string, rs array<bigint>")
     hits = (
-        running.join(F.broadcast(wanted.groupBy("g").agg(F.collect_list("r").alias("rs"))), "g")
+        running.join(F.broadcast(wanted), "g")
         .withColumn("rs", F.filter("rs", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))))
         .filter(F.size("rs") > 0)
         .select("g", "v", F.explode("rs").alias("r"))

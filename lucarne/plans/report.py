@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucarne.functions.arithmetic import percent
 from lucarne.functions.casts import TEMPORAL, is_numeric_type
 from lucarne.operators import profile
 from lucarne.operators.inference import semantic_types
+from lucarne.session import small_table
 
 
 @dataclass
@@ -32,7 +34,8 @@ def column_report(df: DataFrame) -> ColumnReport:
 
     A numeric column without a clear type is treated as continuous, any other one as categorical.
     """
-    kinds = {r["column"]: (r["semantic_type"], r["dtype"]) for r in semantic_types(df).collect()}
+    types = semantic_types(df)
+    kinds = {r["column"]: (r["semantic_type"], r["dtype"]) for r in types.collect()}
 
     def of(*wanted: str) -> list[str]:
         return [c for c in df.columns if kinds[c][0] in wanted]
@@ -41,9 +44,9 @@ def column_report(df: DataFrame) -> ColumnReport:
     temporal = [c for c in of("date", "datetime") if kinds[c][1] in TEMPORAL]
     grouped = of("categorical") + [c for c in of("numeric", "discrete") if c not in numeric]
     grouped += [c for c in of("date", "datetime") if c not in temporal]
-    base = profile.base_stats(df)
+    base = profile.base_stats(df, types=types)
     stats = profile.numeric_stats(df, numeric)
-    nulls = profile.base_counts(df).select("column", "null_pct")
+    nulls = types.select("column", percent(F.col("nulls"), F.col("count")).alias("null_pct"))
     return ColumnReport(
         base=base,
         numeric=stats,
@@ -58,4 +61,4 @@ def column_report(df: DataFrame) -> ColumnReport:
 
 
 def _none(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "column string")
+    return small_table(df.sparkSession, [], "column string")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def get_session(app_name: str = "lucarne", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,6 +36,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of a few known rows as a local relation: no tasks, and the optimizer folds it in."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(struct)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=struct)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The cluster's shared folder, or a local one where none is named (tests, local mode)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
