@@ -156,7 +156,7 @@ QUERIES = {
     "iqr_screen": (screen, f"""
 WITH s AS (SELECT {nearest_sql('events', 'value', 0.25)} AS q1, {nearest_sql('events', 'value', 0.75)} AS q3),
 c AS (SELECT count(*) AS n, count(*) FILTER (WHERE value < q1 - 1.5*(q3-q1) OR value > q3 + 1.5*(q3-q1)) AS k FROM events, s)
-SELECT 'value' AS "column", 'continuous' AS type, k AS count, round_even(k*1.0/n*100, 1) AS pct,
+SELECT 'value' AS "column", 'continuous' AS type, k AS count, CAST(printf('%.1f', k*1.0/n*100) AS DOUBLE) AS pct,
        CASE WHEN k > 0.05*n THEN 'high' ELSE 'medium' END AS severity FROM c WHERE k > 0"""),
     "zscore_rows": (zscore_rows, _rows_sql("events", "zscore", 3.0)),
     "zscore_gaps": (zscore_gaps, _rows_sql(_GAPPY, "zscore", 2.5)),

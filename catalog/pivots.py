@@ -64,14 +64,14 @@ def pivot_null_groups(spark, sf):
 _FLAG = """
 WITH t AS (
   SELECT l_returnflag,
-    round(sum(l_extendedprice) FILTER (WHERE l_linestatus='F'), 2) AS sum_price_f,
-    round(sum(l_extendedprice) FILTER (WHERE l_linestatus='O'), 2) AS sum_price_o,
-    round(avg(l_discount) FILTER (WHERE l_linestatus='F'), 2) AS mean_discount_f,
-    round(avg(l_discount) FILTER (WHERE l_linestatus='O'), 2) AS mean_discount_o
+    CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='F')) AS DOUBLE) AS sum_price_f,
+    CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='O')) AS DOUBLE) AS sum_price_o,
+    CAST(printf('%.2f', avg(l_discount) FILTER (WHERE l_linestatus='F')) AS DOUBLE) AS mean_discount_f,
+    CAST(printf('%.2f', avg(l_discount) FILTER (WHERE l_linestatus='O')) AS DOUBLE) AS mean_discount_o
   FROM lineitem WHERE l_linestatus IN ('O','F') GROUP BY 1)
 SELECT *, false AS is_total FROM t
-UNION ALL SELECT 'TOTAL', round(sum(sum_price_f), 2), round(sum(sum_price_o), 2),
-  round(sum(mean_discount_f), 2), round(sum(mean_discount_o), 2), true FROM t"""
+UNION ALL SELECT 'TOTAL', CAST(printf('%.2f', sum(sum_price_f)) AS DOUBLE), CAST(printf('%.2f', sum(sum_price_o)) AS DOUBLE),
+  CAST(printf('%.2f', sum(mean_discount_f)) AS DOUBLE), CAST(printf('%.2f', sum(mean_discount_o)) AS DOUBLE), true FROM t"""
 
 _MULTI = [f"{s}_{i}" for s in "fo" for i in range(1, 8)]
 _MULTI_SQL = (
@@ -87,29 +87,29 @@ _MULTI_SQL = (
 QUERIES = {
     "flagship_pivot": (flagship, _FLAG),
     "pivot_single": (pivot_single, """
-SELECT l_returnflag, round(sum(l_extendedprice) FILTER (WHERE l_linestatus='F'), 2) AS f,
-       round(sum(l_extendedprice) FILTER (WHERE l_linestatus='O'), 2) AS o, false AS is_total
+SELECT l_returnflag, CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='F')) AS DOUBLE) AS f,
+       CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='O')) AS DOUBLE) AS o, false AS is_total
 FROM lineitem GROUP BY 1"""),
     "pivot_multi_key": (pivot_multi_key, _MULTI_SQL),
     "pivot_totals": (pivot_totals, """
 WITH t AS (
-  SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 2) AS mean_discount,
-         round(max(l_quantity), 2) AS max_quantity, round(min(l_tax), 2) AS min_tax, count(*) AS n
+  SELECT l_returnflag, l_linestatus, CAST(printf('%.2f', sum(l_extendedprice)) AS DOUBLE) AS sum_price, CAST(printf('%.2f', avg(l_discount)) AS DOUBLE) AS mean_discount,
+         CAST(printf('%.2f', max(l_quantity)) AS DOUBLE) AS max_quantity, CAST(printf('%.2f', min(l_tax)) AS DOUBLE) AS min_tax, count(*) AS n
   FROM lineitem GROUP BY 1, 2)
 SELECT *, false AS is_total FROM t
-UNION ALL SELECT 'TOTAL', '', round(sum(sum_price), 2), round(sum(mean_discount), 2), round(sum(max_quantity), 2),
-  round(sum(min_tax), 2), CAST(sum(n) AS BIGINT), true FROM t"""),
+UNION ALL SELECT 'TOTAL', '', CAST(printf('%.2f', sum(sum_price)) AS DOUBLE), CAST(printf('%.2f', sum(mean_discount)) AS DOUBLE), CAST(printf('%.2f', sum(max_quantity)) AS DOUBLE),
+  CAST(printf('%.2f', sum(min_tax)) AS DOUBLE), CAST(sum(n) AS BIGINT), true FROM t"""),
     "pivot_recomputed": (pivot_recomputed, union_all([
         f"SELECT {label} AS o_orderpriority, "
-        + ", ".join(f"round(avg(o_totalprice) FILTER (WHERE o_orderstatus='{s}'), 2) AS {s.lower()}" for s in "FOP")
+        + ", ".join(f"CAST(printf('%.2f', avg(o_totalprice) FILTER (WHERE o_orderstatus='{s}')) AS DOUBLE) AS {s.lower()}" for s in "FOP")
         + f", {total} AS is_total FROM orders {group}"
         for label, total, group in (("o_orderpriority", "false", "GROUP BY 1"), ("'TOTAL'", "true", ""))
     ])),
-    "group_summary": (group_summary, "SELECT o_custkey, round(sum(o_totalprice), 2) AS o_totalprice, false AS is_total FROM orders GROUP BY 1"),
+    "group_summary": (group_summary, "SELECT o_custkey, CAST(printf('%.2f', sum(o_totalprice)) AS DOUBLE) AS o_totalprice, false AS is_total FROM orders GROUP BY 1"),
     "pivot_null_groups": (pivot_null_groups, """
 SELECT nullif(o_orderpriority, '5-LOW') AS priority,
-       round(sum(o_totalprice) FILTER (WHERE o_orderstatus='F'), 2) AS f,
-       round(sum(o_totalprice) FILTER (WHERE o_orderstatus='O'), 2) AS o,
+       CAST(printf('%.2f', sum(o_totalprice) FILTER (WHERE o_orderstatus='F')) AS DOUBLE) AS f,
+       CAST(printf('%.2f', sum(o_totalprice) FILTER (WHERE o_orderstatus='O')) AS DOUBLE) AS o,
        CAST(0 AS DOUBLE) AS missing, false AS is_total
 FROM orders GROUP BY 1"""),
 }

@@ -226,7 +226,7 @@ def _hist_sql(source: str, column: str) -> str:
     return f"""
 SELECT '{column}' AS "column", CAST(g.b AS INTEGER) AS bin,
        printf('%.1f-%.1f', lo + g.b*step, lo + (g.b+1)*step) AS label,
-       coalesce(c.n, 0) AS count, round_even(coalesce(c.n, 0)*1.0/k*100, 1) AS pct
+       coalesce(c.n, 0) AS count, CAST(printf('%.1f', coalesce(c.n, 0)*1.0/k*100) AS DOUBLE) AS pct
 FROM (SELECT unnest(range(20)) AS b) g
 CROSS JOIN (SELECT min({column}) AS lo, (max({column})-min({column}))/20 AS step, count({column}) AS k FROM {source}) s
 LEFT JOIN (
@@ -240,7 +240,7 @@ def _time_hist_sql(source: str, column: str) -> str:
     return f"""
 SELECT '{column}' AS "column", CAST(g.b AS INTEGER) AS bin,
        strftime(make_timestamp_ms(lo + g.b*step), '%Y-%m-%d %H:%M') AS label,
-       coalesce(c.n, 0) AS count, round_even(coalesce(c.n, 0)*1.0/k*100, 1) AS pct
+       coalesce(c.n, 0) AS count, CAST(printf('%.1f', coalesce(c.n, 0)*1.0/k*100) AS DOUBLE) AS pct
 FROM (SELECT unnest(range(20)) AS b) g CROSS JOIN ({bounds}) s
 LEFT JOIN (
   SELECT least((epoch_ms({column}) - lo) // step, 19) AS bin, count(*) AS n FROM {source}, ({bounds}) GROUP BY 1
@@ -262,7 +262,7 @@ SELECT '{column}' AS "column", coalesce(nullif(concat_ws(',',
     CASE WHEN p > 20 THEN 'many_nulls' WHEN p > 5 THEN 'some_nulls' END,
     CASE WHEN sd > 0.5*m THEN 'wide_spread' END,
     CASE WHEN q3 - q1 < 0.3*sd THEN 'skewed' END), ''), 'standard') AS insights
-FROM (SELECT round_even((count(*) - count({column}))*1.0/count(*)*100, 1) AS p, avg({column}) AS m, stddev_samp({column}) AS sd,
+FROM (SELECT CAST(printf('%.1f', (count(*) - count({column}))*1.0/count(*)*100) AS DOUBLE) AS p, avg({column}) AS m, stddev_samp({column}) AS sd,
       {nearest_sql(source, column, 0.25)} AS q1, {nearest_sql(source, column, 0.75)} AS q3 FROM {source})"""
 
 
@@ -274,7 +274,7 @@ def _gappy_types() -> str:
 
 _SUMMARY = f"""
 WITH t AS ({_gappy_types()}),
-s AS (SELECT max(n) AS row_count, count(*) AS col_count, round_even(sum(n-k)*1.0/sum(n)*100, 1) AS null_rate,
+s AS (SELECT max(n) AS row_count, count(*) AS col_count, CAST(printf('%.1f', sum(n-k)*1.0/sum(n)*100) AS DOUBLE) AS null_rate,
   count(*) FILTER (WHERE kind IN ('continuous','discrete')) AS numeric_count,
   count(*) FILTER (WHERE kind = 'categorical') AS categorical_count,
   count(*) FILTER (WHERE kind = 'datetime') AS datetime_count, count(*) FILTER (WHERE kind = 'date') AS date_count,
@@ -285,7 +285,7 @@ s AS (SELECT max(n) AS row_count, count(*) AS col_count, round_even(sum(n-k)*1.0
 QUERIES = {
     "col_base_stats": (col_base_stats, f"""
 WITH t AS ({_gappy_types()})
-SELECT "column", dtype, n AS count, n - k AS nulls, round_even((n-k)*1.0/n*100, 1) AS null_pct, d AS uniques,
+SELECT "column", dtype, n AS count, n - k AS nulls, CAST(printf('%.1f', (n-k)*1.0/n*100) AS DOUBLE) AS null_pct, d AS uniques,
        kind AS semantic_type, kind = 'identifier' AS is_identifier FROM t"""),
     "value_counts": (value_counts, union_all([
         f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {GAPPY_SQL} WHERE {c} IS NOT NULL GROUP BY 2"
@@ -298,7 +298,7 @@ SELECT "column", dtype, n AS count, n - k AS nulls, round_even((n-k)*1.0/n*100,
     "temporal_stats": (temporal_stats, union_all([_time_sql("events", "ts"), _time_sql("orders", "o_orderdate")])),
     "temporal_hist": (temporal_hist, union_all([_time_hist_sql("events", "ts"), _time_hist_sql("orders", "o_orderdate")])),
     "cat_top10": (cat_top10, union_all([f"""
-SELECT '{c}' AS "column", CAST(rank AS INTEGER) AS rank, value, count, round_even(count*1.0/total*100, 1) AS pct FROM (
+SELECT '{c}' AS "column", CAST(rank AS INTEGER) AS rank, value, count, CAST(printf('%.1f', count*1.0/total*100) AS DOUBLE) AS pct FROM (
   SELECT {c} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank,
          sum(count(*)) OVER () AS total FROM part GROUP BY 1) WHERE rank <= 10""" for c in TOP])),
     "cat_modes": (cat_modes, union_all([
@@ -307,8 +307,8 @@ SELECT '{c}' AS "column", CAST(rank AS INTEGER) AS rank, value, count, round_eve
     ])),
     "bool_stats": (bool_stats, union_all([
         f"""SELECT '{c}' AS "column", '1' AS label_true, '0' AS label_false, count(*) FILTER (WHERE {c}=1) AS true_count,
-count(*) FILTER (WHERE {c}=0) AS false_count, round_even(count(*) FILTER (WHERE {c}=1)*1.0/count(*)*100, 1) AS true_pct,
-round_even(count(*) FILTER (WHERE {c}=0)*1.0/count(*)*100, 1) AS false_pct FROM labels""" for c in ("quality", "toxic")
+count(*) FILTER (WHERE {c}=0) AS false_count, CAST(printf('%.1f', count(*) FILTER (WHERE {c}=1)*1.0/count(*)*100) AS DOUBLE) AS true_pct,
+CAST(printf('%.1f', count(*) FILTER (WHERE {c}=0)*1.0/count(*)*100) AS DOUBLE) AS false_pct FROM labels""" for c in ("quality", "toxic")
     ])),
     "id_stats": (id_stats, union_all([
         f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM customer" for c in ("c_custkey", "c_name")

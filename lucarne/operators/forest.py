@@ -149,5 +149,4 @@ def score(forest: Forest, spark, columns: Sequence[Column]) -> Column:
         parts = [shared.value.scores(points[i:i + chunk]) for i in range(0, len(points), chunk)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    raw.__annotations__ = {}
-    return F.pandas_udf(raw, "double", F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(raw, "double")(*columns)
