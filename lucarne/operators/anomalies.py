@@ -7,8 +7,10 @@ straight out of the scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +99,23 @@ def norms(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, Norm]]:
     return n, result
 
 
+def _outside(df: DataFrame, column: str, low: float, high: float) -> Column:
+    """Below ``low`` or above ``high``, in a form the Parquet reader can check against row-group bounds.
+
+    Whole numbers are compared with whole limits (no cast on the column); NaN, which Spark sorts
+    above every number, is kept out by the second half of the upper test.
+    """
+    kind = dict(df.dtypes)[column]
+    if kind in ("tinyint", "smallint", "int", "bigint") and max(abs(low), abs(high)) < 2**31:
+        return (cell(column) < F.lit(math.ceil(low))) | (cell(column) > F.lit(math.floor(high)))
+    v = cell(column).cast("double")
+    return (v < F.lit(low)) | ((v > F.lit(high)) & (v <= F.lit(float("inf"))))
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
 def _greatest(scores: Sequence[Column]) -> Column:
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
@@ -193,13 +212,12 @@ def _flagged(
     ])
     # Descending order puts a null score last: a constant or empty column never leads.
     leading = F.slice(F.sort_array(parts, asc=False), 1, TOP_CONTRIBUTORS)
-    scored = df.select(
+    scored = df.filter(is_anomaly).select(
         *[cell(k) for k in key],
         F.struct(*[cell(c) for c in df.columns]).alias("values"),
-        F.coalesce(is_anomaly, F.lit(False)).alias("_flag"),
         score.alias("_score"),
         leading.alias("_leading"),
-    ).filter("_flag")
+    )
     first = F.get("_leading", F.lit(0))
     return scored.select(
         *[cell(k) for k in key],
@@ -217,31 +235,36 @@ def _flagged(
 
 def _zscore(df, key, columns, known, threshold: float) -> DataFrame:
     """Largest absolute z-score per row, population deviation, nulls read as the median (ANO-2)."""
-    scores = []
+    scores, candidates, prune = [], [], True
     for c in columns:
         norm = known[c]
-        if norm.std:
-            filled = F.coalesce(_number(c), F.lit(norm.median))
-            scores.append(F.abs((filled - F.lit(norm.mean)) / F.lit(norm.std)))
-        else:
+        if not norm.std:
             scores.append(F.lit(None).cast("double"))
+            continue
+        filled = F.coalesce(_number(c), F.lit(norm.median))
+        scores.append(F.abs((filled - F.lit(norm.mean)) / F.lit(norm.std)))
+        # Whatever the rounding, a flagged value lies beyond this slightly smaller distance.
+        reach = threshold * norm.std * (1 - 1e-9) - 1e-9 * abs(norm.mean)
+        candidates.append(_outside(df, c, norm.mean - reach, norm.mean + reach))
+        prune = prune and abs(norm.median - norm.mean) < reach    # else nulls may be flagged too
     worst = _greatest(scores)
-    return _flagged(df, key, columns, known, worst > threshold, F.least(worst / (threshold * 2), F.lit(1.0)), scores)
+    rows = df.filter(_any(candidates)) if prune else df
+    return _flagged(rows, key, columns, known, worst > threshold, F.least(worst / (threshold * 2), F.lit(1.0)), scores)
 
 
 def _iqr(df, key, columns, known, k: float) -> DataFrame:
     """Any column outside its fences; score by the largest distance from the median in IQRs (ANO-3)."""
-    scores, outside = [], F.lit(False)
+    scores, outside = [], []
     for c in columns:
         norm = known[c]
         if norm.median is None:
             scores.append(F.lit(None).cast("double"))
             continue
-        v, width = _number(c), norm.q3 - norm.q1
-        scores.append(F.abs((v - F.lit(norm.median)) / F.lit(width or 1.0)))
-        outside = outside | F.coalesce((v < norm.q1 - k * width) | (v > norm.q3 + k * width), F.lit(False))
+        width = norm.q3 - norm.q1
+        scores.append(F.abs((_number(c) - F.lit(norm.median)) / F.lit(width or 1.0)))
+        outside.append(_outside(df, c, norm.q1 - k * width, norm.q3 + k * width))
     worst = _greatest(scores)
-    return _flagged(df, key, columns, known, outside, F.least(worst / (k * 3), F.lit(1.0)), scores)
+    return _flagged(df, key, columns, known, _any(outside), F.least(worst / (k * 3), F.lit(1.0)), scores)
 
 
 def robust_scaled(df: DataFrame, columns: Sequence[str], known: dict[str, Norm], n: int) -> list[Column]:

@@ -149,4 +149,6 @@ def score(forest: Forest, spark, columns: Sequence[Column]) -> Column:
         parts = [shared.value.scores(points[i:i + chunk]) for i in range(0, len(points), chunk)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return F.pandas_udf(raw, "double")(*columns)
+    # The function is deterministic; saying otherwise keeps the optimizer from moving a filter on
+    # the score below it and then computing the score a second time for the rows that pass.
+    return F.pandas_udf(raw, "double").asNondeterministic()(*columns)

@@ -39,10 +39,10 @@ def long(spark):
 
 
 @pytest.mark.parametrize("kind", [NEAREST, LINEAR])
-@pytest.mark.parametrize("accuracy,group_rows", [(10_000, 1_000_000), (100, 100_000), (100, 20), (20, 5)])
-def test_exact_whatever_the_sketch(long, kind, accuracy, group_rows):
+@pytest.mark.parametrize("sketch,small_rows,group_rows", [(4000, 100_000, 1_000_000), (4000, 100, 500), (500, 100, 100), (60, 10, 20)])
+def test_exact_whatever_the_sketch(long, kind, sketch, small_rows, group_rows):
     """Coarse sketches and tiny brackets force the narrowing rounds; the answer stays exact."""
-    found = exact_quantiles(long, PROBS, kind, accuracy=accuracy, group_rows=group_rows)
+    found = exact_quantiles(long, PROBS, kind, sketch=sketch, small_rows=small_rows, group_rows=group_rows)
     for group, values in cases().items():
         n, got = found[group]
         assert n == len(values)
