@@ -26,12 +26,24 @@ def apply_filters(df: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame
         values = list(wanted) if many else [wanted]
         if not values:
             continue
-        if isinstance(df.schema[name].dataType, T.BooleanType):
-            values = [str(v).lower() in FILTER_TRUE for v in values]
-        df = df.filter(cell(name).isin(values) if many else cell(name) == F.lit(values[0]))
+        kind = df.schema[name].dataType
+        literals = [_as_type(v, kind) for v in values]
+        df = df.filter(cell(name).isin(literals) if many else cell(name) == literals[0])
     return df
 
 
+def _as_type(value: Any, kind: T.DataType) -> Column:
+    """The wanted value in the column's own type, so that the test reaches the file reader.
+
+    Text that is no such value matches nothing instead of failing the query.
+    """
+    if isinstance(kind, T.BooleanType):
+        return F.lit(str(value).lower() in FILTER_TRUE)
+    if isinstance(kind, T.StringType):
+        return F.lit(value if value is None else str(value))
+    return F.lit(value).try_cast(kind) if isinstance(value, str) else F.lit(value)
+
+
 def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that have a value in every one of ``columns`` (FLT-3)."""
     return df.dropna(subset=[f"`{c}`" if "." in c else c for c in columns])

@@ -70,7 +70,7 @@ def _moment(serial: float, base_1904: bool) -> str:
 
 
 class _Workbook:
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, cells: bool = True):
         self.files = zipfile.ZipFile(io.BytesIO(content))
         book = self._xml("xl/workbook.xml")
         links = {e.get("Id"): e.get("Target") for e in _named(self._xml("xl/_rels/workbook.xml.rels"), "Relationship")}
@@ -80,7 +80,7 @@ class _Workbook:
             target = links[e.get(link_key)]
             self.sheets.append((e.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
         self.base_1904 = any(e.get("date1904") in ("1", "true") for e in _named(book, "workbookPr"))
-        names = set(self.files.namelist())
+        names = set(self.files.namelist()) if cells else set()
         self.strings = []
         if "xl/sharedStrings.xml" in names:
             self.strings = [_text(e) for e in self._xml("xl/sharedStrings.xml") if _tag(e) == "si"]
@@ -132,10 +132,11 @@ class _Workbook:
                 e.clear()
 
 
-def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, sheet, sheet_idx, row_idx, cells)`` of every sheet of every workbook (SRC-10).
+def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None, first_rows: int | None = None) -> DataFrame:
+    """``(path, sheet, sheet_idx, row_idx, cells)`` of the sheets of every workbook (SRC-10).
 
-    Rows above the first filled one are skipped, so ``row_idx`` 0 is always the heading.
+    Rows above the first filled one are skipped, so ``row_idx`` 0 is always the heading. Naming a
+    sheet, or the last row wanted, keeps the task from reading the rest.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -145,28 +146,43 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch["path"], batch["content"]):
                 held = []
                 book = _Workbook(content)
-                for sheet_idx, (sheet, member) in enumerate(book.sheets):
+                for sheet_idx, (title, member) in enumerate(book.sheets):
+                    if sheet is not None and title != sheet:
+                        continue
                     first = None
                     for number, cells in book.rows(member):
                         if first is None:
                             if not any(cells):
                                 continue
                             first = number
-                        held.append((name, sheet, sheet_idx, number - first, cells))
+                        if first_rows is not None and number - first > first_rows:
+                            break
+                        held.append((name, title, sheet_idx, number - first, cells))
                         if len(held) == BATCH_ROWS:
                             yield pd.DataFrame(held, columns=columns)
                             held = []
-                    if first is None:       # an empty sheet still has a name
-                        held.append((name, sheet, sheet_idx, -1, []))
                 if held:
                     yield pd.DataFrame(held, columns=columns)
 
     return files.mapInPandas(unpack, ROWS)
 
 
+def workbook_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, sheet, sheet_idx)`` of every workbook; no sheet is read for it (SRC-10)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows = [(name, title, i) for i, (title, _) in enumerate(_Workbook(content, cells=False).sheets)]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "sheet_idx"])
+
+    return files.mapInPandas(listed, "path string, sheet string, sheet_idx int")
+
+
 def sheet_names(spark: SparkSession, path: str) -> list[str]:
-    """Sheets of the workbooks in their order."""
-    rows = workbook_rows(spark, path).groupBy("sheet").agg(F.min("sheet_idx").alias("i")).orderBy("i", "sheet").collect()
+    """The different sheets of the workbooks in their order."""
+    rows = workbook_sheets(spark, path).groupBy("sheet").agg(F.min("sheet_idx").alias("i")).orderBy("i", "sheet").collect()
     return [r["sheet"] for r in rows]
 
 
@@ -182,8 +198,8 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, first_s
         sheet = names[0]
     if sheet not in names:
         raise ValueError(f"no sheet {sheet!r} among {names}")
-    rows = workbook_rows(spark, path).filter(F.col("sheet") == sheet)
-    heading = rows.filter("row_idx = 0").select("cells").first()
+    rows = workbook_rows(spark, path, sheet)
+    heading = workbook_rows(spark, path, sheet, first_rows=0).select("cells").first()
     if heading is None:
         raise TableError(f"sheet {sheet!r} is empty")
     titles = clean_names(fill_header([h or "" for h in heading["cells"]]))
@@ -193,6 +209,6 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, first_s
 
 def sheet_previews(spark: SparkSession, path: str, rows: int = SHEET_PREVIEW_ROWS) -> DataFrame:
     """Heading and first rows of every sheet, as arrays of text (SRC-11)."""
-    return workbook_rows(spark, path).filter(F.col("row_idx").between(0, rows)).select(
+    return workbook_rows(spark, path, first_rows=rows).select(
         "path", "sheet", "row_idx", (F.col("row_idx") == 0).alias("is_heading"), "cells"
     )

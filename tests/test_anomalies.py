@@ -112,3 +112,17 @@ def test_forest_with_a_third_of_the_rows_alike(spark):
 def test_forest_on_constant_columns(rows):
     df = rows([(i, 1.0) for i in range(20)], "key int, a double")
     assert detect_anomalies(df, "isolation_forest", "loose", ["a"], ["key"]).anomalies.count() == 0
+
+
+def test_fences_reach_the_reader(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for method in ("iqr", "zscore"):
+        found = detect_anomalies(events, method, "standard", ["value", "user_id"], ["event_id"]).anomalies
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [Or(" in plan, plan
+
+
+def test_nan_is_never_beyond_a_fence(rows):
+    df = rows([(i, v) for i, v in enumerate([1.0, 2.0, 3.0, 2.0, 1.0, float("nan"), None, 90.0])], "key int, v double")
+    for method in ("iqr", "zscore"):
+        assert {r.key for r in detect_anomalies(df, method, "strict", ["v"], ["key"]).anomalies.collect()} == {7}

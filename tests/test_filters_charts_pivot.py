@@ -21,6 +21,8 @@ def ids(df):
 def test_equality_and_membership(sales):
     assert ids(filters.apply_filters(sales, {"shop": "a", "missing": 1})) == [1, 2, 6]
     assert ids(filters.apply_filters(sales, {"shop": ["a", "b"], "side": ["n"], "price": []})) == [1, 3, 6]
+    assert ids(filters.apply_filters(sales, {"price": "20", "id": ["2", "x"]})) == [2]
+    assert ids(filters.apply_filters(sales, {"id": "many"})) == []
     assert ids(filters.apply_filters(sales, {"paid": "oui"})) == [1, 3, 6]
     assert ids(filters.apply_filters(sales, {"paid": ["no"]})) == [2, 5]
     assert ids(filters.apply_filters(sales, {"odd.name": "x"})) == [2, 4, 5]
