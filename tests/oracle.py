@@ -66,7 +66,7 @@ if __name__ == "__main__":
     from lucarne import get_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session(master="local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__driver__memory": "8g"})
+    spark = get_session(master="local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__driver__memory": "8g", "spark__ui__showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db, sqls = connect(folder), oracle_sql()
     bad = 0
