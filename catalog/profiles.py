@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.common import nearest_sql, table, union_all
 from lucarne.functions.vocabulary import FALSE_MARKERS, ID_WORDS, MEASURE_WORDS, TRUE_MARKERS
 from lucarne.operators import inference, profile
-from lucarne.operators.quantiles import LINEAR, NEAREST, exact_quantiles, long_numbers
+from lucarne.operators.quantiles import LINEAR, NEAREST, column_quantiles
 from lucarne.session import small_table
 
 # Columns of the given tables and their types.
@@ -147,7 +147,7 @@ def type_advice(spark, sf):
 
 
 def _quantiles(spark, sf, kind):
-    found = exact_quantiles(long_numbers(table(spark, sf, "lineitem"), NUMBERS + ["l_orderkey"]), PROBS, kind)
+    found = column_quantiles(table(spark, sf, "lineitem"), NUMBERS + ["l_orderkey"], PROBS, kind)
     rows = [(c, n, *values) for c, (n, values) in found.items()]
     return small_table(spark, rows, "column string, n bigint, " + ", ".join(f"q{int(q * 100)} double" for q in PROBS))
 

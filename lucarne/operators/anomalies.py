@@ -25,7 +25,7 @@ from lucarne.operators.cleaning import cell
 from lucarne.operators.filters import ordering
 from lucarne.operators.inference import semantic_types
 from lucarne.operators.profile import numeric_columns
-from lucarne.operators.quantiles import LINEAR, NEAREST, exact_quantiles, long_numbers
+from lucarne.operators.quantiles import LINEAR, NEAREST, column_quantiles
 from lucarne.session import small_table, stage
 
 TOP_CONTRIBUTORS = 2
@@ -43,7 +43,7 @@ def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
     schema = "column string, type string, count bigint, pct double, severity string"
     if not names:
         return small_table(df.sparkSession, [], schema)
-    quartiles = exact_quantiles(long_numbers(df, names), [0.25, 0.75], NEAREST)
+    quartiles = column_quantiles(df, names, [0.25, 0.75], NEAREST)
     outside = []
     for c in names:
         _, (q1, q3) = quartiles.get(c, (0, (0.0, 0.0)))
@@ -83,7 +83,7 @@ def norms(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, Norm]]:
         aggregates += [F.count(v), F.avg(v), F.var_pop(v)]
     row = df.agg(*aggregates).first()
     n = row[0]
-    quartiles = exact_quantiles(long_numbers(df, list(columns)), [0.25, 0.5, 0.75], LINEAR)
+    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], LINEAR)
     result = {}
     for i, c in enumerate(columns):
         cells, mean, variance = row[1 + 3 * i: 4 + 3 * i]
@@ -273,7 +273,7 @@ def robust_scaled(df: DataFrame, columns: Sequence[str], known: dict[str, Norm],
     refilled = {}
     if holes:
         filled = df.select(*[F.coalesce(_number(c), F.lit(known[c].median)).alias(c) for c in holes])
-        refilled = exact_quantiles(long_numbers(filled, holes), [0.25, 0.75], LINEAR)
+        refilled = column_quantiles(filled, holes, [0.25, 0.75], LINEAR)
     scaled = []
     for c in columns:
         norm = known[c]
@@ -299,9 +299,9 @@ def _isolation_forest(df, key, columns, known, contamination: float, n: int) ->
     features = df.select(*[s.alias(f"f{i}") for i, s in enumerate(scaled)])
     grown = iforest.fit(features, features.columns, n)
     raw = iforest.score(grown, spark, scaled)
-    scores = stage(df.select(F.lit("raw").alias("column"), raw.alias("value")))
-    lo, hi = scores.agg(F.min("value"), F.max("value")).first()
-    _, (offset,) = exact_quantiles(scores, [contamination], LINEAR)["raw"]
+    scores = stage(df.select(raw.alias("raw")))
+    lo, hi = scores.agg(F.min("raw"), F.max("raw")).first()
+    _, (offset,) = column_quantiles(scores, ["raw"], [contamination], LINEAR)["raw"]
     rated = df.select("*", raw.alias("_raw"))
     normal = 1 - (F.col("_raw") - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
     flagged = _flagged(

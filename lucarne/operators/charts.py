@@ -14,7 +14,7 @@ from lucarne.functions.vocabulary import (
 )
 from lucarne.operators.cleaning import cell
 from lucarne.operators.filters import apply_filters, drop_nulls, ordering
-from lucarne.operators.quantiles import exact_quantiles
+from lucarne.operators.quantiles import group_quantiles
 from lucarne.session import small_table
 
 CHART_TYPES = ("bar", "line", "area", "pie", "scatter", "boxplot")
@@ -81,7 +81,7 @@ def _boxes(df: DataFrame, x: str, y: str, filters: Mapping[str, Any] | None, lim
     # At most `limit` short rows reach the driver; a plain IN list then prunes the other passes.
     names = [r[0] for r in points.select("category").distinct().orderBy("category").limit(limit).collect()]
     points = points.filter(F.col("category").isin(names) & ~F.isnan("y")) if names else points.limit(0)
-    quartiles = exact_quantiles(points, [0.25, 0.5, 0.75], key="category", value="y") if names else {}
+    quartiles = group_quantiles(points, "category", "y", [0.25, 0.5, 0.75]) if names else {}
     fences = []
     for name, (n, (q1, q2, q3)) in quartiles.items():
         reach = 1.5 * (q3 - q1)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,55 +61,133 @@ def _rank_error(size: int) -> float:
     return 2.296 / size ** 0.9723
 
 
+def _salt() -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("salt")
+
+
+def _marks(sketch: str, at: list[float]) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(q) for q in at]))
+
+
 def _sketched(values: DataFrame, by: list[str], value: Column, size: int) -> DataFrame:
     """``by, n, sketch``: merged per task, then by up to MERGERS tasks, then for good."""
-    salt = F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("salt")
-    first = values.groupBy(*by, salt).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
+    first = values.groupBy(*by, _salt()).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
     return first.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
 
 
-def _marks(sketch: str, at: list[float]) -> Column:
-    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(q) for q in at]))
+class _Columns:
+    """The named columns of a table, each a group of its own; brackets become literals."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.spark, self.columns = df.sparkSession, list(columns)
+        number = {c: F.col("`" + c.replace("`", "``") + "`").cast("double") for c in columns}
+        self.df = df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number.values())])
+
+    def sketch(self, marks: list[float], size: int) -> list[tuple[str, int, list[float]]]:
+        """One aggregation over all columns; no row is copied per column."""
+        each = range(len(self.columns))
+        first = self.df.groupBy(_salt()).agg(*[
+            a for i in each for a in (F.count(f"c{i}").alias(f"n{i}"), F.kll_sketch_agg_double(f"c{i}", F.lit(size)).alias(f"s{i}"))
+        ])
+        merged = first.agg(*[
+            a for i in each for a in (F.sum(f"n{i}").alias(f"n{i}"), F.kll_merge_agg_double(f"s{i}", F.lit(size)).alias(f"s{i}"))
+        ])
+        row = merged.select(*[
+            a for i in each for a in (f"n{i}", F.when(F.col(f"n{i}") > 0, _marks(f"s{i}", marks)).alias(f"m{i}"))
+        ]).first()
+        return [(c, row[2 * i], row[2 * i + 1]) for i, c in enumerate(self.columns) if row[2 * i]]
+
+    def placed(self, groups: dict) -> DataFrame:
+        parts = []
+        for i, c in enumerate(self.columns):
+            if c in groups:
+                v = F.col(f"c{i}")
+                bounds = [(F.lit(lo), F.lit(hi)) for lo, hi, _ in groups[c]["intervals"]]
+                parts.append(F.struct(F.lit(c).alias("g"), v.alias("v"), *_place(v, bounds)))
+        return self.df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+
+
+class _Groups:
+    """Groups of one column of values; brackets come by a broadcast with one row per group."""
+
+    def __init__(self, long: DataFrame, key: str, value: str):
+        self.spark = long.sparkSession
+        v = F.col(value).cast("double")
+        self.long = long.select(F.col(key).alias("g"), v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
+
+    def sketch(self, marks: list[float], size: int) -> list[tuple[str, int, list[float]]]:
+        rows = _sketched(self.long, ["g"], F.col("v"), size).select("g", "n", _marks("sketch", marks).alias("m")).collect()
+        return [(r["g"], r["n"], r["m"]) for r in rows]
+
+    def placed(self, groups: dict) -> DataFrame:
+        rows = [(g, [i[0] for i in info["intervals"]], [i[1] for i in info["intervals"]]) for g, info in groups.items()]
+        joined = self.long.join(F.broadcast(small_table(self.spark, rows, _BRACKETS)), "g")
+        width = max(len(r[1]) for r in rows)
+        # get() is null past the end of a shorter array, and no test against null succeeds.
+        bounds = [(F.get("los", F.lit(i)), F.get("his", F.lit(i))) for i in range(width)]
+        return joined.select("g", "v", *_place(F.col("v"), bounds))
 
 
-def exact_quantiles(
-    long: DataFrame,
-    probs: Sequence[float | tuple[float, str]],
-    kind: str = NEAREST,
-    key: str = "column",
-    value: str = "value",
-    sketch: int = SKETCH,
-    small_rows: int = SMALL_ROWS,
-    group_rows: int = GROUP_ROWS,
-) -> dict[str, tuple[int, list[float]]]:
-    """``{group: (n, [quantile per prob])}`` for a *bounded* number of groups (columns, boxes).
+_BRACKETS = T.StructType([
+    T.StructField("g", T.StringType()),
+    T.StructField("los", T.ArrayType(T.DoubleType())),
+    T.StructField("his", T.ArrayType(T.DoubleType())),
+])
+
+
+def _place(v: Column, bounds: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """A value's cell (brackets wholly below it) and its place in that bracket.
+
+    ``place`` is 0 outside any bracket, 1 on the lower end, 2 between the ends, 3 on the upper end.
+    """
+    cell, place = F.lit(0), F.lit(0)
+    for lo, hi in bounds:
+        cell = cell + F.when(v > hi, 1).otherwise(0)
+        place = place + F.when(v == lo, 1).when(v == hi, 3).when((v > lo) & (v < hi), 2).otherwise(0)
+    return cell.alias("cell"), place.alias("place")
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float | tuple[float, str]], kind: str = NEAREST, **limits: int):
+    """``{column: (n, [quantile per prob])}`` of numeric columns; nulls and NaN are left out.
 
-    A prob may be paired with a kind of its own. ``long`` holds non-null doubles. Two passes for up
-    to about 10^8 values per group, one more for each further factor of some hundred.
+    A prob may be paired with a kind of its own. Columns without a value are missing from the
+    result. Two passes for up to about 10^8 values per column, one more for each further factor of
+    some hundred.
     """
-    long = long.select(F.col(key).alias("g"), F.col(value).alias("v"))
+    return _exact(_Columns(df, columns), probs, kind, **limits) if columns else {}
+
+
+def group_quantiles(
+    long: DataFrame, key: str, value: str, probs: Sequence[float | tuple[float, str]], kind: str = NEAREST, **limits: int
+):
+    """``{group: (n, [quantile per prob])}`` for a *bounded* number of groups of one column."""
+    return _exact(_Groups(long, key, value), probs, kind, **limits)
+
+
+def _exact(
+    source: _Columns | _Groups, probs: Sequence[float | tuple[float, str]], kind: str,
+    sketch: int = SKETCH, small_rows: int = SMALL_ROWS, group_rows: int = GROUP_ROWS,
+) -> dict[str, tuple[int, list[float]]]:
     wanted = [p if isinstance(p, tuple) else (p, kind) for p in probs]
     for widen in (4, 20, 100):
         try:
-            return _bracketed(long, wanted, sketch, small_rows, group_rows, widen * _rank_error(sketch))
+            return _bracketed(source, wanted, sketch, small_rows, group_rows, widen * _rank_error(sketch))
         except _Missed:
             continue
     raise RuntimeError("quantile brackets missed their ranks three times")
 
 
 def _bracketed(
-    long: DataFrame, wanted: list[tuple[float, str]], sketch: int, small_rows: int, group_rows: int, margin: float
+    source: _Columns | _Groups, wanted: list[tuple[float, str]], sketch: int, small_rows: int, group_rows: int, margin: float
 ) -> dict[str, tuple[int, list[float]]]:
     marks = sorted({min(1.0, max(0.0, q + d)) for q, _ in wanted for d in (-margin, margin)})
-    found = _sketched(long, ["g"], F.col("v"), sketch).select("g", "n", _marks("sketch", marks).alias("m")).collect()
     groups: dict[str, dict] = {}
-    for row in found:
-        n = row["n"]
+    for g, n, at_marks in source.sketch(marks, sketch):
         ranks = sorted({k for q, kind in wanted for k in _position(n, q, kind)[:2]})
         if n <= small_rows:
             intervals = [(-_INF, _INF, ranks)]
         else:
-            at = dict(zip(marks, row["m"]))
+            at = dict(zip(marks, at_marks))
             intervals = []
             for q, kind in wanted:
                 lo = -_INF if q - margin <= 0 else at[max(0.0, q - margin)]
@@ -117,16 +195,15 @@ def _bracketed(
                 intervals.append((lo, hi, sorted(set(_position(n, q, kind)[:2]))))
             intervals = _merge(intervals)
         inside = n if n <= small_rows else math.ceil(n * margin * 3 * len(intervals))
-        groups[row["g"]] = {"n": n, "intervals": intervals, "inside": inside}
+        groups[g] = {"n": n, "intervals": intervals, "inside": inside}
     if not groups:
         return {}
-    spark = long.sparkSession
     # It stops paying only when the ranks lie so close together that their brackets join up.
     limit, last = max(group_rows, small_rows), _INF
     while limit < (fullest := max(g["inside"] for g in groups.values())) < last:
         last = fullest
-        _narrow(spark, long, groups, sketch, margin)
-    found = _select(spark, long, groups)
+        _narrow(source, groups, sketch, margin)
+    found = _select(source, groups)
     result = {}
     for g, info in groups.items():
         values = []
@@ -150,38 +227,10 @@ def _merge(intervals: list[tuple]) -> list[tuple]:
     return merged
 
 
-_BRACKETS = T.StructType([
-    T.StructField("g", T.StringType()),
-    T.StructField("los", T.ArrayType(T.DoubleType())),
-    T.StructField("his", T.ArrayType(T.DoubleType())),
-])
-
-
-def _placed(spark: SparkSession, long: DataFrame, groups: dict) -> DataFrame:
-    """Each value with its cell (brackets wholly below it) and its place in that bracket.
-
-    ``place`` is 0 outside any bracket, 1 on the lower end, 2 between the ends, 3 on the upper end.
-    The broadcast side has one row per group, and the number of groups is bounded by the schema
-    or by the caller's category limit.
-    """
-    rows = [(g, [i[0] for i in info["intervals"]], [i[1] for i in info["intervals"]]) for g, info in groups.items()]
-    brackets = F.broadcast(small_table(spark, rows, _BRACKETS))
-    width = max(len(r[1]) for r in rows)
-    joined = long.join(brackets, "g")
-    v, cell, place = F.col("v"), F.lit(0), F.lit(0)
-    for i in range(width):
-        # get() is null past the end of a shorter array; coalesce reads that as "not passed".
-        lo, hi = F.get("los", F.lit(i)), F.get("his", F.lit(i))
-        cell = cell + F.coalesce((v > hi).cast("int"), F.lit(0))
-        at = F.when(v == lo, 1).when(v == hi, 3).when((v > lo) & (v < hi), 2)
-        place = F.coalesce(at, place)
-    return joined.select("g", "v", cell.alias("cell"), place.alias("place"))
-
-
-def _select(spark: SparkSession, long: DataFrame, groups: dict) -> dict[str, dict[int, float]]:
+def _select(source: _Columns | _Groups, groups: dict) -> dict[str, dict[int, float]]:
     """The elements at the wanted ranks: exact counts outside the brackets, values inside them."""
     counted = (
-        _placed(spark, long, groups)
+        source.placed(groups)
         .groupBy("g", "cell", F.when(F.col("place") > 0, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -189,7 +238,7 @@ def _select(spark: SparkSession, long: DataFrame, groups: dict) -> dict[str, dic
     order = Window.partitionBy("g").orderBy("cell", F.col("v").asc_nulls_first())
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranks = [(g, sorted({r for i in info["intervals"] for r in i[2]})) for g, info in groups.items()]
-    wanted = small_table(spark, ranks, "g string, rs array<bigint>")
+    wanted = small_table(source.spark, ranks, "g string, rs array<bigint>")
     hits = (
         running.join(F.broadcast(wanted), "g")
         .withColumn("rs", F.filter("rs", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))))
@@ -205,7 +254,7 @@ def _select(spark: SparkSession, long: DataFrame, groups: dict) -> dict[str, dic
     return found
 
 
-def _narrow(spark: SparkSession, long: DataFrame, groups: dict, sketch: int, margin: float) -> None:
+def _narrow(source: _Columns | _Groups, groups: dict, sketch: int, margin: float) -> None:
     """Sketch again between the bracket ends and shrink each bracket around its ranks.
 
     The ends are counted apart: a value repeated any number of times costs one group row, and
@@ -215,7 +264,7 @@ def _narrow(spark: SparkSession, long: DataFrame, groups: dict, sketch: int, mar
     reach = max(2.0, margin * GRID)    # grid steps to either side, beyond the sketch error
     between = F.when(F.col("place") == 2, F.col("v"))
     cells = (
-        _sketched(_placed(spark, long, groups), ["g", "cell", "place"], between, sketch)
+        _sketched(source.placed(groups), ["g", "cell", "place"], between, sketch)
         .select("g", "cell", "place", F.col("n").alias("c"), F.when(F.col("place") == 2, _marks("sketch", grid)).alias("m"))
         .collect()
     )

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lucarne.operators.quantiles import LINEAR, NEAREST, exact_quantiles, long_numbers
+from lucarne.operators.quantiles import LINEAR, NEAREST, column_quantiles, group_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -42,26 +42,39 @@ def long(spark):
 @pytest.mark.parametrize("sketch,small_rows,group_rows", [(4000, 100_000, 1_000_000), (4000, 100, 500), (500, 100, 100), (60, 10, 20)])
 def test_exact_whatever_the_sketch(long, kind, sketch, small_rows, group_rows):
     """Coarse sketches and tiny brackets force the narrowing rounds; the answer stays exact."""
-    found = exact_quantiles(long, PROBS, kind, sketch=sketch, small_rows=small_rows, group_rows=group_rows)
+    found = group_quantiles(long, "column", "value", PROBS, kind, sketch=sketch, small_rows=small_rows, group_rows=group_rows)
     for group, values in cases().items():
         n, got = found[group]
         assert n == len(values)
         assert got == pytest.approx([expected(values, q, kind) for q in PROBS], rel=1e-12), group
 
 
+@pytest.mark.parametrize("sketch,small_rows,group_rows", [(4000, 100_000, 1_000_000), (500, 100, 100), (60, 10, 20)])
+def test_columns_at_once(spark, sketch, small_rows, group_rows):
+    columns = {g: v for g, v in cases().items() if len(v) > 10}
+    longest = max(len(v) for v in columns.values())
+    data = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(longest)]
+    df = spark.createDataFrame(data, ", ".join(f"{g} double" for g in columns)).repartition(7)
+    for kind in (NEAREST, LINEAR):
+        found = column_quantiles(df, list(columns), PROBS, kind, sketch=sketch, small_rows=small_rows, group_rows=group_rows)
+        for g, values in columns.items():
+            assert found[g][0] == len(values)
+            assert found[g][1] == pytest.approx([expected(values, q, kind) for q in PROBS], rel=1e-12), g
+
+
 def test_nearest_is_the_element_itself(spark):
     for n in (1, 2, 3, 4, 5, 6, 7, 99, 100, 101):
         df = spark.range(n).select(F.col("id").cast("double").alias("x"))
-        _, (q1, q3) = exact_quantiles(long_numbers(df, ["x"]), [0.25, 0.75])["x"]
+        _, (q1, q3) = column_quantiles(df, ["x"], [0.25, 0.75])["x"]
         assert (q1, q3) == (math.floor((n - 1) * 0.25 + 0.5), math.floor((n - 1) * 0.75 + 0.5))
 
 
 def test_nulls_and_nan_are_left_out(rows):
     df = rows([(1.0, None), (None, None), (float("nan"), None), (3.0, None)], "a double, b double")
-    found = exact_quantiles(long_numbers(df, ["a", "b"]), [0.5], LINEAR)
+    found = column_quantiles(df, ["a", "b"], [0.5], LINEAR)
     assert found == {"a": (2, [2.0])}
 
 
 def test_infinities_are_values(rows):
     df = rows([(float("inf"),), (float("-inf"),), (0.0,)], "a double")
-    assert exact_quantiles(long_numbers(df, ["a"]), [0.0, 0.5, 1.0])["a"][1] == [-math.inf, 0.0, math.inf]
+    assert column_quantiles(df, ["a"], [0.0, 0.5, 1.0])["a"][1] == [-math.inf, 0.0, math.inf]
