@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,7 @@ from lucarne.session import small_table
 
 SKETCH = 4_000           # sketch size: 90 KB, ranks off by less than 0.1 % (99 times in 100)
 SMALL_ROWS = 100_000     # groups up to this size are not sketched further but counted whole
-GROUP_ROWS = 1_000_000   # values of one group that may meet in one task
+GROUP_ROWS = 4_000_000   # values of one group that may meet in one task
 GRID = 1_024             # marks per narrowing round
 MERGERS = 256            # tasks that merge sketches before the last merge
 
@@ -76,7 +77,7 @@ def _sketched(values: DataFrame, by: list[str], value: Column, size: int) -> Dat
 
 
 class _Columns:
-    """The named columns of a table, each a group of its own; brackets become literals."""
+    """The named columns of a table, each a group of its own."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str]):
         self.spark, self.columns = df.sparkSession, list(columns)
@@ -97,18 +98,17 @@ class _Columns:
         ]).first()
         return [(c, row[2 * i], row[2 * i + 1]) for i, c in enumerate(self.columns) if row[2 * i]]
 
-    def placed(self, groups: dict) -> DataFrame:
-        parts = []
-        for i, c in enumerate(self.columns):
-            if c in groups:
-                v = F.col(f"c{i}")
-                bounds = [(F.lit(lo), F.lit(hi)) for lo, hi, _ in groups[c]["intervals"]]
-                parts.append(F.struct(F.lit(c).alias("g"), v.alias("v"), *_place(v, bounds)))
-        return self.df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+    def placed(self, groups: dict, ends: bool = False) -> DataFrame:
+        # One short expression per row whatever the number of columns: the brackets come by a
+        # broadcast with one row per column, not as literals in ever longer generated code.
+        cells = self.df.select(F.posexplode(F.array(*self.df.columns)).alias("i", "v")).filter(F.col("v").isNotNull())
+        index = {c: i for i, c in enumerate(self.columns)}
+        names = small_table(self.spark, [(index[g], g) for g in groups], "i int, g string")
+        return _place(cells, _brackets(self.spark, groups).join(F.broadcast(names), "g"), "i", groups, ends)
 
 
 class _Groups:
-    """Groups of one column of values; brackets come by a broadcast with one row per group."""
+    """Groups of one column of values."""
 
     def __init__(self, long: DataFrame, key: str, value: str):
         self.spark = long.sparkSession
@@ -119,32 +119,37 @@ class _Groups:
         rows = _sketched(self.long, ["g"], F.col("v"), size).select("g", "n", _marks("sketch", marks).alias("m")).collect()
         return [(r["g"], r["n"], r["m"]) for r in rows]
 
-    def placed(self, groups: dict) -> DataFrame:
-        rows = [(g, [i[0] for i in info["intervals"]], [i[1] for i in info["intervals"]]) for g, info in groups.items()]
-        joined = self.long.join(F.broadcast(small_table(self.spark, rows, _BRACKETS)), "g")
-        width = max(len(r[1]) for r in rows)
-        # get() is null past the end of a shorter array, and no test against null succeeds.
-        bounds = [(F.get("los", F.lit(i)), F.get("his", F.lit(i))) for i in range(width)]
-        return joined.select("g", "v", *_place(F.col("v"), bounds))
+    def placed(self, groups: dict, ends: bool = False) -> DataFrame:
+        return _place(self.long, _brackets(self.spark, groups), "g", groups, ends)
 
 
-_BRACKETS = T.StructType([
-    T.StructField("g", T.StringType()),
-    T.StructField("los", T.ArrayType(T.DoubleType())),
-    T.StructField("his", T.ArrayType(T.DoubleType())),
-])
+def _width(groups: dict) -> int:
+    return max(len(info["intervals"]) for info in groups.values())
 
 
-def _place(v: Column, bounds: list[tuple[Column, Column]]) -> tuple[Column, Column]:
-    """A value's cell (brackets wholly below it) and its place in that bracket.
+def _brackets(spark: SparkSession, groups: dict) -> DataFrame:
+    """One row per group: its brackets in order, null past the last."""
+    width = _width(groups)
+    rows = []
+    for g, info in groups.items():
+        ends = [e for lo, hi, _ in info["intervals"] for e in (lo, hi)]
+        rows.append((g, *ends, *[None] * (2 * width - len(ends))))
+    return small_table(spark, rows, "g string, " + ", ".join(f"lo{i} double, hi{i} double" for i in range(width)))
+
+
+def _place(values: DataFrame, brackets: DataFrame, on: str, groups: dict, ends: bool) -> DataFrame:
+    """``g, v, at``: how many bracket ends lie below each value.
 
-    ``place`` is 0 outside any bracket, 1 on the lower end, 2 between the ends, 3 on the upper end.
+    Every bracket counts one for ``v >= lo`` and one for ``v > hi``, so an odd number is inside
+    bracket ``at // 2`` and an even one in the gap before it. With ``ends`` it counts four: modulo 4
+    that is 0 in a gap, 1 on the lower end, 2 between, 3 on the upper end.
     """
-    cell, place = F.lit(0), F.lit(0)
-    for lo, hi in bounds:
-        cell = cell + F.when(v > hi, 1).otherwise(0)
-        place = place + F.when(v == lo, 1).when(v == hi, 3).when((v > lo) & (v < hi), 2).otherwise(0)
-    return cell.alias("cell"), place.alias("place")
+    v, tests = F.col("v"), []
+    for i in range(_width(groups)):
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        tests += [v >= lo, v > lo, v >= hi, v > hi] if ends else [v >= lo, v > hi]
+    at = reduce(Column.__add__, [F.when(t, 1).otherwise(0) for t in tests])
+    return values.join(F.broadcast(brackets), on).select("g", "v", at.alias("at"))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float | tuple[float, str]], kind: str = NEAREST, **limits: int):
@@ -194,7 +199,7 @@ def _bracketed(
                 hi = _INF if q + margin >= 1 else at[min(1.0, q + margin)]
                 intervals.append((lo, hi, sorted(set(_position(n, q, kind)[:2]))))
             intervals = _merge(intervals)
-        inside = n if n <= small_rows else math.ceil(n * margin * 3 * len(intervals))
+        inside = n if n <= small_rows else math.ceil(n * margin * 2.5 * len(intervals))
         groups[g] = {"n": n, "intervals": intervals, "inside": inside}
     if not groups:
         return {}
@@ -231,11 +236,11 @@ def _select(source: _Columns | _Groups, groups: dict) -> dict[str, dict[int, flo
     """The elements at the wanted ranks: exact counts outside the brackets, values inside them."""
     counted = (
         source.placed(groups)
-        .groupBy("g", "cell", F.when(F.col("place") > 0, F.col("v")).alias("v"))
+        .groupBy("g", "at", F.when(F.col("at") % 2 == 1, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
     # A group's rows here are bounded by its bracket contents, checked before this is called.
-    order = Window.partitionBy("g").orderBy("cell", F.col("v").asc_nulls_first())
+    order = Window.partitionBy("g").orderBy("at", F.col("v").asc_nulls_first())
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranks = [(g, sorted({r for i in info["intervals"] for r in i[2]})) for g, info in groups.items()]
     wanted = small_table(source.spark, ranks, "g string, rs array<bigint>")
@@ -262,29 +267,31 @@ def _narrow(source: _Columns | _Groups, groups: dict, sketch: int, margin: float
     """
     grid = [i / GRID for i in range(GRID + 1)]
     reach = max(2.0, margin * GRID)    # grid steps to either side, beyond the sketch error
-    between = F.when(F.col("place") == 2, F.col("v"))
+    middle = F.col("at") % 4 == 2
     cells = (
-        _sketched(source.placed(groups), ["g", "cell", "place"], between, sketch)
-        .select("g", "cell", "place", F.col("n").alias("c"), F.when(F.col("place") == 2, _marks("sketch", grid)).alias("m"))
+        _sketched(source.placed(groups, ends=True), ["g", "at"], F.when(middle, F.col("v")), sketch)
+        .select("g", "at", F.col("n").alias("c"), F.when(middle, _marks("sketch", grid)).alias("m"))
         .collect()
     )
-    held = {(r["g"], r["cell"], r["place"]): r for r in cells}
+    held = {(r["g"], r["at"]): r for r in cells}
     for g, info in groups.items():
         before, shrunk, total = 0, [], 0
         for i, (lo, hi, ranks) in enumerate(info["intervals"]):
             left = 0
-            n_gap, n_lo, n_mid, n_hi = (held[g, i, p]["c"] if (g, i, p) in held else 0 for p in range(4))
+            n_gap, n_lo, n_mid, n_hi = (held[g, 4 * i + p]["c"] if (g, 4 * i + p) in held else 0 for p in range(4))
             before += n_gap
             if ranks[0] < before or ranks[-1] >= before + n_lo + n_mid + n_hi:
                 raise _Missed(g)
             for r in ranks:
                 within = r - before - n_lo
-                if within < 0:
+                if lo == hi:
+                    shrunk.append((lo, hi, [r]))    # one value: nothing to narrow
+                elif within < 0:
                     shrunk.append((lo, lo, [r]))
                 elif within >= n_mid:
                     shrunk.append((hi, hi, [r]))
                 else:
-                    marks = held[g, i, 2]["m"]
+                    marks = held[g, 4 * i + 2]["m"]
                     at = within / n_mid * GRID
                     a, b = math.floor(at - reach), math.ceil(at + reach)
                     shrunk.append((lo if a <= 0 else marks[a], hi if b >= GRID else marks[b], [r]))
