@@ -141,12 +141,14 @@ def fit(df: DataFrame, features: Sequence[str], n: int, trees: int = FOREST_TREE
 
 def score(forest: Forest, spark, columns: Sequence[Column]) -> Column:
     """The raw score of each row as a Column, computed batch by batch."""
-    shared = spark.sparkContext.broadcast(forest)
+    # Plain arrays: a broadcast is unpickled on executors that need not have this package.
+    shared = spark.sparkContext.broadcast((forest.feature, forest.threshold, forest.path, forest.depth, forest.subsample))
     chunk = 4096
 
     def raw(*series: pd.Series) -> pd.Series:
         points = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        parts = [shared.value.scores(points[i:i + chunk]) for i in range(0, len(points), chunk)]
+        grown = Forest(*shared.value)
+        parts = [grown.scores(points[i:i + chunk]) for i in range(0, len(points), chunk)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     # The function is deterministic; saying otherwise keeps the optimizer from moving a filter on
