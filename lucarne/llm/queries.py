@@ -7,8 +7,9 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import pieces
+from lucarne.llm import pieces, url_filter
 from lucarne.llm.shared import table
+from lucarne.session import small_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -28,6 +29,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict under four rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = small_table(spark, URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules).drop("url")
+
+
+OP5_SQL = f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+split AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+fits AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(rverdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op5_url_filter": (op5_url_filter, OP5_SQL),
 }

@@ -60,6 +60,14 @@ class Staging:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def spread(column: str, n: int) -> F.Column:
     """A salt in [0, n) that depends on the row alone, so a task that runs again deals rows alike."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
