@@ -7,8 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import pieces, url_filter
-from lucarne.llm.shared import table
+from lucarne.llm import pieces, url_filter, warc
+from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    staging = Staging(spark, "warc")
+    archives = staging.keep(warc.write(pages, staging.path()))
+    records = warc.read(spark, archives, archives.count(), payloads=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT sha256(payload) AS digest, min(page_id) AS first FROM p WHERE octet_length(payload) >= 100 GROUP BY 1)
+SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON sha256(payload) = digest
+"""
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -53,5 +71,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op3_warc": (op3_warc, OP3_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
 }
