@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import pieces, url_filter, warc
+from lucarne.llm import ngram_join, pieces, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -69,8 +69,14 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
 """
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its links at 85 % of 4-word shingles."""
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op3_warc": (op3_warc, OP3_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
+    "op6_ngram_join": (op6_ngram_join, None),
 }
