@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import ngram_join, pieces, url_filter, warc
+from lucarne.llm import mixing, ngram_join, pieces, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -74,9 +74,18 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(sized, F.col("words"), weights=(3.0, 1.0, 2.0), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op3_warc": (op3_warc, OP3_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
+    "op7_mixing": (op7_mixing, None),
 }
