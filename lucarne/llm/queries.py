@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import mixing, ngram_join, pieces, url_filter, warc
+from lucarne.llm import embedding_dedup, mixing, ngram_join, pieces, pii, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -82,10 +82,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base spans counted and digested, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(pii.of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.in_order(F.col("base")), 256).alias("base_sha256"),
+        pii.in_order(F.concat("base", "added")).alias("spans"),
+    )
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component at cosine 0.93."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op3_warc": (op3_warc, OP3_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_pii": (op8_pii, None),
+    "op9_embedding_dedup": (op9_embedding_dedup, None),
 }
