@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import embedding_dedup, mixing, ngram_join, pieces, pii, url_filter, warc
+from lucarne.llm import embedding_dedup, language, mixing, ngram_join, pieces, pii, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -96,6 +96,20 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document (declared language and source as evidence) and every page (markup, address and host)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = language.train(docs, "text", "lang")
+    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    host, path = url_filter.split_url(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", language.page_text(F.col("html")).alias("text"), language.declared_language(F.col("html")).alias("declared"), host.alias("host"), path.alias("path"))
+    suffix, domain = language.address_parts(F.col("host"), F.col("path"))
+    web = language.identify(pages, model, declared=F.col("declared"), suffix=suffix, host=F.col("host"), domain=domain)
+    result = ("language", "probability", F.col("accepted").alias("kept"))
+    null = F.lit(None).cast("long")
+    return found.select("doc_id", null.alias("page_id"), *result).union(web.select(null.alias("doc_id"), "page_id", *result))
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op3_warc": (op3_warc, OP3_SQL),
@@ -104,4 +118,5 @@ QUERIES = {
     "op7_mixing": (op7_mixing, None),
     "op8_pii": (op8_pii, None),
     "op9_embedding_dedup": (op9_embedding_dedup, None),
+    "op10_language_id": (op10_language_id, None),
 }
