@@ -32,9 +32,13 @@ NONE = "und"
 _SPACED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
-def trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the text, bucket) of all trigrams with at most one space, in steps of bounded size."""
-    rows = [b" " + (t or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED) + b" " for t in texts]
+def trigrams(texts: list[str | None], letters: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, bucket) of all trigrams with at most one space, in steps of bounded size.
+
+    With ``letters`` case goes and other ASCII characters count as spaces.
+    """
+    rows = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED) if letters else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+    rows = [b" " + r + b" " for r in rows]
     ends = np.cumsum([len(r) for r in rows])
     flat = np.frombuffer(b"".join(rows), dtype=np.uint8)
     for begin in range(0, len(flat) - 2, STEP):

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import embedding_dedup, language, mixing, ngram_join, pieces, pii, url_filter, warc
+from lucarne.llm import embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -110,8 +110,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", null.alias("page_id"), *result).union(web.select(null.alias("doc_id"), "page_id", *result))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labelled ones."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_quality": (op2_quality, None),
     "op3_warc": (op3_warc, OP3_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
