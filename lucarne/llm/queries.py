@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
+from lucarne.llm import bm25, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -115,10 +115,34 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every twentieth document taken as a query."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
+OP4_SQL = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x20\\x09-\\x0D]+')) AS term
+  FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, count(*) AS len FROM words GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len) AS mean FROM len),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id, CAST(sum(CAST(floor(
+    d.tf * {bm25.K1 + 1} / (d.tf + {bm25.K1} * (1 - {bm25.B} + {bm25.B} * len / mean)) * (ln(1 + (n - df + 0.5) / (df + 0.5)) * 1e6) + 0.5) AS BIGINT)) AS BIGINT) AS score
+  FROM tf q JOIN tf d USING (term) JOIN df USING (term) JOIN len ON len.doc_id = d.doc_id CROSS JOIN stats
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_quality": (op2_quality, None),
     "op3_warc": (op3_warc, OP3_SQL),
+    "op4_search": (op4_search, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
     "op7_mixing": (op7_mixing, None),
