@@ -34,8 +34,9 @@ from lucarne.llm.shared import Staging, slices
 
 #: Classes of one signature that meet in one comparison block.
 BLOCK = 512
-#: Bins of the sketch; counts are cut at 255, which only loosens the bound.
-BINS = 128
+#: Bins of the sketch; counts are cut at 255, which only loosens the bound. Pairs are first compared on sums of ``FOLD`` bins.
+BINS = 512
+FOLD = 4
 #: Row hashes up to this number (16 MB) are broadcast to fetch texts; beyond it Spark joins.
 SMALL = 2_000_000
 SUBPARTS = 3
@@ -224,18 +225,23 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(run, "sig long, class long, lead long, place long")
 
 
-def _may_link(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """False where sizes or sketches (rows of counts) prove that two sets are not linked."""
+def _may_link(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, at_a=None, at_b=None) -> np.ndarray:
+    """False where sizes or sketches prove that two sets are not linked; ``at_a`` and ``at_b`` name the rows of the sketches."""
+    at_a, at_b = (np.arange(len(size_a)) if x is None else x for x in (at_a, at_b))
     low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     held = 100 * low >= percent * high
     at = np.flatnonzero(held)
     for begin in range(0, len(at), 1 << 14):
         part = at[begin:begin + (1 << 14)]
-        apart = np.abs(a[part].astype(np.int16) - b[part]).sum(axis=1)
+        apart = np.abs(a[at_a[part]].astype(np.int16) - b[at_b[part]]).sum(axis=1)
         held[part] = apart <= most_differences(size_a[part], size_b[part], percent)
     return held
 
 
+def _folded(table: np.ndarray) -> np.ndarray:
+    return table.reshape(len(table), BINS // FOLD, FOLD).sum(axis=2, dtype=np.int16)
+
+
 def _table(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), BINS)
 
@@ -285,6 +291,7 @@ def _block_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
             table = group[["sig", "x", "y"]].to_numpy()
             root, own, cls, size = (group[c].to_numpy() for c in ("root", "own", "class", "size"))
             across, sketch = table[:, 1] != table[:, 2], _table(group["sketch"])
+            coarse = _folded(sketch)
             fresh = np.ones(len(group), dtype=bool)
             fresh[1:] = (table[1:] != table[:-1]).any(axis=1)
             number = np.cumsum(fresh)
@@ -293,7 +300,8 @@ def _block_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
                 if not same.any():
                     break
                 i = np.flatnonzero(same & (root[step:] != root[:-step]) & ~(across[step:] & (own[step:] == own[:-step])))
-                i = i[_may_link(size[i], size[i + step], sketch[i], sketch[i + step], percent)]
+                for level in (coarse, sketch):
+                    i = i[_may_link(size[i], size[i + step], level, level, percent, i, i + step)]
                 if len(i):
                     yield pd.DataFrame({"a": np.minimum(cls[i], cls[i + step]), "b": np.maximum(cls[i], cls[i + step])})
 
