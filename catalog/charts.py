@@ -92,8 +92,9 @@ WITH r AS (
     low, high = "q1 - 1.5*(q3-q1)", "q3 + 1.5*(q3-q1)"
     if outliers:
         return ranked + f"""
-SELECT category, CAST(rank AS INTEGER) AS rank, y FROM (
-  SELECT r.category, y, row_number() OVER (PARTITION BY r.category ORDER BY y) AS rank
+SELECT category, CAST(rank AS INTEGER) AS rank, y, total FROM (
+  SELECT r.category, y, row_number() OVER (PARTITION BY r.category ORDER BY greatest({low} - y, y - ({high})) DESC, y) AS rank,
+         count(*) OVER (PARTITION BY r.category) AS total
   FROM r JOIN q USING (category) WHERE y < {low} OR y > {high}
 ) WHERE rank <= 50"""
     return ranked + f"""

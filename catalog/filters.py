@@ -34,7 +34,7 @@ def search_any(spark, sf):
 
 
 def search_text(spark, sf):
-    return filters.search(table(spark, sf, "documents"), "copyright").select("doc_id", "lang", "n_chars")
+    return filters.search(table(spark, sf, "documents"), "Example.COM").select("doc_id", "lang", "n_chars")
 
 
 def distinct_values(spark, sf):
@@ -47,7 +47,7 @@ def distinct_total(spark, sf):
 
 
 def distinct_search(spark, sf):
-    return filters.search_values(filters.distinct_values(table(spark, sf, "part"), "p_name"), "RING")
+    return filters.distinct_values(table(spark, sf, "part"), "p_name", search="RING")
 
 
 def sort_rows(spark, sf):
@@ -87,10 +87,10 @@ QUERIES = {
     "filter_boolean": (filter_boolean, "SELECT event_id, true AS is_error FROM events WHERE event_type = 'error'"),
     "drop_nulls": (drop_nulls, "SELECT c_custkey, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'"),
     "search_any": (search_any, "SELECT * FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget')"),
-    "search_text": (search_text, "SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), 'copyright') OR contains(lower(lang), 'copyright') OR contains(lower(source), 'copyright')"),
+    "search_text": (search_text, "SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), 'example.com') OR contains(lower(lang), 'example.com') OR contains(lower(source), 'example.com')"),
     "distinct_values": (distinct_values, "SELECT DISTINCT o_custkey AS value FROM orders WHERE o_custkey IS NOT NULL ORDER BY 1 LIMIT 1000"),
     "distinct_total": (distinct_total, "SELECT count(*) AS total_unique FROM (SELECT DISTINCT nullif(o_orderpriority, '5-LOW') FROM orders)"),
-    "distinct_search": (distinct_search, "SELECT value FROM (SELECT DISTINCT p_name AS value FROM part ORDER BY 1 LIMIT 1000) WHERE contains(lower(value), 'ring')"),
+    "distinct_search": (distinct_search, "SELECT DISTINCT p_name AS value FROM part WHERE contains(lower(p_name), 'ring') ORDER BY 1 LIMIT 1000"),
     "sort_rows": (sort_rows, "SELECT * FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey"),
     "page_sorted": (page_sorted, "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 45"),
     "page_after": (page_after, "SELECT * FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 20"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.common import scratch, table
@@ -32,6 +33,14 @@ def csv_scan_quoted(spark, sf):
     return tables.read_table(spark, path, separator=",")
 
 
+def csv_late_bad_cell(spark, sf):
+    """Whole numbers but for one cell in the last row: the column stays text and loses nothing."""
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_partkey") == F.max("p_partkey").over(Window.partitionBy()), "12.5 EUR").otherwise(F.col("p_size").cast("string")).alias("size"),
+    )
+    return tables.read_table(spark, _lines(part.orderBy("p_partkey"), scratch(spark, ".csv"), ","), separator=",")
+
+
 def csv_latin1(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("café "), F.col("lang")).alias("thé"))
     return tables.read_table(spark, _lines(docs, scratch(spark, ".csv"), ",", "ISO-8859-1")).toDF("doc_id", "the")
@@ -106,6 +115,7 @@ def ingest_csv(spark, sf):
 QUERIES = {
     "csv_scan": (csv_scan, "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"),
     "csv_scan_quoted": (csv_scan_quoted, "SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS title, CASE WHEN p_size <= 25 THEN CAST(p_size AS BIGINT) END AS size FROM part"),
+    "csv_late_bad_cell": (csv_late_bad_cell, "SELECT p_partkey, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN '12.5 EUR' ELSE CAST(p_size AS VARCHAR) END AS size FROM part"),
     "csv_latin1": (csv_latin1, "SELECT doc_id, 'café ' || lang AS the FROM documents"),
     "tsv_scan": (tsv_scan, "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"),
     "json_lines_scan": (json_lines_scan, "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"),

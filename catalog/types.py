@@ -109,6 +109,25 @@ def infer_cast(spark, sf):
     return typed.select(*[F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in typed.dtypes])
 
 
+def _late(spark, sf):
+    """Orders as text, with one odd cell per column in the row with the largest key."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    last = F.col("o_orderkey") == orders.agg(F.max("o_orderkey")).first()[0]
+    return orders.select(
+        F.col("o_orderkey"),
+        F.when(last, "maybe").when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("answer"),
+        F.when(last, "2001.75 kg").otherwise(F.col("o_custkey").cast("string")).alias("code"),
+    )
+
+
+def infer_late_word(spark, sf):
+    return inference.infer_and_cast(_late(spark, sf).select("o_orderkey", "answer"))
+
+
+def infer_late_fraction(spark, sf):
+    return inference.infer_and_cast(_late(spark, sf).select("o_orderkey", "code"))
+
+
 def suggested_types(spark, sf):
     text = _as_text(spark, sf)
     found = inference.suggested_overrides(text, inference.infer_and_cast(text))
@@ -186,6 +205,8 @@ SELECT event_id, strftime(CASE WHEN event_type IN ('click','error','purchase') T
 SELECT event_id, strftime(CASE WHEN event_type = 'click' THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END,
   '%Y-%m-%d %H:%M:%S.%g') AS moment FROM events"""),
     "infer_cast": (infer_cast, "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CAST(o_custkey AS {custkey}) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey) FROM orders".format(custkey="BIGINT")),
+    "infer_late_word": (infer_late_word, "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'maybe' WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM orders"),
+    "infer_late_fraction": (infer_late_fraction, "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN '2001.75 kg' ELSE CAST(o_custkey AS VARCHAR) END AS code FROM orders"),
     "suggested_types": (suggested_types, union_all([
         f"SELECT {_ALL} AS rows, '{c}' AS \"column\", '{t}' AS target"
         for c, t in (("o_orderkey", "Int64"), ("o_custkey", "Int64"), ("o_totalprice", "Float64"), ("o_orderdate", "Date"))

@@ -41,8 +41,6 @@ ID_WORDS = ["id", "uuid", "ref", "pk", "code", "index", "key", "idx", "num", "no
 # --- Fixed values: limits ----------------------------------------------------
 CATEGORY_LIMIT = 30        # at most this many distinct values -> categorical
 IDENTIFIER_RATIO = 0.95    # above this share of distinct values -> identifier
-HEAD_VALUES = 10           # values looked at when a text column is classified
-SAMPLE_ROWS = 2000         # values looked at when a schema is inferred
 PREVIEW_ROWS = 2000
 SHEET_PREVIEW_ROWS = 10
 ADVICE_ROWS = 100

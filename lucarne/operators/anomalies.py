@@ -30,7 +30,6 @@ from lucarne.session import small_table, stage
 
 TOP_CONTRIBUTORS = 2
 TOP_COLUMNS = 5
-SPREAD_BELOW = 5_000_000
 
 
 def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
@@ -47,7 +46,7 @@ def iqr_screen(df: DataFrame, k: float = 1.5) -> DataFrame:
     outside = []
     for c in names:
         _, (q1, q3) = quartiles.get(c, (0, (0.0, 0.0)))
-        v = cell(c).cast("double")
+        v = _number(c)
         outside.append(F.count_if((v < q1 - k * (q3 - q1)) | (v > q3 + k * (q3 - q1))))
     row = df.agg(F.count(F.lit(1)), *outside).first()
     n = row[0]
@@ -238,7 +237,7 @@ def _zscore(df, key, columns, known, threshold: float) -> DataFrame:
     scores, candidates, prune = [], [], True
     for c in columns:
         norm = known[c]
-        if not norm.std:
+        if not norm.std or not math.isfinite(norm.std):    # constant, or with an infinite cell
             scores.append(F.lit(None).cast("double"))
             continue
         filled = F.coalesce(_number(c), F.lit(norm.median))
@@ -292,12 +291,14 @@ def _isolation_forest(df, key, columns, known, contamination: float, n: int) ->
     the flagged rows are then scored again on the way out instead of writing the table a second time.
     """
     spark = df.sparkSession
-    if n <= SPREAD_BELOW:
-        # A small table may sit in one file block; scoring is heavy enough to deal it out first.
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+    endless = [c for c in columns if known[c].cells and not math.isfinite(known[c].mean)]
+    if endless:
+        raise ValueError(f"the isolation forest needs finite numbers; infinite ones are in {endless}")
     scaled = robust_scaled(df, columns, known, n)
-    features = df.select(*[s.alias(f"f{i}") for i, s in enumerate(scaled)])
-    grown = iforest.fit(features, features.columns, n)
+    # Rows are drawn by what they hold, not by where they lie: equal rows are drawn together, runs agree on any layout.
+    held = [F.to_json(F.struct(cell(c))) if t.startswith(("struct", "array", "map")) else cell(c) for c, t in df.dtypes]
+    features = df.select(*[s.alias(f"f{i}") for i, s in enumerate(scaled)], F.xxhash64(*held).alias("uid"))
+    grown = iforest.fit(features, features.columns[:-1], n)
     raw = iforest.score(grown, spark, scaled)
     scores = stage(df.select(raw.alias("raw")))
     lo, hi = scores.agg(F.min("raw"), F.max("raw")).first()

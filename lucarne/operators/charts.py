@@ -113,17 +113,18 @@ def boxplot_outliers(
     df: DataFrame, x: str, y: str, filters: Mapping[str, Any] | None = None,
     limit: int = BOX_LIMIT, per_box: int = BOX_OUTLIERS,
 ) -> DataFrame:
-    """Values outside the fences, the ``per_box`` smallest of each category (CHT-6).
+    """Values outside the fences, the ``per_box`` farthest of each category, and how many there are (CHT-6).
 
-    The rank filter becomes a group limit before the shuffle, so a category with a third of all
-    rows still sends at most ``per_box`` rows per task.
+    Distance counts from the nearer fence, on either side. The rank filter becomes a group limit before the shuffle, so a
+    category with a third of all rows still sends at most ``per_box`` rows per task.
     """
     points, fences = _boxes(df, x, y, filters, limit)
-    outside = points.join(F.broadcast(fences.select("category", "low", "high")), "category").filter(
-        (F.col("y") < F.col("low")) | (F.col("y") > F.col("high"))
-    )
-    rank = F.row_number().over(Window.partitionBy("category").orderBy("y"))
-    return outside.withColumn("rank", rank).filter(F.col("rank") <= per_box).select("category", "rank", "y")
+    far = F.greatest(F.col("low") - F.col("y"), F.col("y") - F.col("high"))
+    outside = points.join(F.broadcast(fences.select("category", "low", "high")), "category").withColumn("far", far).filter("far > 0")
+    total = outside.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("far"), "y"))
+    ranked = outside.withColumn("rank", rank).filter(F.col("rank") <= per_box)
+    return ranked.join(F.broadcast(total), "category").select("category", "rank", "y", "total")    # a row per box
 
 
 def chart_summary(chart: DataFrame) -> DataFrame:
@@ -149,13 +150,17 @@ def chart_summary(chart: DataFrame) -> DataFrame:
 
 def chart(
     df: DataFrame, chart_type: str, x: str, y: str | None = None, filters: Mapping[str, Any] | None = None,
-    key: Sequence[str] = (),
+    key: Sequence[str] = (), limit: int | None = None,
 ) -> DataFrame:
-    """The data behind one chart: the entry point that picks among the functions above."""
+    """The data behind one chart: the entry point that picks among the functions above.
+
+    ``limit`` is the number of points, bars or boxes; None takes the usual one of the chart.
+    """
+    size = {} if limit is None else {"limit": limit}
     if y is None:
-        return frequency(df, x, filters)
+        return frequency(df, x, filters, **size)
     if chart_type == "boxplot":
-        return boxplot(df, x, y, filters)
+        return boxplot(df, x, y, filters, **size)
     if chart_type == "scatter":
-        return scatter(df, x, y, filters, key)
-    return grouped_value(df, x, y, filters, PIE_LIMIT if chart_type == "pie" else BAR_LIMIT)
+        return scatter(df, x, y, filters, key, **size)
+    return grouped_value(df, x, y, filters, **({"limit": PIE_LIMIT if chart_type == "pie" else BAR_LIMIT} | size))

@@ -58,10 +58,16 @@ def search(df: DataFrame, text: str) -> DataFrame:
     return df.filter(reduce(Column.__or__, hits))
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """The first ``limit`` distinct values in order; NaN and infinities read as null (FLT-5)."""
+def distinct_values(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT, search: str | None = None) -> DataFrame:
+    """The first ``limit`` distinct values in order; NaN and infinities read as null (FLT-5).
+
+    With ``search`` only values whose text contains it, ignoring case, are listed; the limit comes after the search (FLT-6).
+    """
     value = cell(column).alias("value")
-    listed = df.select(value).filter(F.col("value").isNotNull()).distinct().orderBy("value").limit(limit)
+    found = df.select(value).filter(F.col("value").isNotNull()).distinct()
+    if search is not None:
+        found = search_values(found, search)
+    listed = found.orderBy("value").limit(limit)
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
         bad = F.isnan("value") | (F.abs("value") == float("inf"))
         listed = listed.select(F.when(~bad, F.col("value")).alias("value"))
@@ -75,7 +81,7 @@ def distinct_total(df: DataFrame, column: str) -> DataFrame:
 
 
 def search_values(values: DataFrame, text: str, column: str = "value") -> DataFrame:
-    """Distinct values whose text contains ``text``, ignoring case (FLT-6)."""
+    """Values whose text contains ``text``, ignoring case (FLT-6); to search a column use ``distinct_values(search=)``."""
     return values.filter(F.contains(F.lower(cell(column).cast("string")), F.lit(text.lower())))
 
 

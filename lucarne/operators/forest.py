@@ -107,13 +107,16 @@ def assemble(nodes: pd.DataFrame, trees: int, depth: int, subsample: int) -> For
 
 def fit(df: DataFrame, features: Sequence[str], n: int, trees: int = FOREST_TREES,
         subsample: int = FOREST_SUBSAMPLE, seed: int = FOREST_SEED) -> Forest:
-    """Grow a forest on the named double columns of ``df`` (``n`` rows, no nulls)."""
+    """Grow a forest on the named double columns of ``df`` (``n`` rows, no nulls).
+
+    ``uid`` identifies a row by its contents and decides which trees it goes to.
+    """
     size = min(subsample, n)
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     share = min(1.0, 4.0 * trees * size / n)
-    pool = df.select(*[cell(f).alias(f"x{i}") for i, f in enumerate(features)])
+    pool = df.select("uid", *[cell(f).alias(f"x{i}") for i, f in enumerate(features)])
     if share < 1.0:
-        pool = pool.sample(fraction=share, seed=seed)
+        pool = pool.filter(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(2**31)) < int(share * 2**31))
     # Every tree draws about twice the rows it needs from the (bounded) pool and keeps the first
     # `size` in hash order. Drawing is by row, so copies of one row take their share, no more.
     keep = min(1.0, 2.0 * size / max(1.0, n * share))
@@ -122,13 +125,13 @@ def fit(df: DataFrame, features: Sequence[str], n: int, trees: int = FOREST_TREE
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.pmod(F.xxhash64(F.col("uid"), t, F.lit(seed)), F.lit(2**31)) <= cut,
     )
-    members = pool.withColumn("uid", F.monotonically_increasing_id()).withColumn("tree", F.explode(drawn))
+    members = pool.withColumn("tree", F.explode(drawn))
     names = [f"x{i}" for i in range(len(features))]
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
-        group = group.sort_values("uid")
+        group = group.sort_values(["uid", *names])
         chosen = rng.permutation(len(group))[:size]
         nodes = grow_tree(group[names].to_numpy()[chosen], rng, depth)
         result = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "path"])

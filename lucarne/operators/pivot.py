@@ -53,11 +53,19 @@ def _aggregate(column: str, agg: str) -> Column:
 
 
 def _pivot_key(columns: Sequence[str]) -> Column:
-    """Text of the pivot cells; several columns are joined, any null makes the key "null" (PVT-4)."""
-    parts: list[Column] = []
+    """Text of the pivot cells behind a "v"; several columns are joined, any null makes the key "n" (PVT-4)."""
+    parts: list[Column] = [F.lit("v")]
     for c in columns:
         parts += [F.lit(PIVOT_SEPARATOR), cell(c).cast("string")]
-    return F.coalesce(F.concat(*parts[1:]), F.lit("null"))
+    return F.coalesce(F.concat(parts[0], *parts[2:]), F.lit("n"))
+
+
+def _shown_keys(keys: Sequence[str]) -> dict[str, str]:
+    """What each key is called: its text, "null" for null, and "null (text)" for that very text beside a null."""
+    shown = {k: k[1:] if k != "n" else "null" for k in keys}
+    if "n" in shown and "vnull" in shown:
+        shown["vnull"] = "null (text)"
+    return shown
 
 
 def pivot(
@@ -69,13 +77,17 @@ def pivot(
     totals: str | None = "displayed",
     value_col: str | None = None,
     agg_func: str | None = None,
+    max_columns: int = PIVOT_WIDTH,
 ) -> DataFrame:
     """Aggregates per row group, spread over the values of ``columns`` if any are named.
 
     ``totals="displayed"`` adds a row flagged ``is_total`` that sums the shown cells of every value
     column, whatever its aggregate (PVT-6); ``"recompute"`` applies the aggregate to the whole
-    table instead; None leaves the row out. Cells are rounded to two decimals (PVT-7).
+    table instead; None leaves the row out. Cells are rounded to two decimals (PVT-7). More than ``max_columns`` values
+    of ``columns`` are refused, and so is a row column named ``is_total``.
     """
+    if "is_total" in rows:
+        raise ValueError("a row column cannot be called is_total")
     specs = _value_specs(values, value_col, agg_func)
     _check(df, rows, columns, specs)
     df = apply_filters(df, filters)
@@ -84,19 +96,25 @@ def pivot(
     types = {f"{a}({c})" if named else c: a for c, a in specs}
 
     if columns:
-        keyed = df.withColumn("_pivot_key", _pivot_key(columns))
-        found = keyed.select("_pivot_key").distinct().limit(PIVOT_WIDTH + 1).collect()
-        if len(found) > PIVOT_WIDTH:
-            raise ValueError(f"too many pivot columns (more than {PIVOT_WIDTH})")
-        keys = sorted(r[0] for r in found)
+        own = "pivot_key"
+        while own in df.columns:
+            own += "_"
+        keyed = df.withColumn(own, _pivot_key(columns))
+        found = keyed.select(own).distinct().limit(max_columns + 1).collect()
+        if len(found) > max_columns:
+            raise ValueError(f"too many pivot columns (more than {max_columns})")
+        called = _shown_keys([r[0] for r in found])
+        keys = sorted(called.values())
+        inner = sorted(called, key=called.get)
 
         def spread(data: DataFrame, by: Sequence[str]) -> DataFrame:
-            wide = data.groupBy(*[cell(r) for r in by]).pivot("_pivot_key", keys).agg(*aggregates)
+            wide = data.groupBy(*[cell(r) for r in by]).pivot(own, inner).agg(*aggregates)
             # Spark names a cell by its key (one aggregate) or key_aggregate (several).
             if len(specs) > 1:
-                shown = [cell(f"{k}_{n}").alias(f"{n}_{k}") for n in types for k in keys]
-                return wide.select(*[cell(r) for r in by], *shown)
-            return wide
+                shown = [cell(f"{k}_{n}").alias(f"{n}_{called[k]}") for n in types for k in inner]
+            else:
+                shown = [cell(k).alias(called[k]) for k in inner]
+            return wide.select(*[cell(r) for r in by], *shown)
 
         table = spread(keyed, rows)
         headers = {f"{n}_{k}" if len(specs) > 1 else k: a for n, a in types.items() for k in keys}

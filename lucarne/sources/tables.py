@@ -53,7 +53,7 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, **opti
 
 def read_delimited(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
-    infer: bool = True, multi_line: bool = False, on_bad_cell: str = "null",
+    infer: bool = True, multi_line: bool = False, on_bad_cell: str = "text",
 ) -> DataFrame:
     """CSV or TSV with a header line (SRC-2, SRC-3).
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lucarne.operators import forest
 from lucarne.operators.anomalies import detect_anomalies, iqr_screen, row_severity
+from lucarne.operators.profile import numeric_histogram
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +127,27 @@ def test_nan_is_never_beyond_a_fence(rows):
     df = rows([(i, v) for i, v in enumerate([1.0, 2.0, 3.0, 2.0, 1.0, float("nan"), None, 90.0])], "key int, v double")
     for method in ("iqr", "zscore"):
         assert {r.key for r in detect_anomalies(df, method, "strict", ["v"], ["key"]).anomalies.collect()} == {7}
+
+
+def test_numbers_that_are_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(i, float(i % 50), float(i % 40)) for i in range(1000)] + [(1000, inf, 500.0), (1001, nan, 3.0), (1002, -inf, 3.0)]
+    df = spark.createDataFrame(rows, "key int, size_a double, size_b double")
+    found = detect_anomalies(df, "zscore", "strict", ["size_a", "size_b"], ["key"])
+    assert [r.key for r in found.anomalies.collect()] == [1000]
+    assert sorted(r.key for r in detect_anomalies(df, "iqr", "strict", ["size_a"], ["key"]).anomalies.collect()) == [1000, 1002]
+    assert {r["column"]: r["count"] for r in iqr_screen(df).collect()} == {"size_a": 2, "size_b": 1}
+    with pytest.raises(ValueError, match="size_a"):
+        detect_anomalies(df, "isolation_forest", "standard", ["size_a"], ["key"])
+    bins = [r for r in numeric_histogram(df, ["size_a"], bins=3).collect()]
+    assert sorted((r.bin, r["count"]) for r in bins) == [(0, 341), (1, 320), (2, 341)]
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    df = spark.range(8000).select("id", F.randn(3).alias("a"), F.rand(4).alias("b")).cache()
+    want = None
+    for parts in (1, 3, 8):
+        found = detect_anomalies(df.repartition(parts), "isolation_forest", "standard", ["a", "b"], ["id"])
+        got = sorted((r.id, r.score) for r in found.anomalies.collect())
+        want = want or got
+        assert got == want and got

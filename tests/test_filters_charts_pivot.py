@@ -82,11 +82,25 @@ def test_boxplot(rows):
     assert set(boxes) == {"a", "b"}
     assert tuple(boxes["a"])[1:] == (6, 1.0, 2.0, 4.0, 5.0, 5.0)
     assert tuple(boxes["b"])[1:] == (1, 7.0, 7.0, 7.0, 7.0, 7.0)
-    assert [tuple(r) for r in charts.boxplot_outliers(df, "g", "v").collect()] == [("a", 1, 100.0)]
+    assert [tuple(r) for r in charts.boxplot_outliers(df, "g", "v").collect()] == [("a", 1, 100.0, 1)]
     with pytest.raises(ValueError):
         charts.boxplot(df, "v", "g")
 
 
+def test_outliers_of_both_ends(rows):
+    usual = [("a", float(v % 10)) for v in range(1000)]
+    df = rows(usual + [("a", -100.0 - i) for i in range(60)] + [("a", 100.0 + i) for i in range(60)], "g string, v double")
+    got = charts.boxplot_outliers(df, "g", "v").collect()
+    assert len(got) == 50 and {r.total for r in got} == {120}
+    assert min(r.y for r in got) == -159.0 and max(r.y for r in got) == 159.0
+    assert charts.chart(df, "boxplot", "g", "v", limit=1).count() == 1 and charts.chart(df, "bar", "v", limit=3).count() == 3
+
+
+def test_search_comes_before_the_limit(spark):
+    df = spark.range(3000).select(F.when(F.col("id") > 2500, F.concat(F.lit("z needle "), "id")).otherwise(F.concat(F.lit("a"), "id")).alias("v"))
+    assert filters.distinct_values(df, "v", search="NEEDLE").count() == 499
+
+
 def test_boxplot_keeps_the_first_categories(rows):
     df = rows([(f"{i:02d}", float(j)) for i in range(40) for j in range(3)], "g string, v double")
     assert sorted(r.category for r in charts.boxplot(df, "g", "v").collect()) == [f"{i:02d}" for i in range(30)]
@@ -154,3 +168,15 @@ def test_totals_reuse_the_aggregation(spark):
     table.collect()
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_pivot_keeps_null_apart_from_the_text(rows):
+    df = rows([("a", None, 1.0), ("a", "null", 10.0), ("b", "x", 5.0)], "g string, pivot_key string, v double")
+    got = {r.g: r for r in pivot(df, ["g"], [("v", "sum")], ["pivot_key"], totals=None).collect()}
+    assert (got["a"]["null"], got["a"]["null (text)"], got["b"]["x"]) == (1.0, 10.0, 5.0)
+    two = pivot(df.withColumn("w", F.lit(2)), ["g"], [("v", "sum"), ("w", "count")], ["pivot_key"], totals=None)
+    assert two.columns == ["g", "sum(v)_null", "sum(v)_null (text)", "sum(v)_x", "count(w)_null", "count(w)_null (text)", "count(w)_x", "is_total"]
+    with pytest.raises(ValueError):
+        pivot(df, ["g"], [("v", "sum")], ["pivot_key"], max_columns=2)
+    with pytest.raises(ValueError):
+        pivot(df.withColumnRenamed("g", "is_total"), ["is_total"], [("v", "sum")])
