@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lucarne.llm.shared import slices
+from lucarne.llm.shared import reachable, slices
 
 SPACE = "▁"
 #: Words whose encoding a task keeps before it starts anew.
@@ -343,6 +343,7 @@ def read_model(path: str) -> bytes:
 
 def _with_columns(df: DataFrame, columns: list[T.StructField], over: str, make) -> DataFrame:
     """Each row with new columns at its end; columns of the same names are replaced."""
+    reachable(df.sparkSession)
     names = {c.name.lower() for c in columns}
     kept = [f for f in df.schema.fields if f.name.lower() not in names or f.name == over]
     schema = T.StructType([f for f in kept if f.name.lower() not in names] + columns)

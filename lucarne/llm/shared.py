@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,19 @@ from lucarne.session import staging_root
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, if they have no other copy."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +52,7 @@ class Staging:
     """Parquet tables below ``spark.checkpoint.dir`` that cut lineage, outlive executors, and can be dropped again."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = reachable(spark)
         self.root = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
