@@ -56,6 +56,15 @@ def json_lines_scan(spark, sf):
     return tables.read_table(spark, path)
 
 
+def json_array_scan(spark, sf):
+    """One array document per nation, read as a folder."""
+    suppliers = table(spark, sf, "supplier").withColumn("part", F.col("s_nationkey"))
+    arrays = suppliers.groupBy("part").agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))).alias("value"))
+    path = scratch(spark)
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return tables.read_table(spark, f"{path}/*", format="json").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
 def parquet_scan(spark, sf):
     return tables.read_table(spark, f"{sf}/nation.parquet")
 
@@ -119,6 +128,7 @@ QUERIES = {
     "csv_latin1": (csv_latin1, "SELECT doc_id, 'café ' || lang AS the FROM documents"),
     "tsv_scan": (tsv_scan, "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"),
     "json_lines_scan": (json_lines_scan, "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"),
+    "json_array_scan": (json_array_scan, "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"),
     "parquet_scan": (parquet_scan, "SELECT * FROM nation"),
     "parquet_positions": (parquet_positions, "SELECT o_orderkey, o_orderkey - (SELECT min(o_orderkey) FROM orders) AS row_index FROM orders"),
     "detect_sep": (detect_sep, "SELECT unnest([',', ';', '|', 'TAB']) AS separator, unnest([0.0, 0.0, 4.0, 0.0]::DOUBLE[]) AS score FROM (SELECT count(*) FROM customer)"),

@@ -171,6 +171,11 @@ def flatten_nested(spark, sf):
     return flat.select("vec_id", F.json_array_length("embedding").cast("bigint").alias("dimensions"), "label")
 
 
+def flatten_struct(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("who"), F.array("o_orderkey", "o_custkey").alias("pair"))
+    return cleaning.flatten_nested(rows)
+
+
 def clean_names(spark, sf):
     raw = table(spark, sf, "nation").toDF("﻿n_key ", " n_key", "  ")
     return cleaning.clean_column_names(raw)
@@ -222,6 +227,8 @@ UNION ALL SELECT 'o_orderkey', 'String', rows, rows, rows, 'ok' FROM n"""),
     "null_tokens": (null_tokens, "SELECT doc_id, CASE WHEN lang IN ('fr','en','de') THEN NULL ELSE lang END AS lang, source FROM documents"),
     "error_tokens": (error_tokens, "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F','O') THEN NULL ELSE o_orderstatus END AS status FROM orders"),
     "flatten_nested": (flatten_nested, "SELECT vec_id, len(embedding) AS dimensions, label FROM embeddings"),
+    "flatten_struct": (flatten_struct, """
+SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS who, '[' || o_orderkey || ',' || o_custkey || ']' AS pair FROM orders"""),
     "clean_names": (clean_names, "SELECT n_nationkey AS n_key, n_name AS n_key_1, n_regionkey AS \"column\" FROM nation"),
     "header_fill": (header_fill, "SELECT n_nationkey AS nation, n_name AS nation_1, n_regionkey AS nation_2 FROM nation"),
     "table_gaps": (table_gaps, union_all([

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucarne.functions.vocabulary import SEPARATORS
 
 UTF8, LATIN1, UTF16_LE, UTF16_BE = "UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE"
+#: Read as ISO-8859-1, which Spark's reader knows, and then translated.
+CP1252 = "windows-1252"
 SEPARATOR_LINES = 5
 
 
@@ -20,7 +24,7 @@ def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Lines keep their bytes until they are decoded, so whole files are checked in splittable reads,
     not their first kilobytes and not one blob per task. Valid UTF-8 is UTF-8, a UTF-16 mark at the
-    start of the file says UTF-16, anything else is read as ISO-8859-1.
+    start of the file says UTF-16, a byte that ISO-8859-1 has no character for says Windows-1252, the rest is ISO-8859-1.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("head")
@@ -28,16 +32,23 @@ def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
     value = F.col("value")
     return lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
+        F.bool_or(F.decode(value.cast("binary"), LATIN1).rlike(r"[\x80-\x9f]")).alias("cp1252"),
         F.bool_or(F.col("head") & _starts(value, b"\xff\xfe")).alias("le"),
         F.bool_or(F.col("head") & _starts(value, b"\xfe\xff")).alias("be"),
         F.bool_or(F.col("head") & _starts(value, b"\xef\xbb\xbf")).alias("mark"),
     ).select(
         "path",
-        F.when(F.col("le"), UTF16_LE).when(F.col("be"), UTF16_BE).when(F.col("utf8"), UTF8).otherwise(LATIN1).alias("encoding"),
+        F.when(F.col("le"), UTF16_LE).when(F.col("be"), UTF16_BE).when(F.col("utf8"), UTF8).when(F.col("cp1252"), CP1252).otherwise(LATIN1).alias("encoding"),
         (F.col("le") | F.col("be") | F.col("mark")).alias("has_bom"),
     )
 
 
+def from_cp1252(value: Column) -> Column:
+    """Text read as ISO-8859-1 that was written in Windows-1252; bytes without a character there stay as they are."""
+    known = [(chr(b), bytes([b]).decode(CP1252)) for b in range(0x80, 0xA0) if bytes([b]).decode(CP1252, "ignore")]
+    return F.translate(value, "".join(a for a, _ in known), "".join(b for _, b in known))
+
+
 def files_by_encoding(spark: SparkSession, path: str | list[str]) -> dict[str, list[str] | None]:
     """Files per encoding; None stands for "all of them" where there is but one encoding."""
     found = detect_encoding(spark, path)
@@ -45,7 +56,7 @@ def files_by_encoding(spark: SparkSession, path: str | list[str]) -> dict[str, l
     if len(kinds) <= 1:
         return {kinds[0] if kinds else UTF8: None}
     return {
-        kind: [r[0] for r in found.filter(F.col("encoding") == kind).select("path").orderBy("path").collect()]
+        kind: [unquote(r[0]) for r in found.filter(F.col("encoding") == kind).select("path").orderBy("path").collect()]
         for kind in kinds
     }
 

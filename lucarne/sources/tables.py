@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lucarne.operators.cleaning import TableError, cell, clean_names, null_tokens_to_null
 from lucarne.operators.inference import infer_delimited
-from lucarne.sources.detection import UTF16_BE, UTF16_LE, detect_separator, files_by_encoding
+from lucarne.sources.detection import CP1252, LATIN1, UTF16_BE, UTF16_LE, detect_separator, files_by_encoding, from_cp1252
 from lucarne.sources.workbook import read_sheet
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "ndjson", ".ndjson": "ndjson",
@@ -67,17 +67,18 @@ def read_delimited(
     parts = []
     names: list[str] | None = None
     for kind, files in groups.items():
-        options = {"sep": separator, "encoding": kind, "multiLine": multi_line, "quote": '"', "escape": '"'}
+        windows = kind.lower() == CP1252
+        options = {"sep": separator, "encoding": LATIN1 if windows else kind, "multiLine": multi_line, "quote": '"', "escape": '"'}
         if kind in (UTF16_LE, UTF16_BE):
             options["lineSep"] = "\n"    # the line break is two bytes in these encodings
         source = files or path
         if names is None:
-            header = spark.read.options(header=False, **options).csv(source).first()
+            head = spark.read.options(header=False, **options).csv(source)
+            header = (head.select(*[from_cp1252(cell(c)) for c in head.columns]) if windows else head).first()
             names = clean_names([h or "" for h in header])
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        parts.append(
-            spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", **options).csv(source)
-        )
+        part = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", **options).csv(source)
+        parts.append(part.select(*[from_cp1252(cell(n)).alias(n) for n in names]) if windows else part)
     df = reduce(DataFrame.unionByName, parts)
     if any(kind in (UTF16_LE, UTF16_BE) for kind in groups):
         df = df.select(*[F.regexp_replace(cell(n), r"\r$", "").alias(n) for n in df.columns])

@@ -252,3 +252,12 @@ def test_ingest_report(spark, put):
     assert got.header_warning and got.suggested_overrides == {"2020": "Int64"}
     assert got.table.dtypes == [("2020", "string"), ("2021", "string")]
     assert got.preview().count() == 2 and got.catalogue().count() == 2
+
+
+def test_windows_1252_and_blanks_in_paths(spark, tmp_path):
+    folder = tmp_path / "two files.csv"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("œuvre,prix\nl’été,5 €\n".encode("windows-1252"))
+    (folder / "c d.csv").write_bytes("œuvre,prix\nécole,6 €\n".encode())
+    df = tables.read_table(spark, str(folder), format="csv", separator=",")
+    assert sorted(tuple(r) for r in df.collect()) == [("l’été", "5 €"), ("école", "6 €")]
