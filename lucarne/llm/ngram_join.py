@@ -9,8 +9,8 @@ into three; of every part the three choices of two subparts give one signature e
 set's shingles in the chosen subparts. With 2 * n1 > k some part holds at most one difference, so two linked sets share a signature.
 
 Candidates. Rows (signature, class) are dealt and sorted by signature and streamed; a signature of one class is dropped there.
-First each class meets the first class of each of its signatures. Then, where a signature still spans several components,
-its classes meet in blocks of ``BLOCK``, all pairs of different components. Blocks are pairs of bounded size in tasks of their
+First each class meets the first class of each of its signatures. Then the signatures that still span several components
+are put together by their first class, and the classes of such a group meet in blocks of ``BLOCK``, all pairs of different components. Blocks are pairs of bounded size in tasks of their
 own, and only pairs that may be linked leave them: a sketch of shingle counts per hash bin bounds the differences from below.
 No bucket is capped, so no link between components is lost. Pairs inside a component are not compared further.
 
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lucarne.llm.components import components
 from lucarne.llm.shared import Staging, slices
 
-#: Classes of one signature that meet in one comparison block.
+#: Classes of one group that meet about in one comparison block.
 BLOCK = 512
 #: Bins of the sketch; counts are cut at 255, which only loosens the bound. Pairs are first compared on sums of ``FOLD`` bins.
 BINS = 512
@@ -52,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words; a bounded table keeps those of frequent words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -276,19 +276,19 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def _block_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of different components that share a signature and may be linked.
+    """Distinct (a, b) of different components that share a group and may be linked.
 
-    ``open_rows`` has sig, class, place, root, size and sketch of signatures that span several components.
+    ``open_rows`` has lead, class, root, size and sketch: a group is the classes of all open signatures with the same first
+    class. Signatures of near copies mostly have the same few first classes, so a pair meets a few times only.
     """
-    block = F.col("place").cast("long").bitwiseAND(-BLOCK) / BLOCK
-    rows = open_rows.withColumn("own", block.cast("long"))
-    count = rows.where(F.col("own") > 0).groupBy("sig").agg(F.max("own").alias("last"))
-    rows = rows.join(count, "sig", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))))
-    rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "size", "sketch")
+    count = open_rows.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = open_rows.join(count, "lead").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("lead", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "size", "sketch")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches, ["sig", "x", "y"]):
-            table = group[["sig", "x", "y"]].to_numpy()
+        for group in whole_groups(batches, ["lead", "x", "y"]):
+            table = group[["lead", "x", "y"]].to_numpy()
             root, own, cls, size = (group[c].to_numpy() for c in ("root", "own", "class", "size"))
             across, sketch = table[:, 1] != table[:, 2], _table(group["sketch"])
             coarse = _folded(sketch)
@@ -305,7 +305,7 @@ def _block_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
                 if len(i):
                     yield pd.DataFrame({"a": np.minimum(cls[i], cls[i + step]), "b": np.maximum(cls[i], cls[i + step])})
 
-    dealt = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    dealt = rows.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -359,7 +359,7 @@ def linked_components(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     wide = shared.where("place >= 2").select("sig").distinct()
     rooted = shared.join(wide, "sig", "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    open_rows = rooted.join(several, "sig", "left_semi").join(classes.select("class", "size", "sketch"), "class")
+    open_rows = rooted.join(several, "sig", "left_semi").select("lead", "class", "root").distinct().join(classes.select("class", "size", "sketch"), "class")
     rest = staging.keep(_block_pairs(open_rows, percent).join(pairs, ["a", "b"], "left_anti"))
     links = links.union(_verified(rest, docs, full, words, percent, staging))
     roots = staging.keep(components(links, staging))
