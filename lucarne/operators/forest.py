@@ -1,13 +1,14 @@
 """Isolation forest on Spark (ANO-4): trees grown in tasks from bounded subsamples, scored by batch.
 
-One round of sampling feeds all trees. Each tree is grown by one task from its 256 rows; the
-grown forest (at most 100 x 511 nodes, whatever the table) is broadcast for scoring.
+One round of sampling feeds all trees. Equal points are counted first and their copies drawn by
+number, so a point filling a third of the table has a third of every tree's places and costs one
+row. Each tree is grown by one task from its 256 rows; the grown forest (at most 100 x 511 nodes, whatever the table) is broadcast for scoring.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,30 +110,44 @@ def fit(df: DataFrame, features: Sequence[str], n: int, trees: int = FOREST_TREE
         subsample: int = FOREST_SUBSAMPLE, seed: int = FOREST_SEED) -> Forest:
     """Grow a forest on the named double columns of ``df`` (``n`` rows, no nulls).
 
-    ``uid`` identifies a row by its contents and decides which trees it goes to.
+    What is drawn follows from the points and their numbers of copies alone, on any layout.
     """
     size = min(subsample, n)
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     share = min(1.0, 4.0 * trees * size / n)
-    pool = df.select("uid", *[cell(f).alias(f"x{i}") for i, f in enumerate(features)])
+    names = [f"x{i}" for i in range(len(features))]
+    points = df.select(*[cell(f).alias(x) for f, x in zip(features, names)])
+    points = points.groupBy(*names).agg(F.count("*").alias("copies")).withColumn("uid", F.xxhash64(*names))
+    # Each copy is in the pool with probability `share`. One hash tells which copy is the first one
+    # in; a point without any ends here, and the copies after the first are drawn by their number.
+    first = F.lit(-1).cast("long")
     if share < 1.0:
-        pool = pool.filter(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(2**31)) < int(share * 2**31))
-    # Every tree draws about twice the rows it needs from the (bounded) pool and keeps the first
-    # `size` in hash order. Drawing is by row, so copies of one row take their share, no more.
+        even = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+        first = F.floor(F.log1p(-even) / F.lit(float(np.log1p(-share))))
+    pool = points.withColumn("first", first).filter(F.col("first") < F.col("copies"))
+    # Every tree draws about twice the rows it needs from the (bounded) pool and keeps `size` of them.
     keep = min(1.0, 2.0 * size / max(1.0, n * share))
-    cut = int(keep * 2**31)
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("uid"), t, F.lit(seed)), F.lit(2**31)) <= cut,
-    )
-    members = pool.withColumn("tree", F.explode(drawn))
-    names = [f"x{i}" for i in range(len(features))]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            taken = np.zeros((len(batch), trees), dtype=np.int64)
+            for row, (uid, copies, before) in enumerate(zip(batch["uid"], batch["copies"], batch["first"])):
+                rng = np.random.default_rng([seed, int(uid) % 2**64])
+                held = copies if before < 0 else 1 + rng.binomial(copies - before - 1, share)
+                taken[row] = rng.binomial(held, keep, trees)
+            row, tree = np.nonzero(taken)
+            drawn = batch.iloc[row][["uid", *names]]
+            yield drawn.assign(tree=tree.astype(np.int32), copies=taken[row, tree])
+
+    fields = ", ".join(["uid long", *[f"{x} double" for x in names], "tree int", "copies long"])
+    members = pool.mapInPandas(draw, fields)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
         group = group.sort_values(["uid", *names])
-        chosen = rng.permutation(len(group))[:size]
+        every = np.repeat(np.arange(len(group)), group["copies"])
+        chosen = every[rng.permutation(len(every))[:size]]
         nodes = grow_tree(group[names].to_numpy()[chosen], rng, depth)
         result = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "path"])
         result.insert(0, "tree", tree)

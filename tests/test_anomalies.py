@@ -151,3 +151,21 @@ def test_forest_does_not_depend_on_the_layout(spark):
         got = sorted((r.id, r.score) for r in found.anomalies.collect())
         want = want or got
         assert got == want and got
+
+
+def test_forest_sees_equal_rows_in_a_large_table(spark):
+    df = spark.range(300000).select(
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(3)).alias("a"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(4)).alias("b"),
+    )
+    found = detect_anomalies(df, "isolation_forest", "standard", ["a", "b"], ["a"])
+    assert found.anomalies.filter("a = 5").count() == 0     # rows without a key: a third of them are one point
+    assert 20000 < found.anomalies.count() <= 30000
+
+
+def test_forest_draws_copies_by_their_share(spark):
+    held = spark.range(400000).select(F.when(F.col("id") % 4 == 0, 5.0).otherwise(F.rand(3)).alias("a"))
+    grown = forest.fit(held, ["a"], 400000, trees=50)
+    at = grown.scores(np.array([[5.0]]))[0]
+    # 64 of a tree's 256 rows lie beyond its first splits.
+    few = forest.fit(held.filter("a <> 5"), ["a"], 300000, trees=50).scores(np.array([[5.0]]))[0]
+    assert at > few + 0.05
