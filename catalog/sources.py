@@ -33,6 +33,18 @@ def csv_scan_quoted(spark, sf):
     return tables.read_table(spark, path, separator=",")
 
 
+def csv_two_headers(spark, sf):
+    """Files with their columns in two orders, and one with a row longer than its header."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    path = scratch(spark)
+    _lines(part.filter("p_partkey % 2 = 0"), f"{path}/even", ",")
+    _lines(part.filter("p_partkey % 2 = 1").select("p_size", "p_partkey", "p_name"), f"{path}/odd", ",")
+    spark.range(1).select(F.lit("p_partkey,p_name,p_size\n0,long,1,beyond")).write.text(f"{path}/long")
+    read = tables.read_table(spark, f"{path}/*", format="csv", separator=",")
+    (beyond,) = [c for c in read.columns if c not in part.columns]
+    return read.select(*part.columns, F.col(beyond).alias("beyond"))
+
+
 def csv_late_bad_cell(spark, sf):
     """Whole numbers but for one cell in the last row: the column stays text and loses nothing."""
     part = table(spark, sf, "part").select(
@@ -124,6 +136,7 @@ def ingest_csv(spark, sf):
 QUERIES = {
     "csv_scan": (csv_scan, "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"),
     "csv_scan_quoted": (csv_scan_quoted, "SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS title, CASE WHEN p_size <= 25 THEN CAST(p_size AS BIGINT) END AS size FROM part"),
+    "csv_two_headers": (csv_two_headers, "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, NULL::VARCHAR AS beyond FROM part UNION ALL SELECT 0, 'long', 1, 'beyond'"),
     "csv_late_bad_cell": (csv_late_bad_cell, "SELECT p_partkey, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN '12.5 EUR' ELSE CAST(p_size AS VARCHAR) END AS size FROM part"),
     "csv_latin1": (csv_latin1, "SELECT doc_id, 'café ' || lang AS the FROM documents"),
     "tsv_scan": (tsv_scan, "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"),

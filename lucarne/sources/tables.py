@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
-from functools import reduce
+import sys
+from collections.abc import Iterator
+from functools import partial, reduce
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +24,9 @@ from lucarne.sources.workbook import read_sheet
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "ndjson", ".ndjson": "ndjson",
            ".xlsx": "xlsx", ".parquet": "parquet"}
 
+#: Column for records whose cells are fewer or more than the schema's.
+RAW = "_raw_record"
+
 
 class UnsupportedFormat(ValueError):
     """The file name has none of the known endings."""
@@ -55,9 +64,10 @@ def read_delimited(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
     infer: bool = True, multi_line: bool = False, on_bad_cell: str = "text",
 ) -> DataFrame:
-    """CSV or TSV with a header line (SRC-2, SRC-3).
+    """CSV or TSV with a header line in every file (SRC-2, SRC-3).
 
-    Names come from the first header, cleaned; every file is read under that all-text schema.
+    Files are read under their own header, names cleaned, and put together by name; a column that a file does not have is null
+    there. Cells beyond the header's length get columns of their own, named like columns without a name.
     ``multi_line`` allows line breaks inside quotes but makes files unsplittable, so it is off.
     """
     if not spark.read.text(path).take(1):
@@ -65,27 +75,69 @@ def read_delimited(
     separator = separator or detect_separator(spark, path)
     groups = {encoding: None} if encoding else files_by_encoding(spark, path)
     parts = []
-    names: list[str] | None = None
     for kind, files in groups.items():
         windows = kind.lower() == CP1252
         options = {"sep": separator, "encoding": LATIN1 if windows else kind, "multiLine": multi_line, "quote": '"', "escape": '"'}
         if kind in (UTF16_LE, UTF16_BE):
             options["lineSep"] = "\n"    # the line break is two bytes in these encodings
-        source = files or path
-        if names is None:
-            head = spark.read.options(header=False, **options).csv(source)
-            header = (head.select(*[from_cp1252(cell(c)) for c in head.columns]) if windows else head).first()
-            names = clean_names([h or "" for h in header])
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", **options).csv(source)
-        parts.append(part.select(*[from_cp1252(cell(n)).alias(n) for n in names]) if windows else part)
-    df = reduce(DataFrame.unionByName, parts)
+        for header, source, widest in _files_by_header(spark, files or path, options, windows):
+            width = _width(spark, source, options, len(header)) if widest > len(header) else len(header)
+            names = clean_names([*header, *[""] * (width - len(header))])
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            part = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", **options).csv(source)
+            parts.append(part.select(*[from_cp1252(cell(n)).alias(n) for n in names]) if windows else part)
+    df = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
     if any(kind in (UTF16_LE, UTF16_BE) for kind in groups):
         df = df.select(*[F.regexp_replace(cell(n), r"\r$", "").alias(n) for n in df.columns])
     df = null_tokens_to_null(df)
     return infer_delimited(df, on_bad_cell) if infer else df
 
 
+def _files_by_header(spark: SparkSession, source: str | list[str], options: dict, windows: bool) -> list[tuple[list[str], str | list[str], int]]:
+    """Headers with their files, in the order of paths, and a bound on the cells of a row; one scan, one row per file to the driver."""
+    # All but rows of one cell are bad records under this schema and come as they are written.
+    lines = spark.read.schema(f"cell string, {RAW} string").options(header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, **options).csv(source)
+    raw = F.coalesce(F.col(RAW), F.lit(""))
+    cells = F.floor((F.length(raw) - F.length(F.replace(raw, F.lit(options["sep"])))) / len(options["sep"])) + 1
+    text = [from_cp1252(F.col(c)).alias(c) if windows else F.col(c) for c in ("cell", RAW)]
+    seen = lines.select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"),
+        F.monotonically_increasing_id().alias("at"), F.struct(*text).alias("row"), cells.alias("cells"),
+    )
+    first = F.min_by(F.when(F.col("head"), F.col("row")), F.when(F.col("head"), F.col("at")))
+    found = seen.groupBy("file").agg(first.alias("first"), F.max("cells").alias("cells")).orderBy("file").collect()
+    groups: dict[tuple[str, ...], list] = {}
+    for file, row, most in found:
+        header = [row["cell"]] if row[RAW] is None else _cells(row[RAW], options["sep"])
+        held = groups.setdefault(tuple((h or "").strip("\ufeff\r\0") for h in header), [[], 0])
+        held[0].append(unquote(file))
+        held[1] = max(held[1], most)
+    if len(groups) == 1:
+        return [(list(header), source, most) for header, (_, most) in groups.items()]
+    return [(list(header), files, most) for header, (files, most) in groups.items()]
+
+
+def _cells(record: str, separator: str) -> list[str]:
+    csv.field_size_limit(sys.maxsize)
+    return next(csv.reader(io.StringIO(record, newline=""), delimiter=separator), [])
+
+
+def _width(spark: SparkSession, source: str | list[str], options: dict, header: int) -> int:
+    """Cells of the longest row, at least as many as the header has."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(header)] + [T.StructField(RAW, T.StringType())])
+    rows = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, **options).csv(source)
+    separator = options["sep"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(next(csv.reader(io.StringIO(r, newline=""), delimiter=separator), [])) for r in batch[RAW]]})
+
+    # Rows with as many cells as the header are no bad records and are not looked at.
+    longest = rows.filter(F.col(RAW).isNotNull()).mapInPandas(run, "n int").agg(F.max("n")).first()[0]
+    return max(header, longest or 0)
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON array of flat objects, or one flat object per line (SRC-4, SRC-5).
 

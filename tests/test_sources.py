@@ -261,3 +261,13 @@ def test_windows_1252_and_blanks_in_paths(spark, tmp_path):
     (folder / "c d.csv").write_bytes("œuvre,prix\nécole,6 €\n".encode())
     df = tables.read_table(spark, str(folder), format="csv", separator=",")
     assert sorted(tuple(r) for r in df.collect()) == [("l’été", "5 €"), ("école", "6 €")]
+
+
+def test_header_of_every_file_and_long_rows(spark, tmp_path):
+    for name, content in {"a": "x,y\n1,one\n", "b": "y,x\ntwo,2\n", "c": 'x,y\n3,three,more\n"4","a, b"\n5\n', "d": "y,z\nsix,6\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(content)
+    df = tables.read_table(spark, str(tmp_path), format="csv")
+    extra = [c for c in df.columns if c not in ("x", "y", "z")]
+    assert df.columns[:2] == ["x", "y"] and len(extra) == 1
+    got = {(r.x, r.y, r[extra[0]], r.z) for r in df.collect()}
+    assert got == {(1, "one", None, None), (2, "two", None, None), (3, "three", "more", None), (4, "a, b", None, None), (5, None, None, None), (None, "six", None, 6)}
