@@ -52,10 +52,17 @@ def trigrams(texts: list[str | None], letters: bool = True) -> Iterator[tuple[np
         yield owner[use], mixed.astype(np.int64)
 
 
-def train(df: DataFrame, text: str, label: str, least: int = 1000, most_languages: int = 100, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def primary(label: Column) -> Column:
+    """The primary subtag of a language tag, in lower case."""
+    return F.lower(F.trim(F.regexp_extract(label.cast("string"), "^[^-_]*", 0)))
+
+
+def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: float = 0.5, max_bytes: int = 64 << 20) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of every bucket under each; the last one is ``und``.
 
-    All rows with a label count. Labels with fewer than ``least`` trigrams are left out; without any label only ``und`` remains.
+    All rows with a label count, under its primary subtag (en-US as en). A label with fewer than ``least`` trigrams is kept and
+    filled up to that number with the trigrams of all labels together; without any label only ``und`` remains. The model has
+    ``BUCKETS`` numbers of four bytes per language where it is read, ``max_bytes`` in all, which is room for 1 023 languages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,16 +79,20 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, most_language
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["label", "bucket", "n"])
 
-    labelled = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias(label), text)
+    labelled = df.where(F.col(label).isNotNull()).select(primary(F.col(label)).alias(label), text).where(F.col(label) != "")
     counted = labelled.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counted = Staging(df.sparkSession, "language-model").keep(counted)
-    sizes = counted.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "label")
-    names = sorted(r.label for r in sizes.limit(most_languages + 1).collect() if r.label != NONE)
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    most = max_bytes // (4 * BUCKETS) - 1
+    names = sorted(r.label for r in counted.select("label").distinct().where(F.col("label") != NONE).limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages, for which the model would exceed {max_bytes} bytes")
+    at = {name: k for k, name in enumerate(names)}
     table = np.zeros((len(names) + 1, BUCKETS))
-    for r in counted.where(F.col("label").isin(names)).toLocalIterator() if names else ():
-        table[names.index(r.label), r.bucket] = r.n
+    for r in counted.where(F.col("label") != NONE).toLocalIterator():
+        table[at[r.label], r.bucket] = r.n
+    corpus = table.sum(axis=0) / max(1.0, table.sum())
+    thin = np.maximum(0.0, least - table[:-1].sum(axis=1))
+    table[:-1] += thin[:, None] * corpus
     table += smoothing
     return [*names, NONE], np.log(table / table.sum(axis=1, keepdims=True))
 
@@ -113,19 +124,26 @@ def read_text(df: DataFrame, model: tuple[list[str], np.ndarray], text: str) ->
     return df.select(*(f.name for f in kept), text).mapInArrow(run, T.StructType(kept + made))
 
 
+def _totals(rows: DataFrame, size: int) -> list[int]:
+    found = {r.best: r.n for r in rows.groupBy("best").agg(F.count("*").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(size)]
+
+
 def _counts(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Verdicts per key: an array of counts by language."""
-    per = [F.sum((F.col("best") == k).cast("long")) for k in range(size)]
-    return rows.groupBy(key).agg(F.array(*per).alias(f"{key}_counts"))
+    each = rows.groupBy(key, "best").agg(F.count("*").alias("n"))
+    held = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("held"))
+    count = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long")))
+    return held.select(key, count.alias(f"{key}_counts"))
 
 
 def _signal(rows: DataFrame, key: str, size: int, smoothing: float) -> DataFrame:
     """Log likelihood of each value of ``key`` under each language; null values are no evidence and are left out."""
     given = rows.where(F.col(key).isNotNull())
-    seen = given.agg(*(F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(size)), F.approx_count_distinct(key).alias("d")).first()
-    d = max(2, seen.d or 0)
-    log = [F.log((F.get(f"{key}_counts", F.lit(k)) + smoothing) / ((seen[f"n{k}"] or 0) + smoothing * d)) for k in range(size)]
-    return _counts(given, key, size).select(key, F.array(*log).alias(f"{key}_log"))
+    d = max(2, given.agg(F.approx_count_distinct(key)).first()[0] or 0)
+    whole = F.array(*(F.lit(float(n + smoothing * d)) for n in _totals(given, size)))
+    log = F.zip_with(f"{key}_counts", whole, lambda n, of: F.log((n + smoothing) / of))
+    return _counts(given, key, size).select(key, log.alias(f"{key}_log"))
 
 
 def identify(
@@ -145,12 +163,11 @@ def identify(
     boxed = fresh(df, "row")
     null = F.lit(None).cast("string")
     rows = df.select(F.struct(*(kept or [F.lit(0).alias("none")])).alias(boxed), F.col(text).alias("text"), *((c if c is not None else null).cast("string").alias(k) for k, c in evidence.items()))
-    rows = rows.withColumns({"host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit(""))})
+    rows = rows.withColumns({"declared": F.nullif(primary(F.col("declared")), F.lit("")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit(""))})
     staging = Staging(df.sparkSession, "language")
     rows = staging.keep(read_text(rows, model, "text"))
 
-    totals = np.array(rows.agg(*(F.sum((F.col("best") == k).cast("long")) for k in range(size))).first(), dtype=object)
-    totals = np.array([t or 0 for t in totals], dtype=float)
+    totals = np.array(_totals(rows, size), dtype=float)
     base = (totals + smoothing) / (totals.sum() + smoothing * size)
     for key in ("declared", "suffix"):
         rows = rows.join(_signal(rows, key, size, smoothing), key, "left")

@@ -114,3 +114,19 @@ def test_query(spark):
     assert np.mean([r.language == docs[r.doc_id] and r.kept for r in rows if r.doc_id is not None]) >= 0.97
     declared = {p.page_id: p.d for p in pages}
     assert np.mean([r.language == declared[r.page_id] for r in rows if r.page_id is not None]) >= 0.97
+
+
+def test_rare_and_many_labels(spark):
+    greek = ["καλημέρα σε όλους", "το σπίτι είναι μεγάλο", "πού είναι ο σταθμός"]
+    rows = [(f"the house and the garden with this {i}", "en-US" if i % 2 else "en_GB") for i in range(60)] + [(t, "el") for t in greek]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = train(df, "text", "lang")
+    assert model[0] == ["el", "en", "und"]
+    found = identify(df, model, declared=F.col("lang")).collect()
+    assert all(r.accepted and r.language == ("el" if r.lang == "el" else "en") for r in found)
+    many = spark.createDataFrame([(f"word{i} " * 200, f"{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(130)], "text string, lang string")
+    model = train(many, "text", "lang")
+    assert len(model[0]) == 131
+    assert identify(many, model, declared=F.col("lang")).count() == 130
+    with pytest.raises(ValueError, match="more than 9 languages"):
+        train(many, "text", "lang", max_bytes=10 * 4 * BUCKETS)
