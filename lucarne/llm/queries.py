@@ -7,11 +7,12 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import bm25, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
+from lucarne.llm import bm25, bpe, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def piece_model(name: str = PIECE_MODEL) -> bytes:
@@ -138,6 +139,18 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scores QUALIFY rank <= 10
 """
 
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to byte-level ids and back, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.round_trip(docs, piece_model(BYTE_MODEL))
+    return done.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_quality": (op2_quality, None),
@@ -149,4 +162,5 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_embedding_dedup": (op9_embedding_dedup, None),
     "op10_language_id": (op10_language_id, None),
+    "op13_bpe": (op13_bpe, None),
 }
