@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import bm25, bpe, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
+from lucarne.llm import alignment, bm25, bpe, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -141,6 +141,14 @@ FROM scores QUALIFY rank <= 10
 
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, aligned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = alignment.align(docs, piece_model(BYTE_MODEL), piece_model())
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return done.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to byte-level ids and back, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -162,5 +170,6 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_embedding_dedup": (op9_embedding_dedup, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_alignment": (op11_alignment, None),
     "op13_bpe": (op13_bpe, None),
 }
