@@ -16,75 +16,64 @@ pairs, at most ``most`` by construction, as a broadcast, and pairs beyond them,
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lucarne.llm import bpe, pieces
-from lucarne.llm.bpe import ranges
-from lucarne.llm.bpe import with_columns
-from lucarne.llm.shared import Staging, fresh
+from lucarne.llm.bpe import ranges, with_columns
+from lucarne.llm.shared import Staging, bounded_batches, fresh, slices
 
 #: Bytes of a text whose ends are in the dictionaries at once.
 WINDOW = 1 << 20
+#: Bytes of the texts that are aligned in one go.
+PART = 1 << 20
 #: Pairs whose counts are broadcast, 17 bytes each.
 MOST = 2_000_000
 
 
-def groups_and_links(
-    a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], a_name: list[str], b_name: list[str], factor: int, window: int = WINDOW,
-) -> tuple[str, int, np.ndarray]:
-    """The groups as text, their number, and one code ``a * factor + b`` for each linked occurrence of two tokens."""
-    text, codes, count = [], [], 0
-    i = j = p = q = 0
-    while p < len(a):
+def common_ends(a_ends: list[int], b_ends: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
+    """How many tokens of either side end at or before each end that both have."""
+    a_cut, b_cut = [], []
+    p = q = 0
+    while p < len(a_ends):
         limit = a_ends[p] + window
-        end_p, end_q = p, q
-        while end_p < len(a) and a_ends[end_p] <= limit:
-            end_p += 1
-        while end_q < len(b) and b_ends[end_q] <= limit:
-            end_q += 1
+        end_p, end_q = bisect_right(a_ends, limit, p), bisect_right(b_ends, limit, q)
         a_index = dict(zip(a_ends[p:end_p], range(p + 1, end_p + 1), strict=True))
         b_index = dict(zip(b_ends[q:end_q], range(q + 1, end_q + 1), strict=True))
         common = sorted(a_index.keys() & b_index.keys())
-        links, groups = [], []
-        for end in common:
-            m, n = a_index[end], b_index[end]
-            if m - i == 1:
-                base = a[i] * factor
-                if n - j == 1:
-                    groups.append(a_name[a[i]] + "|" + b_name[b[j]])
-                    links.append(base + b[j])
-                else:
-                    own = b[j:n]
-                    groups.append(a_name[a[i]] + "|" + ",".join([b_name[y] for y in own]))
-                    links += [base + y for y in own]
-            else:
-                own = a[i:m]
-                groups.append(",".join([a_name[x] for x in own]) + "|" + ",".join([b_name[y] for y in b[j:n]]))
-                if n - j == 1:
-                    links += [x * factor + b[j] for x in own]
-                else:
-                    links += _overlapping(a, a_ends, i, b, b_ends, j, m, factor)
-            i, j = m, n
-        count += len(groups)
-        text.append(";".join(groups))
-        codes.append(np.array(links, dtype=np.int64))
+        a_cut += map(a_index.__getitem__, common)
+        b_cut += map(b_index.__getitem__, common)
         p, q = end_p, end_q
-    return ";".join([t for t in text if t]), count, np.concatenate([*codes, np.zeros(0, np.int64)])
-
-
-def _overlapping(a: list[int], a_ends: list[int], i: int, b: list[int], b_ends: list[int], j: int, stop: int, factor: int) -> list[int]:
-    """The overlapping pairs of one slice: whichever token ends first gives way to the next of its side."""
-    links = []
-    while i < stop:
-        links.append(a[i] * factor + b[j])
-        here, there = a_ends[i], b_ends[j]
-        i += here <= there
-        j += there <= here
-    return links
+    return a_cut, b_cut
+
+
+def links(a_end: np.ndarray, b_end: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of either side that overlap, slice by slice; slice g has the tokens from cut g to cut g + 1."""
+    i, j, m, n = a_cut[:-1], b_cut[:-1], np.diff(a_cut), np.diff(b_cut)
+    # A slice with one token on a side links it with all of the other.
+    plain = (m == 1) | (n == 1)
+    many = np.maximum(m, n)[plain]
+    a_place = np.repeat(i[plain], many) + np.where(np.repeat(m[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
+    b_place = np.repeat(j[plain], many) + np.where(np.repeat(n[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
+    a_more, b_more = [], []
+    for at in np.flatnonzero(~plain).tolist():
+        # Whichever token ends first gives way to the next of its side.
+        x, y, stop = int(i[at]), int(j[at]), int(a_cut[at + 1])
+        x_ends, y_ends = a_end[x:stop].tolist(), b_end[y:b_cut[at + 1]].tolist()
+        u = v = 0
+        while u < len(x_ends):
+            a_more.append(x + u)
+            b_more.append(y + v)
+            here, there = x_ends[u], y_ends[v]
+            u += here <= there
+            v += there <= here
+    return np.concatenate([a_place, np.array(a_more, dtype=np.int64)]), np.concatenate([b_place, np.array(b_more, dtype=np.int64)])
 
 
 class Aligner:
@@ -92,38 +81,65 @@ class Aligner:
 
     def __init__(self, byte_model: bytes, piece_model: bytes):
         self.a, self.b = bpe.loaded(byte_model), pieces._loaded(piece_model)
-        self.a_name, self.b_name = ([str(i) for i in range(n)] for n in (self.a.size, self.b.size))
+        # Each id of either side as it is written inside its side of a group, and at its end.
+        self.name = [f"{i}{end}" for ends, size in ((",|", self.a.size), (",;", self.b.size)) for i in range(size) for end in ends]
 
     def __call__(self, column: pa.Array) -> list[pa.Array]:
+        """groups, n_a, n_b, n_groups, n_links, distinct pairs and how often each is linked, of all texts."""
+        parts = [self._part(column.slice(begin, end - begin)) for begin, end in slices(pa.record_batch([column], ["text"]), "text", PART)]
+        return [pa.concat_arrays(x) for x in zip(*(parts or [self._part(column)]), strict=True)]
+
+    def _part(self, column: pa.Array) -> list[pa.Array]:
         texts = [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
         a, a_count = self.a.encode(pa.array([" " + t if t else "" for t in texts], type=pa.large_string()), specials=False)
         b, b_count = self.b.encode(texts, ends=False)
-        a_size, b_size = self.a.token_size[a], self.b.text_size[b]
-        a_byte = self.a.token_flat[ranges(self.a.token_at[a], a_size)]
-        b_byte = self.b.text_flat[ranges(self.b.text_at[b], b_size)]
-        a_total, b_total = (np.concatenate([[0], np.cumsum(x)]) for x in (a_size, b_size))
+        a, b, a_count, b_count = self._spelled(a, b, a_count, b_count)
+        a_end, b_end = np.cumsum(self.a.token_size[a]), np.cumsum(self.b.text_size[b])
         a_at, b_at = (np.concatenate([[0], np.cumsum(x)]) for x in (a_count, b_count))
-        text, numbers, pairs, times = [], [], [], []
-        for k in range(len(texts)):
-            i, m, j, n = a_at[k], a_at[k + 1], b_at[k], b_at[k + 1]
-            if m == i or n == j or not np.array_equal(a_byte[a_total[i]:a_total[m]], b_byte[b_total[j]:b_total[n]]):
-                text.append("")
-                numbers.append((0, 0, 0, 0))
-                codes = np.zeros(0, np.int64)
-            else:
-                groups, count, codes = groups_and_links(
-                    a[i:m].tolist(), (a_total[i + 1:m + 1] - a_total[i]).tolist(), b[j:n].tolist(), (b_total[j + 1:n + 1] - b_total[j]).tolist(),
-                    self.a_name, self.b_name, self.b.size,
-                )
-                text.append(groups)
-                numbers.append((m - i, n - j, count, len(codes)))
-            distinct, often = np.unique(codes, return_counts=True)
-            pairs.append(distinct)
-            times.append(often)
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int32))
-        flat = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (pairs, times)]
-        counts = np.array(numbers, dtype=np.int64).reshape(-1, 4).T
-        return [pa.array(text, type=pa.string()), *map(pa.array, counts), pa.ListArray.from_arrays(ends, pa.array(flat[0])), pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int32)))]
+        a_cut, b_cut, groups = [], [], []
+        a_list, b_list = a_end.tolist(), b_end.tolist()
+        for i, m, j, n in zip(a_at.tolist(), a_at[1:].tolist(), b_at.tolist(), b_at[1:].tolist(), strict=False):
+            a_own, b_own = common_ends(a_list[i:m], b_list[j:n])
+            a_cut.append(np.array(a_own, dtype=np.int64) + i)
+            b_cut.append(np.array(b_own, dtype=np.int64) + j)
+            groups.append(len(a_own))
+        a_cut, b_cut = (np.concatenate([[0], *x]).astype(np.int64) for x in (a_cut, b_cut))
+        x, y = links(a_end, b_end, a_cut, b_cut)
+        owner = np.searchsorted(a_at, x, side="right") - 1
+        code = a[x] * self.b.size + b[y]
+        order = np.lexsort((code, owner))
+        code, owner = code[order], owner[order]
+        fresh_ = np.ones(len(code), dtype=bool)
+        fresh_[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(fresh_)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(texts)))]).astype(np.int32))
+        often = np.diff(np.append(at, len(code))).astype(np.int32)
+        numbers = (a_count, b_count, np.array(groups, dtype=np.int64), np.bincount(owner, minlength=len(texts)))
+        return [
+            pa.array(self._written(a, b, a_at + b_at, a_cut, b_cut), type=pa.string()), *(pa.array(c.astype(np.int64)) for c in numbers),
+            pa.ListArray.from_arrays(ends, pa.array(code[at])), pa.ListArray.from_arrays(ends, pa.array(often)),
+        ]
+
+    def _spelled(self, a: np.ndarray, b: np.ndarray, a_count: np.ndarray, b_count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The ids without those of texts that the two sides spell differently."""
+        a_size, b_size = self.a.token_size[a], self.b.text_size[b]
+        a_byte, b_byte = self.a.token_flat[ranges(self.a.token_at[a], a_size)], self.b.text_flat[ranges(self.b.text_at[b], b_size)]
+        a_text, b_text = (np.concatenate([[0], np.cumsum(s)])[np.concatenate([[0], np.cumsum(c)])] for s, c in ((a_size, a_count), (b_size, b_count)))
+        if np.array_equal(a_text, b_text) and np.array_equal(a_byte, b_byte):
+            return a, b, a_count, b_count
+        same = np.array([
+            np.array_equal(a_byte[i:m], b_byte[j:n]) for i, m, j, n in zip(a_text, a_text[1:], b_text, b_text[1:], strict=False)
+        ])
+        return a[np.repeat(same, a_count)], b[np.repeat(same, b_count)], a_count * same, b_count * same
+
+    def _written(self, a: np.ndarray, b: np.ndarray, text_at: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> list[str]:
+        """The groups of each text: the ids of both sides in the order of their slices, each with what follows it."""
+        a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        a_last[a_cut[1:] - 1] = b_last[b_cut[1:] - 1] = 1
+        name = np.empty(len(a) + len(b), dtype=np.int64)
+        name[np.arange(len(a)) + np.repeat(b_cut[:-1], np.diff(a_cut))] = 2 * a + a_last
+        name[np.arange(len(b)) + np.repeat(a_cut[1:], np.diff(b_cut))] = 2 * (self.a.size + b) + b_last
+        return ["".join(map(self.name.__getitem__, name[i:m].tolist()))[:-1] for i, m in zip(text_at, text_at[1:], strict=False)]
 
 
 _LOADED: dict[tuple[bytes, bytes], Aligner] = {}
@@ -136,15 +152,18 @@ def _loaded(byte_model: bytes, piece_model: bytes) -> Aligner:
     return _LOADED[key]
 
 
-def align(df: DataFrame, byte_model: bytes, piece_model: bytes, text: str = "text", most: int = MOST) -> DataFrame:
+def align(
+    df: DataFrame, byte_model: bytes, piece_model: bytes, text: str = "text", most: int = MOST, kept: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Each row without its text, with n_a, n_b, n_groups, n_links, n_best, count_sum (all long) and groups.
 
-    ``groups`` reads ``a1,a2|b1;a3|b2,b3``: decimal ids in order. A pair's count is the number of rows that hold it linked;
+    ``groups`` reads ``a1,a2|b1;a3|b2,b3``: decimal ids in order; it is several times as long as the text, and ``kept`` may name
+    what to keep of it instead, such as a digest. A pair's count is the number of rows that hold it linked;
     ``n_best`` numbers the links whose count is the highest of their first id, ties included, ``count_sum`` sums the counts of all
     links. Rows without tokens have zeros and the empty text. Repeated rows count and come each by itself; an empty
     table stays empty. Other columns are kept, but for those called like the new ones, which are replaced.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     staging = Staging(spark, "alignment")
     models = spark.sparkContext.broadcast((byte_model, piece_model))
     size = pieces._loaded(piece_model).size
@@ -153,7 +172,8 @@ def align(df: DataFrame, byte_model: bytes, piece_model: bytes, text: str = "tex
     pairs, times, row, found = (fresh(carried, name) for name in ("pairs", "times", "row", "found"))
     columns = [T.StructField("groups", T.StringType()), *(T.StructField(c, T.LongType()) for c in new[1:5])]
     columns += [T.StructField(pairs, T.ArrayType(T.LongType())), T.StructField(times, T.ArrayType(T.IntegerType()))]
-    held = staging.keep(with_columns(carried, columns, "groups", lambda texts: _loaded(*models.value)(texts)))
+    made = with_columns(carried, columns, "groups", lambda texts: _loaded(*models.value)(texts))
+    held = staging.keep(made.withColumn("groups", kept(F.col("groups"))) if kept else made)
 
     counted = held.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     highest = F.max("n").over(Window.partitionBy(F.floor(F.col("pair") / size)))
@@ -191,5 +211,5 @@ def align(df: DataFrame, byte_model: bytes, piece_model: bytes, text: str = "tex
         count_sum = F.col(f"{found}.count_sum") + F.coalesce(sum_more, F.lit(0))
     else:
         n_best, count_sum = F.col(f"{found}.n_best"), F.col(f"{found}.count_sum")
-    kept = [F.col(f"`{c}`") for c in carried.columns if c != "groups"]
-    return result.select(*kept, *new[1:5], n_best.alias("n_best"), count_sum.cast("long").alias("count_sum"), "groups")
+    others = [F.col(f"`{c}`") for c in carried.columns if c != "groups"]
+    return result.select(*others, *new[1:5], n_best.alias("n_best"), count_sum.cast("long").alias("count_sum"), "groups")

@@ -144,9 +144,8 @@ FROM scores QUALIFY rank <= 10
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens under two tokenizers, aligned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = alignment.align(docs, piece_model(BYTE_MODEL), piece_model())
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    return done.withColumn("groups_sha256", digest).drop("groups")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    return alignment.align(docs, piece_model(BYTE_MODEL), piece_model(), kept=digest).withColumnRenamed("groups", "groups_sha256")
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,14 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> SparkSession:
+    """Batches that go to Python workers are bounded by bytes as well as rows, so long texts do not pile up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(most + 1))) > most:
+        spark.conf.set(key, str(most))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

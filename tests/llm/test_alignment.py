@@ -3,12 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from lucarne.llm import alignment
-from lucarne.llm.alignment import align, groups_and_links
+from lucarne.llm.alignment import align, common_ends, links
 from lucarne.llm.bpe import byte_letters
 from lucarne.llm.queries import BYTE_MODEL, op11_alignment, piece_model
 
@@ -86,16 +87,13 @@ def test_empty_table(spark):
     assert align(spark.createDataFrame([], "doc_id long, text string"), BYTES, PIECES).count() == 0
 
 
-def test_windows_carry_open_groups():
+def test_windows_and_slices():
     a_ends, b_ends = [1, 2, 9, 10, 14, 20, 21], [2, 5, 8, 10, 16, 21]
-    a, b = list(range(7)), list(range(6))
-    names = [str(i) for i in range(10)]
-    whole = groups_and_links(a, a_ends, b, b_ends, names, names, 10)
-    assert whole[0] == "0,1|0;2,3|1,2,3;4,5,6|4,5"
-    assert whole[2].tolist() == [0, 10, 21, 22, 23, 33, 44, 54, 55, 65]
     for window in range(25):
-        part = groups_and_links(a, a_ends, b, b_ends, names, names, 10, window)
-        assert part[:2] == whole[:2] and part[2].tolist() == whole[2].tolist()
+        assert common_ends(a_ends, b_ends, window) == ([2, 4, 7], [1, 4, 6])
+    a, b = links(np.array(a_ends), np.array(b_ends), np.array([0, 2, 4, 7]), np.array([0, 1, 4, 6]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 0), (1, 0), (2, 1), (2, 2), (2, 3), (3, 3), (4, 4), (5, 4), (5, 5), (6, 5)]
+    assert common_ends([], []) == ([], [])
 
 
 def test_query(spark, tables, brute, sha):
