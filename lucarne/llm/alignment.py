@@ -32,7 +32,7 @@ from lucarne.llm.shared import Staging, bounded_batches, fresh, slices
 #: Bytes of a text whose ends are in the dictionaries at once.
 WINDOW = 1 << 20
 #: Bytes of the texts that are aligned in one go.
-PART = 1 << 20
+PART = 2 << 20
 #: Pairs whose counts are broadcast, 17 bytes each.
 MOST = 2_000_000
 
@@ -61,19 +61,11 @@ def links(a_end: np.ndarray, b_end: np.ndarray, a_cut: np.ndarray, b_cut: np.nda
     many = np.maximum(m, n)[plain]
     a_place = np.repeat(i[plain], many) + np.where(np.repeat(m[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
     b_place = np.repeat(j[plain], many) + np.where(np.repeat(n[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
-    a_more, b_more = [], []
-    for at in np.flatnonzero(~plain).tolist():
-        # Whichever token ends first gives way to the next of its side.
-        x, y, stop = int(i[at]), int(j[at]), int(a_cut[at + 1])
-        x_ends, y_ends = a_end[x:stop].tolist(), b_end[y:b_cut[at + 1]].tolist()
-        u = v = 0
-        while u < len(x_ends):
-            a_more.append(x + u)
-            b_more.append(y + v)
-            here, there = x_ends[u], y_ends[v]
-            u += here <= there
-            v += there <= here
-    return np.concatenate([a_place, np.array(a_more, dtype=np.int64)]), np.concatenate([b_place, np.array(b_more, dtype=np.int64)])
+    # In the others each end of either side ends one link.
+    a_open, b_open = ranges(i[~plain], m[~plain]), ranges(j[~plain], n[~plain])
+    ends = np.union1d(a_end[a_open], b_end[b_open])
+    a_more, b_more = a_open[np.searchsorted(a_end[a_open], ends)], b_open[np.searchsorted(b_end[b_open], ends)]
+    return np.concatenate([a_place, a_more]), np.concatenate([b_place, b_more])
 
 
 class Aligner:
@@ -91,9 +83,10 @@ class Aligner:
 
     def _part(self, column: pa.Array) -> list[pa.Array]:
         texts = [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
-        a, a_count = self.a.encode(pa.array([" " + t if t else "" for t in texts], type=pa.large_string()), specials=False)
+        spaced = [" " + t if t else "" for t in texts]
+        a, a_count = self.a.encode(pa.array(spaced, type=pa.large_string()), specials=False)
         b, b_count = self.b.encode(texts, ends=False)
-        a, b, a_count, b_count = self._spelled(a, b, a_count, b_count)
+        a, b, a_count, b_count = self._spelled("".join(spaced).encode(), a, b, a_count, b_count)
         a_end, b_end = np.cumsum(self.a.token_size[a]), np.cumsum(self.b.text_size[b])
         a_at, b_at = (np.concatenate([[0], np.cumsum(x)]) for x in (a_count, b_count))
         a_cut, b_cut, groups = [], [], []
@@ -106,30 +99,26 @@ class Aligner:
         a_cut, b_cut = (np.concatenate([[0], *x]).astype(np.int64) for x in (a_cut, b_cut))
         x, y = links(a_end, b_end, a_cut, b_cut)
         owner = np.searchsorted(a_at, x, side="right") - 1
-        code = a[x] * self.b.size + b[y]
-        order = np.lexsort((code, owner))
-        code, owner = code[order], owner[order]
-        fresh_ = np.ones(len(code), dtype=bool)
-        fresh_[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(fresh_)
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(texts)))]).astype(np.int32))
+        total = self.a.size * self.b.size
+        code = np.sort(owner * total + a[x] * self.b.size + b[y])
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code[at] // total, minlength=len(texts)))]).astype(np.int32))
         often = np.diff(np.append(at, len(code))).astype(np.int32)
         numbers = (a_count, b_count, np.array(groups, dtype=np.int64), np.bincount(owner, minlength=len(texts)))
         return [
             pa.array(self._written(a, b, a_at + b_at, a_cut, b_cut), type=pa.string()), *(pa.array(c.astype(np.int64)) for c in numbers),
-            pa.ListArray.from_arrays(ends, pa.array(code[at])), pa.ListArray.from_arrays(ends, pa.array(often)),
+            pa.ListArray.from_arrays(ends, pa.array(code[at] % total)), pa.ListArray.from_arrays(ends, pa.array(often)),
         ]
 
-    def _spelled(self, a: np.ndarray, b: np.ndarray, a_count: np.ndarray, b_count: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The ids without those of texts that the two sides spell differently."""
+    def _spelled(self, raw: bytes, a: np.ndarray, b: np.ndarray, a_count: np.ndarray, b_count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The ids without those of texts that the second side does not spell; the first is cut from the bytes and always does."""
         a_size, b_size = self.a.token_size[a], self.b.text_size[b]
-        a_byte, b_byte = self.a.token_flat[ranges(self.a.token_at[a], a_size)], self.b.text_flat[ranges(self.b.text_at[b], b_size)]
+        b_byte = self.b.text_flat[ranges(self.b.text_at[b], b_size)]
         a_text, b_text = (np.concatenate([[0], np.cumsum(s)])[np.concatenate([[0], np.cumsum(c)])] for s, c in ((a_size, a_count), (b_size, b_count)))
-        if np.array_equal(a_text, b_text) and np.array_equal(a_byte, b_byte):
+        byte = np.frombuffer(raw, dtype=np.uint8)
+        if np.array_equal(a_text, b_text) and np.array_equal(byte, b_byte):
             return a, b, a_count, b_count
-        same = np.array([
-            np.array_equal(a_byte[i:m], b_byte[j:n]) for i, m, j, n in zip(a_text, a_text[1:], b_text, b_text[1:], strict=False)
-        ])
+        same = np.array([np.array_equal(byte[i:m], b_byte[j:n]) for i, m, j, n in zip(a_text, a_text[1:], b_text, b_text[1:], strict=False)])
         return a[np.repeat(same, a_count)], b[np.repeat(same, b_count)], a_count * same, b_count * same
 
     def _written(self, a: np.ndarray, b: np.ndarray, text_at: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> list[str]:

@@ -69,6 +69,23 @@ def code_point_classes(pre_tokenizer) -> np.ndarray:
     return classes
 
 
+class _Numbers(dict):
+    """Numbers fragments as they are met; ``take`` gives those that are new since."""
+
+    def __init__(self):
+        super().__init__()
+        self.met: list[bytes] = []
+
+    def __missing__(self, fragment: bytes) -> int:
+        self.met.append(fragment)
+        number = self[fragment] = len(self)
+        return number
+
+    def take(self) -> list[bytes]:
+        met, self.met = self.met, []
+        return met
+
+
 class BytePairs:
     """Encoder and decoder for one vocabulary file (JSON of the tokenizers library) given as bytes."""
 
@@ -198,21 +215,22 @@ class BytePairs:
         return [s for s in symbol if s >= 0]
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.held = 0
         self.ids = np.zeros(0, np.int64)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, fragments: list[bytes]) -> None:
-        short = [f for f in fragments if len(f) <= LONG]
-        long = [f for f in fragments if len(f) > LONG]
-        ids, count = self.merge(short)
-        merged = [np.array(self.merge_long(f), dtype=np.int64) for f in long]
-        count = np.concatenate([count, [len(m) for m in merged]]).astype(np.int64)
-        base = len(self.known)
-        self.known.update((f, base + k) for k, f in enumerate(short + long))
-        self.held += sum(map(len, fragments)) + 150 * len(fragments)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        size = np.array([len(f) for f in fragments])
+        short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
+        ids, few = self.merge([fragments[k] for k in short.tolist()])
+        merged = [np.array(self.merge_long(fragments[k]), dtype=np.int64) for k in long.tolist()]
+        count, start = np.zeros(len(fragments), dtype=np.int64), np.zeros(len(fragments), dtype=np.int64)
+        count[short], count[long] = few, [len(m) for m in merged]
+        start[short] = np.cumsum(few) - few
+        start[long] = len(ids) + np.cumsum(count[long]) - count[long]
+        self.held += int(size.sum()) + 150 * len(fragments)
+        self.start = np.concatenate([self.start, len(self.ids) + start])
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids, *merged])
 
@@ -283,10 +301,9 @@ class BytePairs:
             fragments = [raw[a:b] for a, b in pairwise(bounds[begin:end + 1])]
             if self.held > KEPT_BYTES:
                 self._forget()
-            unknown = set(fragments).difference(self.known)
-            if unknown:
-                self._learn(list(unknown))
             item = np.fromiter(map(self.known.__getitem__, fragments), dtype=np.int64, count=len(fragments))
+            if self.known.met:
+                self._learn(self.known.take())
             count = self.count[item]
             own = (special >= begin) & (special < end)
             place = ranges(self.start[item], count)
