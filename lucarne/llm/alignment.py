@@ -57,15 +57,17 @@ def links(a_end: np.ndarray, b_end: np.ndarray, a_cut: np.ndarray, b_cut: np.nda
     """Places of the tokens of either side that overlap, slice by slice; slice g has the tokens from cut g to cut g + 1."""
     i, j, m, n = a_cut[:-1], b_cut[:-1], np.diff(a_cut), np.diff(b_cut)
     # A slice with one token on a side links it with all of the other.
-    plain = (m == 1) | (n == 1)
-    many = np.maximum(m, n)[plain]
-    a_place = np.repeat(i[plain], many) + np.where(np.repeat(m[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
-    b_place = np.repeat(j[plain], many) + np.where(np.repeat(n[plain] > 1, many), ranges(np.zeros(len(many), np.int64), many), 0)
+    one = (m == 1) & (n == 1)
+    few, more = (m == 1) & (n > 1), (m > 1) & (n == 1)
+    a_place = [i[one], np.repeat(i[few], n[few]), ranges(i[more], m[more])]
+    b_place = [j[one], ranges(j[few], n[few]), np.repeat(j[more], m[more])]
+    rest = (m > 1) & (n > 1)
     # In the others each end of either side ends one link.
-    a_open, b_open = ranges(i[~plain], m[~plain]), ranges(j[~plain], n[~plain])
+    a_open, b_open = ranges(i[rest], m[rest]), ranges(j[rest], n[rest])
     ends = np.union1d(a_end[a_open], b_end[b_open])
-    a_more, b_more = a_open[np.searchsorted(a_end[a_open], ends)], b_open[np.searchsorted(b_end[b_open], ends)]
-    return np.concatenate([a_place, a_more]), np.concatenate([b_place, b_more])
+    a_place.append(a_open[np.searchsorted(a_end[a_open], ends)])
+    b_place.append(b_open[np.searchsorted(b_end[b_open], ends)])
+    return np.concatenate(a_place), np.concatenate(b_place)
 
 
 class Aligner:
@@ -98,7 +100,7 @@ class Aligner:
             groups.append(len(a_own))
         a_cut, b_cut = (np.concatenate([[0], *x]).astype(np.int64) for x in (a_cut, b_cut))
         x, y = links(a_end, b_end, a_cut, b_cut)
-        owner = np.searchsorted(a_at, x, side="right") - 1
+        owner = np.repeat(np.arange(len(texts)), a_count)[x]
         total = self.a.size * self.b.size
         code = np.sort(owner * total + a[x] * self.b.size + b[y])
         at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)

@@ -35,7 +35,7 @@ from lucarne.llm.pieces import _with_columns as with_columns
 #: Fragments of more bytes are merged through a heap.
 LONG = 512
 #: Bytes of the table of known fragments, after which a task starts it anew.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 96 << 20
 #: Fragments looked up in one go.
 STEP = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -185,7 +185,9 @@ class BytePairs:
             gone[at + 1] = True
             symbol, owner, rank = symbol[~gone], owner[~gone], rank[~gone]
             now = at - np.arange(len(at))
-            touched = np.unique(np.concatenate([now, np.maximum(now - 1, 0)]))
+            near = np.zeros(len(symbol), dtype=bool)
+            near[now] = near[np.maximum(now - 1, 0)] = True
+            touched = np.flatnonzero(near)
             after = np.minimum(touched + 1, len(symbol) - 1)
             joined = (owner[touched] == owner[after]) & (after > touched)
             rank[touched] = np.where(joined, self._ranks(symbol[touched], symbol[after]), _NONE)
