@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucarne.llm import alignment, bm25, bpe, embedding_dedup, language, mixing, ngram_join, pieces, pii, quality, url_filter, warc
+from lucarne.llm import alignment, bm25, bpe, embedding_dedup, language, maxscore, mixing, ngram_join, pieces, pii, quality, url_filter, warc
 from lucarne.llm.shared import Staging, table
 from lucarne.session import small_table
 
@@ -148,6 +148,32 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, piece_model(BYTE_MODEL), piece_model(), kept=digest).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    index = maxscore.Index(table(spark, sf_dir, "documents"))
+    return index.search(table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP12_SQL = f"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p),
+words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), p)) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents WHERE doc_id IS NOT NULL), pattern),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT row, count(*) AS n FROM words GROUP BY ALL),
+stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN stats GROUP BY term),
+part AS (SELECT row, 75 + (25 * n * docs) // terms AS m FROM len CROSS JOIN stats),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), p)) AS term FROM benchmark, pattern WHERE item_id IS NOT NULL),
+scores AS (
+  SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN part USING (row) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to byte-level ids and back, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -170,5 +196,6 @@ QUERIES = {
     "op9_embedding_dedup": (op9_embedding_dedup, None),
     "op10_language_id": (op10_language_id, None),
     "op11_alignment": (op11_alignment, None),
+    "op12_maxscore": (op12_maxscore, OP12_SQL),
     "op13_bpe": (op13_bpe, None),
 }
