@@ -58,6 +58,48 @@ def csv_latin1(spark, sf):
     return tables.read_table(spark, _lines(docs, scratch(spark, ".csv"), ",", "ISO-8859-1")).toDF("doc_id", "the")
 
 
+def csv_large_ids(spark, sf):
+    """Ids of 18 to 38 digits, and whole numbers of 18 digits but for one fraction: no two of them become one value."""
+    key = F.col("o_orderkey").cast("string")
+    last = F.col("o_orderkey") == F.max("o_orderkey").over(Window.partitionBy())
+    ids = table(spark, sf, "orders").select(
+        "o_orderkey",
+        *[F.concat(F.lit(lead), F.lpad(key, digits - 1, "0")).alias(f"id{digits}") for digits, lead in ((18, "9"), (19, "9"), (20, "1"), (38, "7"))],
+        F.concat(F.lit("3"), F.lpad(key, 17, "0"), F.when(last, F.lit(".5")).otherwise("")).alias("mostly_whole"),
+        F.concat(F.lit("0.1"), F.lpad(key, 20, "0"), F.lit("1")).alias("fine"),
+    )
+    read = tables.read_table(spark, _lines(ids, scratch(spark, ".csv"), ","), separator=",")
+    types = dict(read.dtypes)
+    return read.select(*[F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in types.items()], *[
+        F.lit(types[c]).alias(f"type_{c}") for c in ("id18", "id19", "id20", "id38", "mostly_whole", "fine")
+    ])
+
+
+def csv_line_breaks(spark, sf):
+    """Files with and without line breaks inside quotes, in one folder; inch marks inside cells open no quote."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    path = scratch(spark)
+    inches = F.concat("p_name", F.lit(' 5" wide')).alias("p_name")
+    plain = part.filter("p_partkey % 2 = 0").select("p_partkey", inches, "p_size")
+    broken = part.filter("p_partkey % 2 = 1").select("p_partkey", F.concat(F.lit('"'), "p_name", F.lit('\nin ""two"" lines, really"')).alias("p_name"), "p_size")
+    for name, df in (("plain", plain), ("broken", broken)):
+        lines = df.select(F.concat_ws(",", *df.columns).alias("value"))
+        header = spark.range(1).select(F.lit(",".join(df.columns)).alias("value"))
+        header.unionByName(lines).coalesce(1).write.text(f"{path}/{name}")
+    return tables.read_table(spark, f"{path}/*", format="csv", separator=",")
+
+
+def detect_marks(spark, sf):
+    """Files with and without a byte-order mark, in three encodings."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("é "), F.col("source")).alias("value"))
+    found = []
+    for name, encoding, mark in (("plain", "UTF-8", ""), ("marked", "UTF-8", "\ufeff"), ("wide", "UTF-16LE", "\ufeff"), ("wide_be", "UTF-16BE", "\ufeff")):
+        path = scratch(spark)
+        docs.select(F.concat(F.lit(mark), "value").alias("value")).write.options(encoding=encoding, quote="\0").csv(path)
+        found.append(detection.detect_encoding(spark, path).select("encoding", "has_bom").distinct().withColumn("written", F.lit(name)))
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 def tsv_scan(spark, sf):
     return tables.read_table(spark, _lines(table(spark, sf, "customer"), scratch(spark, ".tsv"), "\t"))
 
@@ -139,6 +181,18 @@ QUERIES = {
     "csv_two_headers": (csv_two_headers, "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, NULL::VARCHAR AS beyond FROM part UNION ALL SELECT 0, 'long', 1, 'beyond'"),
     "csv_late_bad_cell": (csv_late_bad_cell, "SELECT p_partkey, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN '12.5 EUR' ELSE CAST(p_size AS VARCHAR) END AS size FROM part"),
     "csv_latin1": (csv_latin1, "SELECT doc_id, 'café ' || lang AS the FROM documents"),
+    "csv_large_ids": (csv_large_ids, """
+        SELECT o_orderkey, CAST('9' || lpad(CAST(o_orderkey AS VARCHAR), 17, '0') AS BIGINT) AS id18, CAST('9' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS BIGINT) AS id19,
+               '1' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS id20, '7' || lpad(CAST(o_orderkey AS VARCHAR), 37, '0') AS id38,
+               '3' || lpad(CAST(o_orderkey AS VARCHAR), 17, '0') || CASE WHEN o_orderkey = max(o_orderkey) OVER () THEN '.5' ELSE '.0' END AS mostly_whole,
+               '0.1' || lpad(CAST(o_orderkey AS VARCHAR), 20, '0') || '1' AS fine,
+               'bigint' AS type_id18, 'bigint' AS type_id19, 'decimal(20,0)' AS type_id20, 'decimal(38,0)' AS type_id38, 'decimal(19,1)' AS type_mostly_whole, 'decimal(22,22)' AS type_fine
+        FROM orders"""),
+    "csv_line_breaks": (csv_line_breaks, """
+        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' 5" wide' ELSE p_name || chr(10) || 'in "two" lines, really' END AS p_name, CAST(p_size AS BIGINT) AS p_size FROM part"""),
+    "detect_marks": (detect_marks, """
+        SELECT * FROM (VALUES ('UTF-8', false, 'plain'), ('UTF-8', true, 'marked'), ('UTF-16LE', true, 'wide'), ('UTF-16BE', true, 'wide_be')) v(encoding, has_bom, written)
+        WHERE EXISTS (SELECT 1 FROM documents)"""),
     "tsv_scan": (tsv_scan, "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"),
     "json_lines_scan": (json_lines_scan, "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"),
     "json_array_scan": (json_array_scan, "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"),

@@ -19,8 +19,20 @@ def _starts(value: Column, mark: bytes) -> Column:
     return F.substring(value.cast("binary"), 1, len(mark)) == F.lit(mark)
 
 
-def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, encoding, has_bom)`` per file (SRC-8).
+def _opens_quote(line: Column, separator: str) -> Column:
+    """Whether a quoted cell begins in this line and does not end in it."""
+    mark = f"(^|{_literal(separator)})"
+    bare = F.replace(line, F.lit('""'), F.lit(""))  # escaped quotes and empty quoted cells
+    rest = F.regexp_replace(bare, f'{mark}"[^"]*+"(?={_literal(separator)}|$)', "$1")
+    return F.when(F.contains(line, F.lit('"')), rest.rlike(f'{mark}"')).otherwise(False)
+
+
+def _literal(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def describe_files(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """``(path, encoding, has_bom)`` per file, and with a separator ``open_quotes``: whether cells run over line breaks; one scan.
 
     Lines keep their bytes until they are decoded, so whole files are checked in splittable reads,
     not their first kilobytes and not one blob per task. Valid UTF-8 is UTF-8, a UTF-16 mark at the
@@ -30,35 +42,42 @@ def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("head")
     )
     value = F.col("value")
-    return lines.groupBy("path").agg(
+    facts = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
         F.bool_or(F.decode(value.cast("binary"), LATIN1).rlike(r"[\x80-\x9f]")).alias("cp1252"),
         F.bool_or(F.col("head") & _starts(value, b"\xff\xfe")).alias("le"),
         F.bool_or(F.col("head") & _starts(value, b"\xfe\xff")).alias("be"),
         F.bool_or(F.col("head") & _starts(value, b"\xef\xbb\xbf")).alias("mark"),
-    ).select(
+        # Bytes of UTF-16 are read as characters of their own; zeros between them are left out.
+        F.bool_or(_opens_quote(F.replace(F.decode(value.cast("binary"), LATIN1), F.lit("\0"), F.lit("")), separator) if separator else F.lit(False)).alias("open_quotes"),
+    )
+    return facts.select(
         "path",
         F.when(F.col("le"), UTF16_LE).when(F.col("be"), UTF16_BE).when(F.col("utf8"), UTF8).when(F.col("cp1252"), CP1252).otherwise(LATIN1).alias("encoding"),
-        (F.col("le") | F.col("be") | F.col("mark")).alias("has_bom"),
+        (F.col("le") | F.col("be") | F.col("mark")).alias("has_bom"), "open_quotes",
     )
 
 
+def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, encoding, has_bom)`` per file (SRC-8, SRC-9)."""
+    return describe_files(spark, path).drop("open_quotes")
+
+
 def from_cp1252(value: Column) -> Column:
     """Text read as ISO-8859-1 that was written in Windows-1252; bytes without a character there stay as they are."""
     known = [(chr(b), bytes([b]).decode(CP1252)) for b in range(0x80, 0xA0) if bytes([b]).decode(CP1252, "ignore")]
     return F.translate(value, "".join(a for a, _ in known), "".join(b for _, b in known))
 
 
-def files_by_encoding(spark: SparkSession, path: str | list[str]) -> dict[str, list[str] | None]:
-    """Files per encoding; None stands for "all of them" where there is but one encoding."""
-    found = detect_encoding(spark, path)
-    kinds = [r[0] for r in found.select("encoding").distinct().orderBy("encoding").collect()]
-    if len(kinds) <= 1:
-        return {kinds[0] if kinds else UTF8: None}
-    return {
-        kind: [unquote(r[0]) for r in found.filter(F.col("encoding") == kind).select("path").orderBy("path").collect()]
-        for kind in kinds
-    }
+def files_by_kind(spark: SparkSession, path: str | list[str], separator: str) -> dict[tuple[str, bool], list[str] | None]:
+    """Files per encoding and whether they hold line breaks in quotes; None stands for "all of them" where there is but one kind."""
+    found = describe_files(spark, path, separator).orderBy("path").collect()
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file, encoding, _, open_quotes in found:
+        groups.setdefault((encoding, open_quotes), []).append(unquote(file))
+    if len(groups) > 1:
+        return dict(sorted(groups.items()))
+    return {next(iter(groups), (UTF8, False)): None}
 
 
 def separator_scores(lines: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lucarne.operators.cleaning import TableError, cell, clean_names, null_tokens_to_null
 from lucarne.operators.inference import infer_delimited
-from lucarne.sources.detection import CP1252, LATIN1, UTF16_BE, UTF16_LE, detect_separator, files_by_encoding, from_cp1252
+from lucarne.sources.detection import CP1252, LATIN1, UTF16_BE, UTF16_LE, detect_separator, files_by_kind, from_cp1252
 from lucarne.sources.workbook import read_sheet
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "ndjson", ".ndjson": "ndjson",
@@ -62,22 +62,27 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, **opti
 
 def read_delimited(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
-    infer: bool = True, multi_line: bool = False, on_bad_cell: str = "text",
+    infer: bool = True, multi_line: bool | None = None, on_bad_cell: str = "text",
 ) -> DataFrame:
     """CSV or TSV with a header line in every file (SRC-2, SRC-3).
 
     Files are read under their own header, names cleaned, and put together by name; a column that a file does not have is null
     there. Cells beyond the header's length get columns of their own, named like columns without a name.
-    ``multi_line`` allows line breaks inside quotes but makes files unsplittable, so it is off.
+    Files with line breaks inside quotes are found in the scan for encodings and read whole records at a time, which makes them
+    unsplittable; all others split. ``multi_line`` says so for all files, and with ``encoding`` spares the scan.
     """
     if not spark.read.text(path).take(1):
         raise TableError("the file is empty")
     separator = separator or detect_separator(spark, path)
-    groups = {encoding: None} if encoding else files_by_encoding(spark, path)
+    if encoding and multi_line is not None:
+        groups = {(encoding, multi_line): None}
+    else:
+        groups = files_by_kind(spark, path, separator)
     parts = []
-    for kind, files in groups.items():
+    for (kind, broken), files in groups.items():
+        kind, broken = encoding or kind, broken if multi_line is None else multi_line
         windows = kind.lower() == CP1252
-        options = {"sep": separator, "encoding": LATIN1 if windows else kind, "multiLine": multi_line, "quote": '"', "escape": '"'}
+        options = {"sep": separator, "encoding": LATIN1 if windows else kind, "multiLine": broken, "quote": '"', "escape": '"'}
         if kind in (UTF16_LE, UTF16_BE):
             options["lineSep"] = "\n"    # the line break is two bytes in these encodings
         for header, source, widest in _files_by_header(spark, files or path, options, windows):
@@ -87,7 +92,7 @@ def read_delimited(
             part = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", **options).csv(source)
             parts.append(part.select(*[from_cp1252(cell(n)).alias(n) for n in names]) if windows else part)
     df = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
-    if any(kind in (UTF16_LE, UTF16_BE) for kind in groups):
+    if any(kind in (UTF16_LE, UTF16_BE) for kind, _ in groups):
         df = df.select(*[F.regexp_replace(cell(n), r"\r$", "").alias(n) for n in df.columns])
     df = null_tokens_to_null(df)
     return infer_delimited(df, on_bad_cell) if infer else df

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from lucarne.operators import calculated
 from lucarne.operators.anomalies import detect_anomalies
 from lucarne.operators.cleaning import TableError
-from lucarne.operators.inference import recast
+from lucarne.operators.inference import infer_delimited, recast
 from lucarne.operators.pivot import pivot
 from lucarne.plans.ingest import ingest
 from lucarne.session import stage, staging_root
 from lucarne.sources import detection, sinks, tables, workbook
+from lucarne.sources.detection import describe_files
 
 
 @pytest.fixture
@@ -62,7 +63,7 @@ def test_separators(spark, put):
 
 def test_latin1_and_marks(spark, put):
     assert tables.read_table(spark, put("l.csv", "café,thé\n1,é".encode("latin-1"))).first().asDict() == {"café": 1, "thé": "é"}
-    assert tables.read_table(spark, put("b.csv", b"\xef\xbb\xbfColA,ColB\n1,2")).columns == ["ColA", "ColB"]
+    assert tables.read_table(spark, put("b.csv", b"\xef\xbb\xbfville,pays,rang\nLyon,fr,3\n")).columns == ["ville", "pays", "rang"]
     for encoding, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")):
         df = tables.read_table(spark, put(f"{encoding}.csv", mark + "nom,âge\nZoé,3\r\nLéa,4\n".encode(encoding)))
         assert [tuple(r) for r in df.collect()] == [("Zoé", 3), ("Léa", 4)] and df.columns == ["nom", "âge"]
@@ -230,21 +231,15 @@ def test_anomaly_export(spark, tmp_path):
     assert (row.key, row.severity, row["columns"], row.deviation) == (6, "Critique", "v", "×450.0 la médiane")
 
 
-def test_recast_calculate_pivot_flow(spark, put):
-    """Import with decimal commas, recast, calculate, pivot, screen."""
-    table = ingest(spark, put("stock.csv", 'cost,pieces,shelf\n"2,5",4,upper\n8.25,2,lower\n"1,5",6,upper\n')).table
-    table, warnings = recast(table, [("cost", "Float64")])
-    assert not warnings
-    table = calculated.add_field(table, "worth", "cost * pieces")
-    assert sorted(r.worth for r in table.collect()) == [9.0, 10.0, 16.5]
-    with pytest.raises(ValueError):
-        calculated.add_field(table, "worth", "cost")
-    with pytest.raises(calculated.MathWarning):
-        calculated.add_field(table, "bad", "cost / 0")
-    assert calculated.add_field(table, "bad", "cost / 0", force=True).filter("bad IS NOT NULL").count() == 0
-    totals = pivot(table, ["shelf"], [("worth", "sum")])
-    assert {r.shelf: r.worth for r in totals.collect()} == {"upper": 19.0, "lower": 16.5, "TOTAL": 35.5}
-    assert detect_anomalies(table, "zscore", "strict", ["worth"]).total_rows == 3
+def test_screen_of_a_calculated_ratio_by_group(spark, put):
+    """Text dates and amounts with units, one ratio far off, its share by month."""
+    lines = "\n".join(f"{d:02d}/0{m}/2024,{100 * d} kg,{d}" for m in (1, 2, 3) for d in range(1, 10))
+    table = ingest(spark, put("deliveries.csv", f"day,load,trips\n{lines}\n10/03/2024,90000 kg,1\n"), overrides={"day": "Date", "load": "Float64"}).table
+    rated = calculated.add_field(table, "per_trip", "load / trips")
+    found = detect_anomalies(rated, "iqr", "standard", ["per_trip"], key=["day"])
+    assert [str(r.day) for r in found.ordered(["day"]).collect()] == ["2024-03-10"]
+    months = pivot(rated.select(F.month("day").alias("month"), "per_trip"), ["month"], [("per_trip", "max")])
+    assert {str(r.month): r.per_trip for r in months.collect()}["3"] == 90000.0
 
 
 def test_ingest_report(spark, put):
@@ -271,3 +266,45 @@ def test_header_of_every_file_and_long_rows(spark, tmp_path):
     assert df.columns[:2] == ["x", "y"] and len(extra) == 1
     got = {(r.x, r.y, r[extra[0]], r.z) for r in df.collect()}
     assert got == {(1, "one", None, None), (2, "two", None, None), (3, "three", "more", None), (4, "a, b", None, None), (5, None, None, None), (None, "six", None, 6)}
+
+
+@pytest.mark.parametrize(("cells", "kind", "shown"), [
+    (["9223372036854775807", "-9223372036854775808"], "bigint", None),
+    (["12345678901234567890", "12345678901234567891"], "decimal(20,0)", ["12345678901234567890", "12345678901234567891"]),
+    (["9" * 38, "-" + "9" * 37], "decimal(38,0)", ["9" * 38, "-" + "9" * 37]),
+    (["9" * 39, "1"], "string", None),
+    (["9" * 38, "1.5"], "string", None),
+    (["123456789012345678", "1.5"], "decimal(19,1)", ["123456789012345678.0", "1.5"]),
+    (["0.30000000000000004", "1e3", "-2.50", ".5"], "double", None),
+    (["1e400"], "string", None),
+    (["1234567890123456e1"], "double", None),
+    (["12345678901234567e1"], "string", None),
+    (["12345678901234567123e1"], "string", None),
+    (["007", "8"], "bigint", None),
+    (["1", "x"], "string", None),
+])
+def test_number_types_lose_no_digit(spark, cells, kind, shown):
+    df = infer_delimited(spark.createDataFrame([(i, c) for i, c in enumerate([*cells, None])], "i int, v string"))
+    assert dict(df.dtypes)["v"] == kind
+    if shown:
+        assert [str(r.v) for r in df.sort("i").collect()] == [*shown, "None"]
+
+
+def test_bad_cells_become_null_where_asked(spark):
+    cells = ["1.5", "12345678901234567890", "7", "x"]
+    df = infer_delimited(spark.createDataFrame([(c,) for c in cells], "v string"), on_bad_cell="null")
+    assert dict(df.dtypes)["v"] == "decimal(21,1)" and df.filter("v IS NULL").count() == 1
+
+
+def test_line_breaks_in_quotes_are_found(spark, put, tmp_path):
+    put("a.csv", 'a,b\n"x\ny",1\n"say ""hi""\n\nthere",2\n')
+    put("b.csv", 'a,b\n5" nail,3\n"quoted, ""cell""",4\n"",5\n')
+    df = tables.read_table(spark, f"{tmp_path}/*.csv", format="csv", separator=",", infer=False)
+    assert sorted((r.a, r.b) for r in df.filter("a IS NOT NULL").collect()) == [('5" nail', "3"), ('quoted, "cell"', "4"), ('say "hi"\n\nthere', "2"), ("x\ny", "1")]
+    assert df.count() == 5
+    found = {r.path.rsplit("/", 1)[1]: r.open_quotes for r in describe_files(spark, f"{tmp_path}/*.csv", ",").collect()}
+    assert found == {"a.csv": True, "b.csv": False}
+    assert tables.read_table(spark, f"{tmp_path}/a.csv", separator=",", multi_line=False).count() > 2
+    wide = f"{tmp_path}/wide"
+    spark.createDataFrame([('﻿a,b\n"x\ny",1',)], "value string").coalesce(1).write.options(encoding="UTF-16LE", quote="\0", escape="\0").csv(wide)
+    assert [tuple(r) for r in tables.read_table(spark, wide, format="csv", separator=",").collect()] == [("x\ny", 1)]
