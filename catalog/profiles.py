@@ -97,7 +97,17 @@ TOP = ["p_name", "p_brand", "p_type"]
 
 
 def cat_top10(spark, sf):
-    return profile.top_values(profile.value_counts(table(spark, sf, "part"), TOP))
+    return profile.frequent_values(table(spark, sf, "part"), TOP)
+
+
+def frequent_texts(spark, sf):
+    """The ten most frequent keys, words and whole texts of documents: many values, one of them a third of all, long ones."""
+    docs = table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.floor(F.sqrt(F.col("doc_id") * 100)).cast("string"))).alias("skewed"),
+        F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("unique"), "text", "lang",
+    )
+    found = profile.frequent_values(docs, docs.columns)
+    return found.select("column", "rank", F.sha2("value", 256).alias("value_sha256"), "count", "pct")
 
 
 def cat_modes(spark, sf):
@@ -301,6 +311,12 @@ SELECT "column", dtype, n AS count, n - k AS nulls, CAST(printf('%.1f', (n-k)*1.
 SELECT '{c}' AS "column", CAST(rank AS INTEGER) AS rank, value, count, CAST(printf('%.1f', count*1.0/total*100) AS DOUBLE) AS pct FROM (
   SELECT {c} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank,
          sum(count(*)) OVER () AS total FROM part GROUP BY 1) WHERE rank <= 10""" for c in TOP])),
+    "frequent_texts": (frequent_texts, union_all([f"""
+SELECT '{c}' AS "column", CAST(rank AS INTEGER) AS rank, sha256(value) AS value_sha256, count, CAST(printf('%.1f', count*1.0/total*100) AS DOUBLE) AS pct FROM (
+  SELECT value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, value) AS rank, sum(count(*)) OVER () AS total
+  FROM (SELECT {sql} AS value FROM documents) WHERE value IS NOT NULL GROUP BY 1) WHERE rank <= 10""" for c, sql in (
+        ("skewed", "CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE 'k' || CAST(CAST(floor(sqrt(doc_id * 100)) AS BIGINT) AS VARCHAR) END"),
+        ("unique", "'u' || CAST(doc_id AS VARCHAR)"), ("text", "text"), ("lang", "lang"))])),
     "cat_modes": (cat_modes, union_all([
         f"SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS mode FROM {GAPPY_SQL} WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 1)"
         for c in ("o_orderstatus", "o_orderpriority")

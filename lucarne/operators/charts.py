@@ -13,6 +13,7 @@ from lucarne.functions.vocabulary import (
     BAR_LIMIT, BOX_LIMIT, BOX_OUTLIERS, CHART_POINTS, PIE_LIMIT,
 )
 from lucarne.operators.cleaning import cell
+from lucarne.operators.frequent import top_counts
 from lucarne.operators.filters import apply_filters, drop_nulls, ordering
 from lucarne.operators.quantiles import group_quantiles
 from lucarne.session import small_table
@@ -38,10 +39,8 @@ def frequency(df: DataFrame, x: str, filters: Mapping[str, Any] | None = None, l
     """Rows per value of ``x``, most frequent first (CHT-1)."""
     _checked(df, [x])
     rows = drop_nulls(apply_filters(df, filters), [x])
-    return (
-        rows.groupBy(_label(x)).agg(F.count(F.lit(1)).alias("value"))
-        .orderBy(F.desc("value"), F.asc("label")).limit(limit)
-    )
+    found = top_counts(rows.select(_label(x)), ["label"], limit)
+    return found.select(F.col("value").alias("label"), F.col("count").alias("value")).orderBy(F.desc("value"), F.asc("label")).limit(limit)
 
 
 def grouped_value(

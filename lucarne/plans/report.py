@@ -53,7 +53,7 @@ def column_report(df: DataFrame) -> ColumnReport:
         numeric_histogram=profile.numeric_histogram(df, numeric),
         temporal=profile.temporal_stats(df, temporal),
         temporal_histogram=profile.temporal_histogram(df, temporal),
-        categorical=profile.top_values(profile.value_counts(df, grouped)) if grouped else _none(df),
+        categorical=profile.frequent_values(df, grouped) if grouped else _none(df),
         boolean=profile.boolean_stats(df, of("boolean")) if of("boolean") else _none(df),
         identifier=profile.identifier_stats(df, of("identifier")),
         insights=profile.insights(stats.join(F.broadcast(nulls), "column")),
