@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import table
-from lucarne.operators import filters
+from lucarne.operators import filters, profile
 from lucarne.operators.anomalies import detect_anomalies
 
 
@@ -41,6 +41,13 @@ def distinct_values(spark, sf):
     return filters.distinct_values(table(spark, sf, "orders"), "o_custkey")
 
 
+def distinct_keys(spark, sf):
+    """Distinct keys: some close together, counted by bitmaps, some far apart."""
+    keys = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("orders"), F.col("l_partkey").alias("parts"), (F.col("l_orderkey") * 1000003).alias("apart"))
+    counts = profile.distinct_counts(keys)
+    return counts.agg(*[F.max(F.when(F.col("column") == c, F.col("uniques"))).alias(c) for c in keys.columns])
+
+
 def distinct_total(spark, sf):
     rows = table(spark, sf, "orders").select(F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"))
     return filters.distinct_total(rows, "priority")
@@ -89,6 +96,7 @@ QUERIES = {
     "search_any": (search_any, "SELECT * FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget')"),
     "search_text": (search_text, "SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), 'example.com') OR contains(lower(lang), 'example.com') OR contains(lower(source), 'example.com')"),
     "distinct_values": (distinct_values, "SELECT DISTINCT o_custkey AS value FROM orders WHERE o_custkey IS NOT NULL ORDER BY 1 LIMIT 1000"),
+    "distinct_keys": (distinct_keys, "SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS orders, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS parts, (SELECT count(DISTINCT l_orderkey * 1000003) FROM lineitem) AS apart"),
     "distinct_total": (distinct_total, "SELECT count(*) AS total_unique FROM (SELECT DISTINCT nullif(o_orderpriority, '5-LOW') FROM orders)"),
     "distinct_search": (distinct_search, "SELECT DISTINCT p_name AS value FROM part WHERE contains(lower(p_name), 'ring') ORDER BY 1 LIMIT 1000"),
     "sort_rows": (sort_rows, "SELECT * FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey"),

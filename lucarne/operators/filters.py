@@ -75,9 +75,11 @@ def distinct_values(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT, sea
 
 
 def distinct_total(df: DataFrame, column: str) -> DataFrame:
-    """How many distinct values there are, null counted as one (FLT-5)."""
-    c = cell(column)
-    return df.agg((F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))).alias("total_unique"))
+    """How many distinct values there are, null counted as one (FLT-5); close whole numbers are counted by bitmaps."""
+    from lucarne.operators.profile import distinct_counts
+
+    null = 0 if df.filter(cell(column).isNull()).isEmpty() else 1
+    return distinct_counts(df, [column]).agg((F.coalesce(F.sum("uniques"), F.lit(0)) + null).alias("total_unique"))
 
 
 def search_values(values: DataFrame, text: str, column: str = "value") -> DataFrame:
