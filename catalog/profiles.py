@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.common import nearest_sql, table, union_all
 from lucarne.functions.vocabulary import FALSE_MARKERS, ID_WORDS, MEASURE_WORDS, TRUE_MARKERS
 from lucarne.operators import inference, profile
-from lucarne.operators.quantiles import LINEAR, NEAREST, column_quantiles
+from lucarne.operators.quantiles import LINEAR, NEAREST, approximate_quantiles, column_quantiles, typed_quantiles
 from lucarne.session import small_table
 
 # Columns of the given tables and their types.
@@ -173,6 +173,30 @@ def quantile_linear(spark, sf):
     return _quantiles(spark, sf, LINEAR).select("column", "n", *[F.bround(f"q{int(q * 100)}", 6).alias(f"q{int(q * 100)}") for q in PROBS])
 
 
+def quantile_typed(spark, sf):
+    """Quantiles of keys near 2^60, days and prices as decimals, each in its own type."""
+    df = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") * 7 + 2**60).alias("key"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderdate").alias("moment"),
+        F.col("o_totalprice").cast("decimal(15,2)").alias("price"),
+    )
+    rows = [(c, n, *map(str, values)) for c, (n, values) in typed_quantiles(df, df.columns, PROBS).items()]
+    return small_table(spark, rows, "column string, n bigint, " + ", ".join(f"q{int(q * 100)} string" for q in PROBS))
+
+
+def quantile_approx(spark, sf):
+    """Whether the sketch's quantiles lie within its stated error, by ranks counted in the table."""
+    items = table(spark, sf, "lineitem")
+    names = ["l_orderkey", "l_extendedprice", "l_shipdate"]
+    found, error = approximate_quantiles(items, names, PROBS)
+    checks = []
+    for c in names:
+        n, values = found[c]
+        for q, v in zip(PROBS, values, strict=True):
+            below, upto = F.count_if(F.col(c) < F.lit(v)), F.count_if(F.col(c) <= F.lit(v))
+            checks.append(F.struct(F.lit(c).alias("column"), F.lit(n).cast("bigint").alias("n"), F.lit(q).alias("q"), ((below <= (q + error) * n) & (upto >= (q - error) * n)).alias("within")))
+    return items.agg(F.array(*checks).alias("c")).selectExpr("inline(c)")
+
+
 # --- SQL ---------------------------------------------------------------------------------------
 
 
@@ -355,6 +379,15 @@ FROM (SELECT null_rate, CAST(greatest(0, round_even(100 - null_rate - 2*warned,
         f"SELECT '{c}' AS \"column\", (SELECT count({c}) FROM lineitem) AS n, " + ", ".join(f"{nearest_sql('lineitem', c, q)} AS q{int(q * 100)}" for q in PROBS)
         for c in NUMBERS + ["l_orderkey"]
     ])),
+    "quantile_typed": (quantile_typed, union_all([
+        f"SELECT '{name}' AS \"column\", count(*) AS n, " + ", ".join(
+            f"(SELECT CAST(v AS VARCHAR) FROM (SELECT {sql} AS v, row_number() OVER (ORDER BY {sql}) - 1 AS rn, count(*) OVER () AS n FROM orders) WHERE rn = CAST(floor((n - 1) * {q} + 0.5) AS BIGINT)) AS q{int(q * 100)}"
+            for q in PROBS) + " FROM orders"
+        for name, sql in (("key", "o_orderkey * 7 + 1152921504606846976"), ("day", "CAST(o_orderdate AS DATE)"), ("moment", "o_orderdate"), ("price", "CAST(o_totalprice AS DECIMAL(15,2))"))
+    ])),
+    "quantile_approx": (quantile_approx, f"""
+        SELECT c AS "column", (SELECT count(*) FROM lineitem) AS n, CAST(q AS DOUBLE) AS q, true AS within
+        FROM (SELECT unnest(['l_orderkey', 'l_extendedprice', 'l_shipdate']) AS c), (SELECT unnest({PROBS}) AS q)"""),
     "quantile_linear": (quantile_linear, union_all([
         f"SELECT '{c}' AS \"column\", count({c}) AS n, " + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS q{int(q * 100)}" for q in PROBS) + " FROM lineitem"
         for c in NUMBERS + ["l_orderkey"]

@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lucarne.operators.cleaning import cell
 from lucarne.session import small_table
 
 SKETCH = 4_000           # sketch size: 90 KB, ranks off by less than 0.1 % (99 times in 100)
@@ -66,35 +69,57 @@ def _salt() -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("salt")
 
 
-def _marks(sketch: str, at: list[float]) -> Column:
-    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(q) for q in at]))
+class _Numbers:
+    """How values are sketched and bracketed: as doubles, or as whole numbers of 64 bits."""
 
+    kind, low, high = "double", -_INF, _INF
 
-def _sketched(values: DataFrame, by: list[str], value: Column, size: int) -> DataFrame:
-    """``by, n, sketch``: merged per task, then by up to MERGERS tasks, then for good."""
-    first = values.groupBy(*by, _salt()).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
-    return first.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+    def sketch_of(self, value: Column | str, size: int) -> Column:
+        return F.call_function(f"kll_sketch_agg_{self.kind}", F.col(value) if isinstance(value, str) else value, F.lit(size))
 
+    def merged(self, sketch: str, size: int) -> Column:
+        return F.call_function(f"kll_merge_agg_{self.kind}", F.col(sketch), F.lit(size))
 
-class _Columns:
+    def marks(self, sketch: str, at: list[float]) -> Column:
+        return F.call_function(f"kll_sketch_get_quantile_{self.kind}", F.col(sketch), F.array(*[F.lit(q) for q in at]))
+
+    def sketched(self, values: DataFrame, by: list[str], value: Column, size: int) -> DataFrame:
+        """``by, n, sketch``: merged per task, then by up to MERGERS tasks, then for good."""
+        first = values.groupBy(*by, _salt()).agg(F.count(F.lit(1)).alias("n"), self.sketch_of(value, size).alias("sketch"))
+        return first.groupBy(*by).agg(F.sum("n").alias("n"), self.merged("sketch", size).alias("sketch"))
+
+    def brackets(self, spark: SparkSession, groups: dict) -> DataFrame:
+        """One row per group: its brackets in order, null past the last."""
+        width = _width(groups)
+        rows = []
+        for g, info in groups.items():
+            ends = [e for lo, hi, _ in info["intervals"] for e in (lo, hi)]
+            rows.append((g, *ends, *[None] * (2 * width - len(ends))))
+        return small_table(spark, rows, "g string, " + ", ".join(f"lo{i} {self.kind}, hi{i} {self.kind}" for i in range(width)))
+
+
+class _Columns(_Numbers):
     """The named columns of a table, each a group of its own."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str]):
         self.spark, self.columns = df.sparkSession, list(columns)
-        number = {c: F.col("`" + c.replace("`", "``") + "`").cast("double") for c in columns}
-        self.df = df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number.values())])
+        self.df = df.select(*[self.coded(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def coded(self, df: DataFrame, column: str) -> Column:
+        value = cell(column).cast("double")
+        return F.when(~F.isnan(value), value)
 
     def sketch(self, marks: list[float], size: int) -> list[tuple[str, int, list[float]]]:
         """One aggregation over all columns; no row is copied per column."""
         each = range(len(self.columns))
         first = self.df.groupBy(_salt()).agg(*[
-            a for i in each for a in (F.count(f"c{i}").alias(f"n{i}"), F.kll_sketch_agg_double(f"c{i}", F.lit(size)).alias(f"s{i}"))
+            a for i in each for a in (F.count(f"c{i}").alias(f"n{i}"), self.sketch_of(f"c{i}", size).alias(f"s{i}"))
         ])
         merged = first.agg(*[
-            a for i in each for a in (F.sum(f"n{i}").alias(f"n{i}"), F.kll_merge_agg_double(f"s{i}", F.lit(size)).alias(f"s{i}"))
+            a for i in each for a in (F.sum(f"n{i}").alias(f"n{i}"), self.merged(f"s{i}", size).alias(f"s{i}"))
         ])
         row = merged.select(*[
-            a for i in each for a in (f"n{i}", F.when(F.col(f"n{i}") > 0, _marks(f"s{i}", marks)).alias(f"m{i}"))
+            a for i in each for a in (f"n{i}", F.when(F.col(f"n{i}") > 0, self.marks(f"s{i}", marks)).alias(f"m{i}"))
         ]).first()
         return [(c, row[2 * i], row[2 * i + 1]) for i, c in enumerate(self.columns) if row[2 * i]]
 
@@ -104,10 +129,43 @@ class _Columns:
         cells = self.df.select(F.posexplode(F.array(*self.df.columns)).alias("i", "v")).filter(F.col("v").isNotNull())
         index = {c: i for i, c in enumerate(self.columns)}
         names = small_table(self.spark, [(index[g], g) for g in groups], "i int, g string")
-        return _place(cells, _brackets(self.spark, groups).join(F.broadcast(names), "g"), "i", groups, ends)
+        return _place(cells, self.brackets(self.spark, groups).join(F.broadcast(names), "g"), "i", groups, ends)
+
+
+class _WholeColumns(_Columns):
+    """Columns of whole numbers, days, moments and decimals of up to 18 digits, each coded as a whole number in the same order."""
+
+    kind, low, high = "bigint", -(2**63), 2**63 - 1
+
+    def coded(self, df: DataFrame, column: str) -> Column:
+        return _code(column, dict(df.dtypes)[column])
+
+
+def _code(column: str, dtype: str) -> Column:
+    value = cell(column)
+    if dtype == "date":
+        return F.unix_date(value).cast("bigint")
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(value.cast("timestamp"))
+    if dtype.startswith("decimal("):
+        digits, scale = (int(x) for x in dtype[8:-1].split(","))
+        if digits > 18:
+            raise ValueError(f"{column} has {digits} digits; up to 18 are ordered as whole numbers")
+        return (value * F.lit(10**scale).cast("decimal(19,0)")).cast("bigint")
+    if dtype not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{column} is {dtype}: not a whole number, a date, a moment or a decimal")
+    return value.cast("bigint")
+
 
+def _decode(code: int, dtype: str) -> int | Decimal | date | datetime:
+    if dtype == "date":
+        return date(1970, 1, 1) + timedelta(days=code)
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return datetime(1970, 1, 1) + timedelta(microseconds=code)
+    return Decimal(code).scaleb(-int(dtype[8:-1].split(",")[1])) if dtype.startswith("decimal(") else code
 
-class _Groups:
+
+class _Groups(_Numbers):
     """Groups of one column of values."""
 
     def __init__(self, long: DataFrame, key: str, value: str):
@@ -116,27 +174,17 @@ class _Groups:
         self.long = long.select(F.col(key).alias("g"), v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
 
     def sketch(self, marks: list[float], size: int) -> list[tuple[str, int, list[float]]]:
-        rows = _sketched(self.long, ["g"], F.col("v"), size).select("g", "n", _marks("sketch", marks).alias("m")).collect()
+        rows = self.sketched(self.long, ["g"], F.col("v"), size).select("g", "n", self.marks("sketch", marks).alias("m")).collect()
         return [(r["g"], r["n"], r["m"]) for r in rows]
 
     def placed(self, groups: dict, ends: bool = False) -> DataFrame:
-        return _place(self.long, _brackets(self.spark, groups), "g", groups, ends)
+        return _place(self.long, self.brackets(self.spark, groups), "g", groups, ends)
 
 
 def _width(groups: dict) -> int:
     return max(len(info["intervals"]) for info in groups.values())
 
 
-def _brackets(spark: SparkSession, groups: dict) -> DataFrame:
-    """One row per group: its brackets in order, null past the last."""
-    width = _width(groups)
-    rows = []
-    for g, info in groups.items():
-        ends = [e for lo, hi, _ in info["intervals"] for e in (lo, hi)]
-        rows.append((g, *ends, *[None] * (2 * width - len(ends))))
-    return small_table(spark, rows, "g string, " + ", ".join(f"lo{i} double, hi{i} double" for i in range(width)))
-
-
 def _place(values: DataFrame, brackets: DataFrame, on: str, groups: dict, ends: bool) -> DataFrame:
     """``g, v, at``: how many bracket ends lie below each value.
 
@@ -162,6 +210,32 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return _exact(_Columns(df, columns), probs, kind, **limits) if columns else {}
 
 
+def typed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **limits: int):
+    """``{column: (n, [element per prob])}`` in each column's own type: whole numbers, dates, moments, decimals of up to 18 digits.
+
+    Elements are nearest ranks and never pass through a double, so keys beyond 2^53 come out as they are. Nulls are left out,
+    and columns without a value are missing from the result.
+    """
+    dtypes = dict(df.dtypes)
+    found = _exact(_WholeColumns(df, columns), probs, NEAREST, **limits) if columns else {}
+    return {c: (n, [_decode(v, dtypes[c]) for v in values]) for c, (n, values) in found.items()}
+
+
+def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], sketch: int = SKETCH):
+    """``({column: (n, [element per prob])}, error)`` from one scan: the sketch's own answer (QNT-1 with ``approx=True``).
+
+    Each element's rank is off by at most ``error`` times n, 99 times in 100; a larger ``sketch`` has a smaller error. Whole
+    numbers, dates, moments and short decimals keep their type, all other numbers are doubles.
+    """
+    result: dict[str, tuple[int, list]] = {}
+    dtypes = dict(df.dtypes)
+    whole = [c for c in columns if dtypes[c] not in ("float", "double") and not (dtypes[c].startswith("decimal(") and int(dtypes[c][8:-1].split(",")[0]) > 18)]
+    for source, names in ((_WholeColumns, whole), (_Columns, [c for c in columns if c not in whole])):
+        for c, n, marks in source(df, names).sketch(list(probs), sketch) if names else ():
+            result[c] = (n, [_decode(v, dtypes[c]) if c in whole else v for v in marks])
+    return result, _rank_error(sketch)
+
+
 def group_quantiles(
     long: DataFrame, key: str, value: str, probs: Sequence[float | tuple[float, str]], kind: str = NEAREST, **limits: int
 ):
@@ -179,7 +253,8 @@ def _exact(
             return _bracketed(source, wanted, sketch, small_rows, group_rows, widen * _rank_error(sketch))
         except _Missed:
             continue
-    raise RuntimeError("quantile brackets missed their ranks three times")
+    # Brackets that miss three times are of no use here: rank all values.
+    return _bracketed(source, wanted, sketch, 2**63, 2**63, _rank_error(sketch))
 
 
 def _bracketed(
@@ -190,13 +265,13 @@ def _bracketed(
     for g, n, at_marks in source.sketch(marks, sketch):
         ranks = sorted({k for q, kind in wanted for k in _position(n, q, kind)[:2]})
         if n <= small_rows:
-            intervals = [(-_INF, _INF, ranks)]
+            intervals = [(source.low, source.high, ranks)]
         else:
             at = dict(zip(marks, at_marks))
             intervals = []
             for q, kind in wanted:
-                lo = -_INF if q - margin <= 0 else at[max(0.0, q - margin)]
-                hi = _INF if q + margin >= 1 else at[min(1.0, q + margin)]
+                lo = source.low if q - margin <= 0 else at[max(0.0, q - margin)]
+                hi = source.high if q + margin >= 1 else at[min(1.0, q + margin)]
                 intervals.append((lo, hi, sorted(set(_position(n, q, kind)[:2]))))
             intervals = _merge(intervals)
         inside = n if n <= small_rows else math.ceil(n * margin * 2.5 * len(intervals))
@@ -269,8 +344,8 @@ def _narrow(source: _Columns | _Groups, groups: dict, sketch: int, margin: float
     reach = max(2.0, margin * GRID)    # grid steps to either side, beyond the sketch error
     middle = F.col("at") % 4 == 2
     cells = (
-        _sketched(source.placed(groups, ends=True), ["g", "at"], F.when(middle, F.col("v")), sketch)
-        .select("g", "at", F.col("n").alias("c"), F.when(middle, _marks("sketch", grid)).alias("m"))
+        source.sketched(source.placed(groups, ends=True), ["g", "at"], F.when(middle, F.col("v")), sketch)
+        .select("g", "at", F.col("n").alias("c"), F.when(middle, source.marks("sketch", grid)).alias("m"))
         .collect()
     )
     held = {(r["g"], r["at"]): r for r in cells}
