@@ -19,15 +19,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lucarne.llm.shared import Staging, fresh, slices
+from lucarne.llm.shared import Staging, bounded_batches, fresh, slices
 
 BUCKETS = 1 << 14
 #: Trigrams that a text counts for at most.
 WEIGHT = 100.0
 #: Positions looked at in one step, which bounds a task's memory for texts of any length.
 STEP = 1 << 20
+#: Labels whose counts a training task holds at once, 128 KB each.
+HELD = 64
 NONE = "und"
 _SPACED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -65,6 +66,12 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
     ``BUCKETS`` numbers of four bytes per language where it is read, ``max_bytes`` in all, which is room for 1 023 languages.
     """
 
+    def flushed(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, row in counts.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["label", "bucket", "n"])
+        counts.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -72,12 +79,14 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
                 part = batch.slice(begin, end - begin)
                 names, which = np.unique(part.column(label).to_pylist(), return_inverse=True)
                 for owner, bucket in trigrams(part.column(text).to_pylist()):
-                    table = np.bincount(which[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                    for name, row in zip(names.tolist(), table, strict=True):
-                        counts[name] = counts.get(name, 0) + row
-        for name, row in counts.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["label", "bucket", "n"])
+                    code, often = np.unique(which[owner] * BUCKETS + bucket, return_counts=True)
+                    cuts = np.searchsorted(code, np.arange(len(names) + 1) * BUCKETS)
+                    for k, name in enumerate(names.tolist()):
+                        if len(counts) >= HELD and name not in counts:
+                            yield from flushed(counts)
+                        own = slice(cuts[k], cuts[k + 1])
+                        counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))[code[own] - k * BUCKETS] += often[own]
+        yield from flushed(counts)
 
     labelled = df.where(F.col(label).isNotNull()).select(primary(F.col(label)).alias(label), text).where(F.col(label) != "")
     counted = labelled.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
@@ -97,31 +106,34 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
     return [*names, NONE], np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def read_text(df: DataFrame, model: tuple[list[str], np.ndarray], text: str) -> DataFrame:
-    """The rows without their text, with ``likelihood`` (per language), ``best`` (its index) and ``trigrams``."""
-    shared = df.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
-    kept = [f for f in df.schema.fields if f.name != text]
+def read_text(df: DataFrame, model: tuple[list[str], np.ndarray], text: Column) -> DataFrame:
+    """The rows with ``likelihood`` (per language), ``best`` (its index) and ``trigrams``; only the text goes to Python, once."""
+    shared = bounded_batches(df.sparkSession).sparkContext.broadcast(model[1].astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<likelihood: array<double>, best: int, trigrams: bigint>")
+    def read(texts: pa.Array) -> pa.Array:
         table = shared.value
-        for batch in batches:
-            for begin, end in slices(batch, text, 1 << 20):
-                part = batch.slice(begin, end - begin)
-                total, n = np.zeros((len(table), part.num_rows)), np.zeros(part.num_rows)
-                for owner, bucket in trigrams(part.column(text).to_pylist()):
-                    n += np.bincount(owner, minlength=part.num_rows)
-                    for k, row in enumerate(table):
-                        total[k] += np.bincount(owner, weights=row[bucket], minlength=part.num_rows)
-                total *= np.minimum(1.0, WEIGHT / np.maximum(n, 1))
-                best = np.where(n > 0, total.argmax(axis=0), len(table) - 1)
-                rows = pa.ListArray.from_arrays(np.arange(0, total.size + 1, len(table), dtype=np.int32), pa.array(total.T.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in kept] + [rows, pa.array(best.astype(np.int32)), pa.array(n.astype(np.int64))],
-                    [f.name for f in kept] + ["likelihood", "best", "trigrams"],
-                )
-
-    made = [T.StructField("likelihood", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType()), T.StructField("trigrams", T.LongType())]
-    return df.select(*(f.name for f in kept), text).mapInArrow(run, T.StructType(kept + made))
+        held, bests, counts = [], [], []
+        batch = pa.record_batch([texts], ["text"])
+        for begin, end in slices(batch, "text", 1 << 20):
+            size = end - begin
+            total, n = np.zeros((len(table), size)), np.zeros(size)
+            for owner, bucket in trigrams(texts.slice(begin, size).to_pylist()):
+                n += np.bincount(owner, minlength=size)
+                for k, row in enumerate(table):
+                    total[k] += np.bincount(owner, weights=row[bucket], minlength=size)
+            total *= np.minimum(1.0, WEIGHT / np.maximum(n, 1))
+            held.append(total.T.ravel())
+            bests.append(np.where(n > 0, total.argmax(axis=0), len(table) - 1))
+            counts.append(n)
+        flat, best, n = (np.concatenate([*x, np.zeros(0)]) for x in (held, bests, counts))
+        ends = pa.array(np.arange(0, len(flat) + 1, len(table), dtype=np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(best.astype(np.int32)), pa.array(n.astype(np.int64))], ["likelihood", "best", "trigrams"],
+        )
+
+    found = fresh(df, "found")
+    return df.withColumn(found, read(text)).select(*(F.col(f"`{c}`") for c in df.columns), f"{found}.*")
 
 
 def _totals(rows: DataFrame, size: int) -> list[int]:
@@ -148,9 +160,9 @@ def _signal(rows: DataFrame, key: str, size: int, smoothing: float) -> DataFrame
 
 def identify(
     df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", declared: Column | None = None, suffix: Column | None = None,
-    host: Column | None = None, domain: Column | None = None, smoothing: float = 0.5, strength: float = 5.0, least: float = 0.5,
+    host: Column | None = None, domain: Column | None = None, smoothing: float = 0.5, strength: float = 5.0, least: float = 0.5, keep_text: bool = False,
 ) -> DataFrame:
-    """The rows without their text, with language, probability, trigrams and accepted; columns of these names are replaced.
+    """The rows, without their text unless ``keep_text``, with language, probability, trigrams and accepted; columns of these names are replaced.
 
     A row is accepted if its language is not ``und`` and at least as probable as ``least``. Null and empty texts and texts without
     letters are ``und`` with probability 1. Null evidence is left out; rows without a host share one prior. Equal rows get
@@ -158,14 +170,16 @@ def identify(
     """
     names, size = model[0], len(model[0])
     made = ("language", "probability", "trigrams", "accepted")
-    kept = [c for c in df.columns if c != text and c.lower() not in made]
+    kept = [c for c in df.columns if (keep_text or c != text) and c.lower() not in made]
     evidence = {"declared": declared, "suffix": suffix, "host": host, "domain": domain}
     boxed = fresh(df, "row")
     null = F.lit(None).cast("string")
-    rows = df.select(F.struct(*(kept or [F.lit(0).alias("none")])).alias(boxed), F.col(text).alias("text"), *((c if c is not None else null).cast("string").alias(k) for k, c in evidence.items()))
+    given = {} if keep_text else {"text": F.col(text)}
+    given |= {k: (c if c is not None else null).cast("string") for k, c in evidence.items()}
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept) if kept else [F.lit(0).alias("none")]).alias(boxed), *(c.alias(k) for k, c in given.items()))
     rows = rows.withColumns({"declared": F.nullif(primary(F.col("declared")), F.lit("")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit(""))})
     staging = Staging(df.sparkSession, "language")
-    rows = staging.keep(read_text(rows, model, "text"))
+    rows = staging.keep(read_text(rows, model, F.col(f"{boxed}.`{text}`") if keep_text else F.col("text")).drop("text"))
 
     totals = np.array(_totals(rows, size), dtype=float)
     base = (totals + smoothing) / (totals.sum() + smoothing * size)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES, run
 from lucarne.llm.queries import piece_model
@@ -100,3 +101,14 @@ def test_tokens_and_run(spark, folder, steps):
 def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_called_like_those_of_operators(spark, folder):
+    """Such columns pass through every filtering stage as they are."""
+    names = ["language", "probability", "trigrams", "accepted", "base", "added", "size", "rate", "target", "copies", "taken", "src"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in STAGES[:4]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
