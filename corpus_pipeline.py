@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 
 from lucarne.llm import language, mixing, ngram_join, pieces, pii
 from lucarne.llm.queries import piece_model
-from lucarne.llm.shared import WORD, Staging, fresh
+from lucarne.llm.shared import WORD, Staging, bounded_batches, fresh
+
+
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """The documents with all columns but the used ones renamed, so that none is called like a column an operator makes, and the way back."""
+    names = {c: c if c in used else f"other_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those in none of the corpus's languages go, declared languages stay as they are."""
+    """Documents whose language is known; those in none of the corpus's languages go, declared languages stay as they are.
+
+    Null and empty texts and texts without letters are in no language and go. Repeated rows go or stay together; an empty table stays empty.
+    """
     model = language.train(docs, "text", "lang")
-    keep_text, accepted = fresh(docs, "kept_text"), "accepted"
-    found = language.identify(docs.withColumn(keep_text, F.col("text")), model, declared=F.col("lang"), host=F.col("source"))
-    return found.where(accepted).withColumnRenamed(keep_text, "text").select(*docs.columns)
+    rows, back = apart(docs, "text", "lang", "source")
+    found = language.identify(rows, model, declared=F.col("lang"), host=F.col("source"), keep_text=True)
+    return found.where("accepted").select(*back)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +45,33 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by their kind, and its length counted anew."""
-    found = pii.find(docs, keep_text=True)
+    """Every document, its personal data replaced by their kind, and its length counted anew.
+
+    Null texts stay null, with a null length, and empty ones empty; repeated rows repeat, and an empty table stays empty.
+    """
+    rows, back = apart(docs, "doc_id", "text", "n_chars")
+    found = pii.find(rows, keep_text=True)
     hidden = found.withColumn("text", pii.redacted(F.col("text"), F.concat("base", "added")))
-    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
-    taken = mixing.mix(docs, mixing.word_count(F.col("text")), weights=(3.0, 1.0, 2.0), share=1.5)
-    return mixing.repeated(taken).select(*docs.columns)
+    """Documents as often as the mix of their sources takes them.
+
+    Documents without words (null and empty texts) weigh nothing and are never taken. Repeated rows are taken each by itself; a null
+    source is a source, and an empty table stays empty.
+    """
+    rows, back = apart(docs, "doc_id", "text", "source")
+    taken = mixing.mix(rows, mixing.word_count(F.col("text")), weights=(3.0, 1.0, 2.0), share=1.5)
+    return mixing.repeated(taken).select(*back)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their SentencePiece ids (packed), their number, and the text that the ids decode to."""
+    """Documents with their SentencePiece ids (packed), their number, and the text that the ids decode to, in ids, n_tokens and decoded.
+
+    Null and empty texts have the begin and end ids only. Repeated rows repeat; columns of the three names are replaced.
+    """
+    bounded_batches(spark)
     done = pieces.round_trip(docs, piece_model())
     return done.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
@@ -61,10 +83,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    staging = Staging(spark, "pipeline")
+    staging, before = Staging(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = staging.keep(stage(spark, docs, sf_dir))
+        docs, path = staging.write(stage(spark, docs, sf_dir))
+        if before:
+            staging.drop(before)
+        before = path
     return docs
 
 
