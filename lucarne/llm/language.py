@@ -27,6 +27,8 @@ BUCKETS = 1 << 14
 WEIGHT = 100.0
 #: Positions looked at in one step, which bounds a task's memory for texts of any length.
 STEP = 1 << 20
+#: Bytes of a table of evidence that is broadcast.
+MOVED = 16 << 20
 #: Labels whose counts a training task holds at once, 128 KB each.
 HELD = 64
 NONE = "und"
@@ -183,10 +185,12 @@ def identify(
 
     totals = np.array(_totals(rows, size), dtype=float)
     base = (totals + smoothing) / (totals.sum() + smoothing * size)
-    for key in ("declared", "suffix"):
-        rows = rows.join(_signal(rows, key, size, smoothing), key, "left")
-    for key in ("host", "domain"):
-        rows = rows.join(_counts(rows, key, size), key, "left")
+    sides = {key: _signal(rows, key, size, smoothing) for key in ("declared", "suffix")} | {key: _counts(rows, key, size) for key in ("host", "domain")}
+    for key, side in sides.items():
+        side = staging.keep(side)
+        # A table of few keys goes to the rows; the rows, with all they carry, move only for one that is larger.
+        few = 8 * size * side.count() <= MOVED
+        rows = rows.join(F.broadcast(side) if few else side, key, "left")
 
     order = np.array(names)
 
