@@ -34,6 +34,8 @@ from lucarne.llm.shared import Staging, slices
 
 #: Classes of one group that meet about in one comparison block.
 BLOCK = 512
+#: Texts whose sets and sketches are made in one go, which bounds a worker's memory for short texts.
+SLICE = 2048
 #: Bins of the sketch; counts are cut at 255, which only loosens the bound. Pairs are first compared on sums of ``FOLD`` bins.
 BINS = 512
 FOLD = 4
@@ -153,9 +155,10 @@ def signatures(sets: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.n
 def _chunks(batches: Iterator[pa.RecordBatch], n: int, words: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the sets of their column ``text`` (binary)."""
     for batch in batches:
-        for begin, end in slices(batch, "text"):
-            part = batch.slice(begin, end - begin)
-            yield part, *shingle_sets(part.column("text").to_pylist(), n, words)
+        for begin, end in slices(batch, "text", 1 << 20):
+            for at in range(begin, end, SLICE):
+                part = batch.slice(at, min(SLICE, end - at))
+                yield part, *shingle_sets(part.column("text").to_pylist(), n, words)
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
