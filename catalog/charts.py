@@ -111,7 +111,24 @@ def _sum_sql(source: str, x: str, y: str, limit: int, where: str = "") -> str:
     )
 
 
+def scatter_sample(spark, sf):
+    """A third of the orders, drawn by the hash of their key."""
+    return charts.scatter(table(spark, sf, "orders"), "o_totalprice", "o_custkey", key=["o_orderkey"], sample=True)
+
+
+def scatter_grid(spark, sf):
+    """Up to 50 orders from each cell of a 10 by 10 grid."""
+    return charts.scatter(table(spark, sf, "orders"), "o_totalprice", "o_custkey", key=["o_orderkey"], sample=True, grid=10)
+
+
 QUERIES = {
+    "scatter_sample": (scatter_sample, "SELECT o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 5000"),
+    "scatter_grid": (scatter_grid, """
+        SELECT x, y FROM (
+          SELECT x, y, row_number() OVER (PARTITION BY least(floor((x - lx) / (hx - lx) * 10), 9), least(floor((y - ly) / (hy - ly) * 10), 9) ORDER BY md5(CAST(k AS VARCHAR)), k) AS place
+          FROM (SELECT o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y, o_orderkey AS k FROM orders),
+               (SELECT min(o_totalprice) AS lx, max(o_totalprice) AS hx, CAST(min(o_custkey) AS DOUBLE) AS ly, CAST(max(o_custkey) AS DOUBLE) AS hy FROM orders))
+        WHERE place <= 50"""),
     "freq_top": (freq_top, "SELECT event_type AS label, count(*) AS value FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5000"),
     "freq_many": (freq_many, "SELECT CAST(l_partkey AS VARCHAR) AS label, count(*) AS value FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5000"),
     "bar_sum": (bar_sum, _sum_sql("orders", "o_orderpriority", "o_totalprice", 50)),

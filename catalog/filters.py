@@ -88,7 +88,24 @@ _EVENT_IQR = """
 WITH s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events)
 """
 
+def preview_numbers(spark, sf):
+    """Large and small numbers as users write them."""
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 1024).alias("large"), ((F.col("o_custkey") + 1000) / 1e7).alias("small"))
+    return filters.preview(orders, key=["o_orderkey"])
+
+
+def search_number(spark, sf):
+    """Orders whose amount, above ten million, shows the wanted digits."""
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.floor("o_totalprice") * 100000.0).alias("amount"))
+    return filters.search(orders.select("amount"), "5700000")
+
+
 QUERIES = {
+    "preview_numbers": (preview_numbers, """
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice * 1024 AS VARCHAR) AS large,
+               CAST((o_custkey + 1000) / 1e7 AS VARCHAR) AS small
+        FROM orders ORDER BY orders.o_orderkey LIMIT 2000"""),
+    "search_number": (search_number, "SELECT floor(o_totalprice) * 100000.0 AS amount FROM orders WHERE contains(CAST(floor(o_totalprice) * 100000.0 AS VARCHAR), '5700000')"),
     "filter_eq": (filter_eq, "SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
     "filter_in": (filter_in, "SELECT * FROM lineitem WHERE l_returnflag IN ('A','R') AND l_linenumber IN (1,2,3)"),
     "filter_boolean": (filter_boolean, "SELECT event_id, true AS is_error FROM events WHERE event_type = 'error'"),

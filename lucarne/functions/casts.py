@@ -135,3 +135,14 @@ def recast(c: Column, dtype: str, target: str, through_text: bool = False) -> Co
     if target == "Datetime":
         return c.cast("timestamp_ntz") if dtype in TEMPORAL else to_timestamp(c)
     raise ValueError(f"unknown target type {target!r}")
+
+
+def shown(column: Column, dtype: str) -> Column:
+    """A cell as users write it: fractions without an exponent from 0.00001 up to 10^16, all else as Spark's text."""
+    text = column.cast("string")
+    if dtype not in ("float", "double"):
+        return text
+    size = F.abs(column)
+    plain = F.when(size >= 1, text.try_cast("decimal(38,10)").cast("string")).otherwise(text.try_cast("decimal(38,24)").cast("string"))
+    bare = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", ".0")
+    return F.when(F.contains(text, F.lit("E")) & (size >= 1e-5) & (size < 1e16), bare).otherwise(text)

@@ -58,16 +58,38 @@ def grouped_value(
 
 def scatter(
     df: DataFrame, x: str, y: str, filters: Mapping[str, Any] | None = None,
-    key: Sequence[str] = (), limit: int = CHART_POINTS,
+    key: Sequence[str] = (), limit: int = CHART_POINTS, sample: bool = False, grid: int | None = None,
 ) -> DataFrame:
-    """The first points, numbers as double and the rest as text (CHT-4); in key order if a key is named."""
+    """Points, numbers as double and the rest as text (CHT-4): the first ones, in key order if a key is named.
+
+    ``sample=True`` takes those with the smallest hashes of their key instead: a uniform sample that is the same on any layout.
+    With ``grid`` the plane between the smallest and largest x and y is cut into grid by grid cells, and every cell gives
+    up to its share of the points, so that sparse regions show. Either way no task sends on more than ``limit`` points of what it reads.
+    """
     _checked(df, [x, y])
     rows = drop_nulls(apply_filters(df, filters), [x, y])
-    if key:
-        rows = rows.orderBy(*ordering([], key))
-    return rows.limit(limit).select(*[
-        cell(c).cast("double" if _is_number(df, c) else "string").alias(name) for c, name in ((x, "x"), (y, "y"))
-    ])
+    points = [cell(c).cast("double" if _is_number(df, c) else "string").alias(name) for c, name in ((x, "x"), (y, "y"))]
+    if not sample:
+        return (rows.orderBy(*ordering([], key)) if key else rows).limit(limit).select(*points)
+    if not key:
+        raise ValueError("a sample needs a key")
+    drawn = [F.md5(F.concat_ws("|", *[cell(k).cast("string") for k in key])), *ordering([], key)]
+    if grid is None:
+        return rows.orderBy(*drawn).limit(limit).select(*points)
+    if not (_is_number(df, x) and _is_number(df, y)):
+        raise ValueError("a grid needs numbers on both axes")
+    placed = rows.select(*points, F.struct(*[d.alias(f"d{i}") if i == 0 else cell(key[i - 1]).alias(f"d{i}") for i, d in enumerate(drawn)]).alias("drawn"))
+    low_x, high_x, low_y, high_y = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    at = [_step(F.col(c), lo, hi, grid).alias(n) for c, lo, hi, n in (("x", low_x, high_x, "i"), ("y", low_y, high_y, "j"))]
+    place = F.row_number().over(Window.partitionBy("i", "j").orderBy("drawn"))
+    return placed.select("*", *at).withColumn("place", place).filter(F.col("place") <= max(1, limit // grid**2)).select("x", "y")
+
+
+def _step(value: Column, low: float | None, high: float | None, steps: int) -> Column:
+    """Which of ``steps`` equal steps from ``low`` to ``high`` a value lies in; the upper end belongs to the last."""
+    if low is None or high == low:
+        return F.lit(0)
+    return F.least(F.floor((value - low) / (high - low) * steps), F.lit(steps - 1)).cast("int")
 
 
 def _boxes(df: DataFrame, x: str, y: str, filters: Mapping[str, Any] | None, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lucarne.functions.casts import shown
 from lucarne.functions.vocabulary import DISTINCT_LIMIT, FILTER_TRUE, PREVIEW_ROWS
 from lucarne.operators.cleaning import cell
 
@@ -54,7 +55,7 @@ def search(df: DataFrame, text: str) -> DataFrame:
     if not text:
         return df
     needle = F.lit(text.lower())
-    hits = [F.coalesce(F.contains(F.lower(cell(c).cast("string")), needle), F.lit(False)) for c in df.columns]
+    hits = [F.coalesce(F.contains(F.lower(shown(cell(c), t)), needle), F.lit(False)) for c, t in df.dtypes]
     return df.filter(reduce(Column.__or__, hits))
 
 
@@ -84,7 +85,7 @@ def distinct_total(df: DataFrame, column: str) -> DataFrame:
 
 def search_values(values: DataFrame, text: str, column: str = "value") -> DataFrame:
     """Values whose text contains ``text``, ignoring case (FLT-6); to search a column use ``distinct_values(search=)``."""
-    return values.filter(F.contains(F.lower(cell(column).cast("string")), F.lit(text.lower())))
+    return values.filter(F.contains(F.lower(shown(cell(column), dict(values.dtypes)[column])), F.lit(text.lower())))
 
 
 def ordering(by: Sequence[str | tuple[str, bool]], key: Sequence[str] = ()) -> list[Column]:
@@ -119,7 +120,7 @@ def page_after(df: DataFrame, key: str, last: Any, size: int = 15) -> DataFrame:
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, key: Sequence[str] = ()) -> DataFrame:
     """The first rows, every column as text (FLT-9); in key order where a key is named."""
     head = (df.orderBy(*[cell(k) for k in key]) if key else df).limit(rows)
-    return head.select(*[cell(c).cast("string").alias(c) for c in df.columns])
+    return head.select(*[shown(cell(c), t).alias(c) for c, t in df.dtypes])
 
 
 def anomaly_rows_only(df: DataFrame, anomalies: DataFrame, key: Sequence[str]) -> DataFrame:

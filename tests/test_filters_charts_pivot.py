@@ -180,3 +180,27 @@ def test_pivot_keeps_null_apart_from_the_text(rows):
         pivot(df, ["g"], [("v", "sum")], ["pivot_key"], max_columns=2)
     with pytest.raises(ValueError):
         pivot(df.withColumnRenamed("g", "is_total"), ["is_total"], [("v", "sum")])
+
+
+def test_numbers_as_users_write_them(spark):
+    numbers = [12345678.0, 0.0001, -98765432.125, 1e15, 123456789012345.6, 1e-5, 0.1, 5.0, 1e16, 1e-6, float("nan"), None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = [r.x for r in filters.preview(df, key=["i"]).collect()]
+    assert got == ["12345678.0", "0.0001", "-98765432.125", "1000000000000000.0", "123456789012345.6", "0.00001", "0.1", "5.0", "1.0E16", "1.0E-6", "NaN", None]
+    assert [r.i for r in filters.search(df.where("i < 5"), "12345678").sort("i").collect()] == [0, 4]
+    assert filters.distinct_values(df, "x", search="98765432.1").count() == 1
+
+
+def test_scatter_samples_are_the_same_on_any_layout(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 50).alias("a"), (F.col("id") * 7 % 31).cast("double").alias("b"))
+    one = charts.scatter(df, "a", "b", key=["id"], limit=200, sample=True)
+    two = charts.scatter(df.repartition(7), "a", "b", key=["id"], limit=200, sample=True)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 200
+    assert 60 < one.filter("a < 25").count() < 140
+    skewed = df.unionByName(spark.createDataFrame([(-1, 1000, 500.0)], df.schema))
+    cells = charts.scatter(skewed, "a", "b", key=["id"], limit=160, sample=True, grid=4).collect()
+    assert (1000.0, 500.0) in {tuple(r) for r in cells} and len(cells) == 11
+    assert charts.scatter(df.limit(0), "a", "b", key=["id"], sample=True, grid=3).count() == 0
+    for bad in ({"key": []}, {"key": ["id"], "grid": 2}):
+        with pytest.raises(ValueError, match="key|grid"):
+            charts.scatter(df.withColumn("a", F.lit("t")), "a", "b", sample=True, **bad)
