@@ -152,11 +152,12 @@ class _Member:
             raise WarcError(f"damaged member: {error}") from error
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes) -> bytes:
+        """What comes before ``mark``; a header is as long as its address, which has no bound."""
         begin = 0
         while (at := self.out.find(mark, begin)) < 0:
             begin = max(0, len(self.out) - len(mark) + 1)
-            if len(self.out) > most or not self.more():
+            if not self.more():
                 raise WarcError("a header without end")
         head, self.out = self.out[:at], self.out[at + len(mark):]
         return head

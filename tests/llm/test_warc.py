@@ -15,7 +15,7 @@ PAGES = [
     (5, "http://a/", COPY), (3, "http://b/\r\nX: y", COPY), (9, None, COPY), (None, "http://n/", COPY), (7, "u", "short"), (8, "u", "short"),
     (1, "u", None), (2, "u", ""), (4, "u", LONG), (6, "http://é/", "ü" * 60), (10, "u", "no key " * 30), (11, "u", "x" * 99), (12, "u", "x" * 99),
     (13, "u", "y" * 100), (14, "u", "y" * 100), (15, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 20), (20, "u", "z" * 200), (20, "u", "z" * 200), (21, "u", "z" * 200),
-    (None, "v", "w" * 300), (None, "w", "w" * 300),
+    (22, "http://long/" + "u" * 2_000_000, "v" * 150), (23, "http://long/" + "u" * 2_000_000, "v" * 150), (None, "v", "w" * 300), (None, "w", "w" * 300),
 ]
 SCHEMA = "page_id long, url string, html string"
 
