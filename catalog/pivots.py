@@ -25,6 +25,17 @@ def pivot_single(spark, sf):
     return result.toDF("l_returnflag", "f", "o", "is_total")
 
 
+def pivot_names(spark, sf):
+    """The columns of a pivot over two keys and two measures, by name and place, with the rows that have a value in each."""
+    result = pivot(
+        table(spark, sf, "orders"), ["o_orderpriority"], [("o_totalprice", "sum"), ("o_orderkey", "count")], ["o_orderstatus"], totals=None,
+    )
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.count(F.col(f"`{c}`")).alias("filled")) for i, c in enumerate(result.columns)
+    ])
+    return result.agg(cells.alias("c")).selectExpr("inline(c)")
+
+
 def pivot_multi_key(spark, sf):
     result = pivot(
         table(spark, sf, "lineitem"), ["l_returnflag"], [("l_orderkey", "count")], ["l_linestatus", "l_linenumber"]
@@ -86,6 +97,14 @@ _MULTI_SQL = (
 
 QUERIES = {
     "flagship_pivot": (flagship, _FLAG),
+    "pivot_names": (pivot_names, """
+        WITH cells AS (SELECT o_orderstatus AS status, count(DISTINCT o_orderpriority) AS filled, row_number() OVER (ORDER BY o_orderstatus) AS pos FROM orders GROUP BY 1),
+        named AS (
+          SELECT 0 AS place, 'o_orderpriority' AS name, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS filled
+          UNION ALL SELECT pos, 'sum(o_totalprice)_' || status, filled FROM cells
+          UNION ALL SELECT pos + (SELECT count(*) FROM cells), 'count(o_orderkey)_' || status, filled FROM cells
+          UNION ALL SELECT 2 * (SELECT count(*) FROM cells) + 1, 'is_total', (SELECT count(DISTINCT o_orderpriority) FROM orders))
+        SELECT CAST(place AS INTEGER) AS place, name, filled FROM named"""),
     "pivot_single": (pivot_single, """
 SELECT l_returnflag, CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='F')) AS DOUBLE) AS f,
        CAST(printf('%.2f', sum(l_extendedprice) FILTER (WHERE l_linestatus='O')) AS DOUBLE) AS o, false AS is_total

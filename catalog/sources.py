@@ -175,12 +175,29 @@ def ingest_csv(spark, sf):
     return typed.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+def header_warning(spark, sf):
+    """Files whose first row may be data: with a header, without one but with words, and without either."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    files = {"named": (orders, True), "words": (orders, False), "numbers": (orders.drop("o_orderpriority"), False)}
+    found = None
+    for name, (rows, header) in files.items():
+        path = scratch(spark, ".csv")
+        rows.coalesce(1).write.options(header=header, sep=",").csv(path)
+        got = ingest(spark, path, separator=",")
+        one = got.table.agg(F.lit(name).alias("file"), F.lit(got.header_warning).alias("warning"), F.count(F.lit(1)).alias("rows"))
+        found = one if found is None else found.union(one)
+    return found
+
+
 QUERIES = {
     "csv_scan": (csv_scan, "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"),
     "csv_scan_quoted": (csv_scan_quoted, "SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS title, CASE WHEN p_size <= 25 THEN CAST(p_size AS BIGINT) END AS size FROM part"),
     "csv_two_headers": (csv_two_headers, "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, NULL::VARCHAR AS beyond FROM part UNION ALL SELECT 0, 'long', 1, 'beyond'"),
     "csv_late_bad_cell": (csv_late_bad_cell, "SELECT p_partkey, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN '12.5 EUR' ELSE CAST(p_size AS VARCHAR) END AS size FROM part"),
     "csv_latin1": (csv_latin1, "SELECT doc_id, 'café ' || lang AS the FROM documents"),
+    "header_warning": (header_warning, """
+        SELECT 'named' AS file, false AS warning, count(*) AS rows FROM orders UNION ALL SELECT 'words', false, count(*) - 1 FROM orders
+        UNION ALL SELECT 'numbers', true, count(*) - 1 FROM orders"""),
     "csv_large_ids": (csv_large_ids, """
         SELECT o_orderkey, CAST('9' || lpad(CAST(o_orderkey AS VARCHAR), 17, '0') AS BIGINT) AS id18, CAST('9' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS BIGINT) AS id19,
                '1' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS id20, '7' || lpad(CAST(o_orderkey AS VARCHAR), 37, '0') AS id38,
