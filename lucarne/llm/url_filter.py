@@ -1,8 +1,8 @@
 """URL filters by Bloom filter cascades.
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains where the path starts with the rule's, and
-the longest rule decides. A page's candidate keys are every suffix of its host at a dot, with the beginning of its path at
-each length that occurs among the rules' paths. All distinct candidate keys of the corpus are the universe.
+the longest rule decides. A rule's shape is the number of its host's labels and the length of its path; a page's candidate keys are
+the suffix of its host and the beginning of its path of every shape that occurs among the rules. All distinct candidate keys of the corpus are the universe.
 
 Per list (block, allow) a cascade answers membership over that universe exactly: level 1 holds the listed keys, level 2 the
 unlisted keys of the universe that pass level 1, level 3 the listed keys that pass level 2, and so on until nothing passes
@@ -14,6 +14,7 @@ Only filters are broadcast; ``max_bytes`` bounds them all together, and a longer
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +38,15 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def candidate_keys(host: F.Column, path: F.Column, lengths: list[int]) -> F.Column:
-    """Host suffixes joined with path beginnings of the given lengths; empty hosts have none."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    heads = F.array_distinct(F.filter(F.array(*(F.when(F.length(path) >= n, path.substr(1, n)) for n in lengths)), lambda p: p.isNotNull()))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
+def candidate_keys(host: F.Column, path: F.Column, shapes: list[tuple[int, int]]) -> F.Column:
+    """Host suffixes of so many labels joined with path beginnings of such lengths; empty hosts have none.
+
+    Only shapes of rules are spelled out, so a host of any number of labels costs no more than one of few.
+    """
+    listed = F.from_json(F.lit(json.dumps([{"labels": m, "length": n} for m, n in shapes])), "array<struct<labels int, length int>>")
+    dots, long = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))), F.length(path)
+    fits = F.filter(listed, lambda x: (x["labels"] <= dots + 1) & (x["length"] <= long))
+    keys = F.transform(fits, lambda x: F.concat(F.call_function("substring_index", host, F.lit("."), -x["labels"]), F.substring(path, F.lit(1), x["length"])))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
@@ -167,22 +171,22 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "a
 
     ``rules`` has host, path and verdict (``block`` or ``allow``). Of rules that fit, the one with the longest text (host and
     path) decides; a rule listed twice counts once, one listed both ways blocks. Rows that no rule fits, null urls and urls
-    without a host get the verdict ``otherwise`` and a null rule. An empty rule list fits nothing.
+    without a host get the verdict ``otherwise`` and a null rule. An empty rule list fits nothing. Hosts and paths may have any
+    length. The driver sees the distinct shapes of the rules, two numbers each.
     """
     spark = df.sparkSession
     rules = rules.dropna(subset=["host", "path", "verdict"])
-    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("rules with over 1000 different path lengths are not supported")
+    labels = F.size(F.split("host", r"\.")).alias("labels")
+    shapes = sorted((r.labels, r.length) for r in rules.select(labels, F.length("path").alias("length")).distinct().toLocalIterator())
     made = ("host", "path", "rule", "verdict")
     kept = df.select(*(c for c in df.columns if c.lower() not in made))
     host, path = split_url(F.col(url))
     parts = kept.withColumns({"host": host, "path": path})
-    if not lengths:
+    if not shapes:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
 
     staging = Staging(spark, "url-keys")
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes)
     a, b = _hashes(F.col("key"))
     universe = staging.keep(parts.select("host", "path").distinct().select(F.explode(keys).alias("key")).select(a.alias("a"), b.alias("b")).distinct())
     wanted = rules.select(F.concat(F.col("host"), F.col("path")).alias("key"), "verdict").groupBy("key").agg(F.max("verdict").alias("verdict"))

@@ -38,6 +38,23 @@ def test_odd_urls(spark):
     assert {(r.rule, r.verdict) for r in judge(df, rules.limit(0)).collect()} == {(None, "allow")}
 
 
+def test_long_hosts_and_paths(spark):
+    """Hosts of many labels and paths of many characters take no more memory than their own text."""
+    urls = ["http://" + "a." * 20_000 + "net/x", "http://" + "b." * 20_000 + "org/fr/" + "y" * 1_000_000, "http://" + "." * 20_000 + "/", "http://x." + "example.net" + "/en/" + "é" * 50_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for r in judge(df, small_table(spark, RULES, "host string, path string, verdict string")).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, RULES)
+
+
+def test_many_path_lengths(spark):
+    """A rule of each of 1500 path lengths; the longest that fits decides."""
+    rules = [("x.net", "/" + "a" * n, "block" if n % 2 else "allow") for n in range(1500)]
+    urls = [f"http://w.x.net/{'a' * n}b" for n in (0, 1, 700, 1499, 1600)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for r in judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, rules)
+
+
 def test_cascade_is_exact(spark):
     """A coarse first level makes many false positives; the later levels take them all out."""
     pick = random.Random(3)
