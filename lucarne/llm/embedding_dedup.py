@@ -1,4 +1,4 @@
-"""Near duplicates among vectors by sorted projection passes, or by all pairs of a label where those cost less.
+"""Near duplicates among vectors by sorted projection passes.
 
 Equal vectors of a label are one class. In each pass a class, less the mean of its label, gets the signs of its products with
 random vectors, first sign first, as one number; classes are ordered by label and number, cut into blocks of ``window`` places, and every class is
@@ -8,8 +8,10 @@ these links over all passes are found on the cluster.
 
 The number of passes is measured for every label: from the counts of code prefixes comes the number of leading signs after which
 a prefix is no more common than a window, and from the distances to the label's mean the angle of a pair at the threshold once the
-mean is subtracted. Pairs at the threshold then meet with probability ``recall``. A label whose vectors lie close together needs
-many passes; as soon as those cost more than to compare all of its classes, the classes meet in pairs of blocks, without a miss.
+mean is subtracted. Pairs at the threshold then meet with probability ``recall``. Labels of any size are handled alike. Only where the
+measured angles ask for more than ``most_passes`` passes, or no number of passes tells pairs apart (a label around one dense
+spot), and comparing all classes costs less than its passes, its classes meet in pairs of blocks, without a miss; ``exact``
+asks for that everywhere.
 
 Links are then counted exactly inside each component: its classes meet in pairs of blocks, each a task of bounded size,
 and only counts leave it. A vector's links are all other vectors of its component at or above the threshold.
@@ -40,17 +42,6 @@ PASS_COST = 4096
 PILOT, STEP = 3, 2
 
 
-def passes_needed(largest: int, threshold: float, window: int, recall: float) -> int:
-    """Passes after which a pair at the threshold has met with probability ``recall`` if every sign halves a label evenly.
-
-    That is the least that any label needs. Two vectors at angle t agree on a random sign with probability 1 - t/pi; on log2(n / window) leading signs they agree, and
-    lie in one window of about that many vectors, with that power of it.
-    """
-    agree = 1 - math.acos(threshold) / math.pi
-    met = agree ** max(0.0, math.log2(max(1.0, largest / window)))
-    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
-
-
 def _unit(column: pd.Series) -> np.ndarray:
     rows = np.stack([np.asarray(v, dtype=np.float64) for v in column])
     return rows / np.linalg.norm(rows, axis=1)[:, None]
@@ -62,14 +53,6 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(vector.isNotNull() & whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _even_limit(threshold: float, window: int, recall: float) -> int:
-    """Classes of a label up to which even the least number of passes costs more than comparing all."""
-    limit = PASS_COST
-    while (more := PASS_COST * passes_needed(limit, threshold, window, recall)) > limit:
-        limit = more
-    return limit
-
-
 def _directions(part: pd.DataFrame) -> np.ndarray:
     """The unit vectors of classes of one length, less the mean of their label."""
     rows = np.stack([np.asarray(v, dtype=np.float64) for v in part["vector"]])
@@ -222,23 +205,20 @@ def _met(ordered: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def _links(classes: DataFrame, staging: Staging, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
+def _links(classes: DataFrame, staging: Staging, threshold: float, window: int, recall: float, seed: int, most_passes: int, exact: bool) -> DataFrame:
     """(a, b): linked classes, enough to join all components."""
     sized = classes.select("label", F.size("vector").alias("size"), "id", "vector")
     counts = staging.keep(sized.groupBy("label", "size").agg(F.count("*").alias("n")))
-    limit = _even_limit(threshold, window, recall)
-    if not counts.where(F.col("n") > limit).take(1):
+    if exact:
         return _all_pairs(sized.join(counts, ["label", "size"]), threshold)
-    large = sized.join(counts.where(F.col("n") > limit).drop("n"), ["label", "size"])
-    large = staging.keep(large.join(_centres(large), ["label", "size"]))
-    plan = counts.join(_measured(large, staging, threshold, window, recall, seed), ["label", "size"], "left")
-    in_passes = (F.col("n") > limit) & (F.col("n") > F.col("passes") * PASS_COST)
+    centred = staging.keep(sized.join(_centres(sized), ["label", "size"]))
+    plan = counts.join(_measured(centred, staging, threshold, window, recall, seed), ["label", "size"], "left")
+    in_passes = (F.col("passes") <= most_passes) | (F.col("n") > F.col("passes") * PASS_COST)
     plan = staging.keep(plan.select("label", "size", "n", F.when(in_passes, F.col("passes")).alias("passes")))
-    outright = _all_pairs(sized.join(plan.where(F.col("passes").isNull()).drop("passes"), ["label", "size"]), threshold)
-    if not plan.where(F.col("passes").isNotNull()).take(1):
-        return outright
-    coded = _codes(large.join(plan.where(F.col("passes").isNotNull()).drop("n"), ["label", "size"]), None, seed)
-    return outright.unionByName(_met(_ordered(coded.drop("far"), staging, window), threshold))
+    coded = _codes(centred.join(plan.where(F.col("passes").isNotNull()).drop("n"), ["label", "size"]), None, seed)
+    links = _met(_ordered(coded.drop("far"), staging, window), threshold)
+    outright = plan.where(F.col("passes").isNull()).drop("passes")
+    return links.unionByName(_all_pairs(sized.join(outright, ["label", "size"]), threshold)) if outright.take(1) else links
 
 
 def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -269,6 +249,7 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, window: int = 64, recall: float = 0.995, seed: int = 7,
+    most_passes: int = 256, exact: bool = False,
 ) -> DataFrame:
     """Per row: key, ``n_links``, ``component_id`` (the smallest key reachable by links, itself included) and ``kept``.
 
@@ -285,7 +266,7 @@ def near_duplicates(
     # Cosines do not change with the sign of a zero.
     clean = rows.where(good).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0).cast("float")))
     classes = staging.keep(clean.groupBy("label", "vector").agg(F.min("key").alias("id"), F.count("*").alias("copies")))
-    links = staging.keep(_links(classes, staging, threshold, window, recall, seed).distinct())
+    links = staging.keep(_links(classes, staging, threshold, window, recall, seed, most_passes, exact).distinct())
     roots = staging.keep(components(links, staging))
     members = classes.join(roots.withColumnRenamed("node", "id"), "id").select("root", "id", "copies", "vector")
     counts = _link_counts(members, threshold)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lucarne.llm import embedding_dedup
-from lucarne.llm.embedding_dedup import near_duplicates, passes_needed
+from lucarne.llm.embedding_dedup import near_duplicates
 from tests.llm.test_components import plain
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
@@ -70,9 +70,7 @@ def test_odd_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_passes():
-    assert passes_needed(10, 0.93, 64, 0.99) == 1
-    assert passes_needed(10**4, 0.93, 64, 0.99) < passes_needed(10**9, 0.93, 64, 0.99) < 200
+def test_threshold():
     with pytest.raises(ValueError):
         near_duplicates(None, threshold=1.0)
 
@@ -90,16 +88,34 @@ def narrow(seed, n, pairs, cosine=0.8, size=64):
     return [(k + 1, [float(x) for x in np.float32(vectors[i])], 0, "") for k, i in enumerate(order)]
 
 
-@pytest.mark.parametrize("pass_cost", [4096, 1])
-def test_label_around_one_direction(spark, monkeypatch, pass_cost):
-    monkeypatch.setattr(embedding_dedup, "PASS_COST", pass_cost)
+@pytest.mark.parametrize("outright", [False, True])
+def test_label_around_one_direction(spark, outright):
     rows = narrow(5, 2500, 250)
     unit = np.array([r[1] for r in rows])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     x, y = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))
     want = np.bincount(np.concatenate([x, y]), minlength=len(rows))
     # 16 of 2 750 places, as a window of 64 is among 11 000.
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), window=16).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), window=16, most_passes=1 << 20, exact=outright).collect()
     found = np.array([r.n_links for r in sorted(got, key=lambda r: r.vec_id)])
     assert (found <= want).all()
-    assert found.sum() >= 0.99 * want.sum() if pass_cost == 1 else (found == want).all()
+    assert found.sum() >= 0.99 * want.sum() if not outright else (found == want).all()
+
+
+def test_small_labels_go_through_passes(spark, monkeypatch):
+    """No label is too small for the passes: nothing is compared outright where the passes tell pairs apart."""
+    monkeypatch.setattr(embedding_dedup, "_all_pairs", None)
+    rows = narrow(6, 300, 40, cosine=0.2)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), window=16).collect()}
+    want = brute(rows)
+    assert sum(found[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+def test_one_dense_spot(spark):
+    """A label that is mostly one spot, which no sign parts, keeps every link."""
+    rng = np.random.default_rng(9)
+    spot = rng.standard_normal(16)
+    near = [spot + 0.02 * rng.standard_normal(16) for _ in range(400)] + [rng.standard_normal(16) for _ in range(50)]
+    rows = [(k, [float(x) for x in np.float32(v)], 0, "") for k, v in enumerate(near)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), window=16)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute(rows)
