@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from catalog.common import table
 from lucarne.operators import filters, profile
 from lucarne.operators.anomalies import detect_anomalies
+from lucarne.operators.pages import SortedPages
+
+#: Together they tell line items apart.
+PAGE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
 def filter_eq(spark, sf):
@@ -69,6 +73,12 @@ def page_after(spark, sf):
     return filters.page_after(table(spark, sf, "orders"), "o_orderkey", 100, size=20)
 
 
+def page_deep(spark, sf):
+    """The third page from the end of the line items by price."""
+    pages = SortedPages(table(spark, sf, "lineitem"), [("l_extendedprice", False)], PAGE_KEY)
+    return pages.page(pages.total // 15 - 2)
+
+
 def head_text(spark, sf):
     return filters.preview(table(spark, sf, "customer"), key=["c_custkey"])
 
@@ -119,6 +129,9 @@ QUERIES = {
     "sort_rows": (sort_rows, "SELECT * FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey"),
     "page_sorted": (page_sorted, "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 45"),
     "page_after": (page_after, "SELECT * FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 20"),
+    "page_deep": (page_deep, f"""
+        SELECT * FROM lineitem ORDER BY l_extendedprice DESC, {', '.join(PAGE_KEY)}
+        LIMIT 15 OFFSET (SELECT (count(*) // 15 - 2) * 15 FROM lineitem)"""),
     "head_text": (head_text, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 2000"),
     "anomaly_only_rows": (anomaly_only_rows, _EVENT_IQR + """
 SELECT e.* FROM events e WHERE EXISTS (SELECT 1 FROM s WHERE e.value < q1 - 2*(q3-q1) OR e.value > q3 + 2*(q3-q1))"""),

@@ -107,7 +107,7 @@ def sort_rows(df: DataFrame, by: Sequence[str | tuple[str, bool]], key: Sequence
 def page(
     df: DataFrame, by: Sequence[str | tuple[str, bool]], key: Sequence[str], number: int, size: int = 15
 ) -> DataFrame:
-    """Page ``number`` (from 0) of the sorted rows (FLT-8). For deep pages use ``page_after``."""
+    """Page ``number`` (from 0) of the sorted rows (FLT-8). For deep pages use ``page_after`` or ``pages.SortedPages``."""
     return df.orderBy(*ordering(by, key)).offset(number * size).limit(size)
 
 
