@@ -32,7 +32,7 @@ from lucarne.llm.bpe import ranges
 from lucarne.llm.shared import Staging, bounded_batches, fresh, slices
 
 #: Postings of a block, of a shard (about), and documents of a window.
-BLOCK, POSTINGS, WINDOW = 128, 4_000_000, 4096
+BLOCK, POSTINGS, WINDOW = 128, 1_000_000, 4096
 #: Pairs of query and term that are broadcast at once.
 ASKED = 500_000
 #: Letters, digits and all bytes from 0x80 on stay, A-Z in lower case; all else parts terms.
@@ -84,15 +84,16 @@ def shard_rows(shard: int, keys: np.ndarray, part: np.ndarray, names: list[bytes
     """The rows of one shard: its documents under the null term, then each term's list."""
     order = np.argsort(term, kind="stable")  # postings come by document
     term, doc, tf = term[order], doc[order], tf[order]
-    gain = gains(tf, part[doc])
+    del order
+    gain = gains(tf.astype(np.int64), part[doc]).astype(np.int32)  # at most a million
     opens = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
     count = np.diff(np.append(opens, len(term)))
-    inner = np.arange(len(term)) - np.repeat(opens, count)
-    start = np.flatnonzero(inner % BLOCK == 0)
     blocks = -(-count // BLOCK)
+    start = np.repeat(opens, blocks) + BLOCK * ranges(np.zeros_like(blocks), blocks)
     size = np.diff(np.append(start, len(term)))
     block = np.repeat(np.arange(len(start)), size)
-    gap = np.where(inner == 0, doc + 1, np.diff(doc, prepend=0))
+    gap = np.diff(doc, prepend=doc[:1])
+    gap[opens] = doc[opens] + 1
     gap_width, tf_width = _widths(np.maximum.reduceat(gap, start)), _widths(np.maximum.reduceat(tf, start))
     stored = size * (gap_width + tf_width)
     at = np.cumsum(stored) - stored
@@ -121,6 +122,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], documents: int, terms: int, post
 
     def flushed() -> pa.RecordBatch:
         keys, lengths, term, doc, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         return shard_rows(made, keys, length_part(lengths, documents, terms), list(number), term, doc, tf)
 
     rows = total = 0
@@ -136,12 +138,13 @@ def _indexed(batches: Iterator[pa.RecordBatch], documents: int, terms: int, post
             at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
             tf = np.diff(np.append(at, len(code)))
             own = lengths > 0
-            keys = part.column("key").to_numpy()[own]
-            held.append((keys, lengths[own], code[at] & 0xFFFFFFFF, (code[at] >> 32) + rows, tf))
+            keys, code = part.column("key").to_numpy()[own], code[at]
+            # A posting is held in twelve bytes: places in a shard and counts in a text are below 2**31.
+            held.append((keys, lengths[own], *(x.astype(np.int32) for x in (code & 0xFFFFFFFF, (code >> 32) + rows, tf))))
             rows, total = rows + len(keys), total + len(at)
             if total >= postings:
                 yield flushed()
-                held, rows, total, made = [], 0, 0, made + 1
+                rows, total, made = 0, 0, made + 1
                 number.clear()
     if total:
         yield flushed()

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -93,3 +94,23 @@ def test_query(spark, tables):
     docs, items = [(i, f"w{i % 7} w{i % 11} common W{i % 5}") for i in range(90)], [(i, f"w{i} common") for i in range(6)]
     folder = tables(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(tuple(r) for r in op12_maxscore(spark, folder).collect()) == brute(docs, items, 20)
+
+
+def test_a_task_holds_a_bounded_number_of_postings(monkeypatch):
+    """Building takes as much memory for three times as many postings, and the shards hold every one of them."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(maxscore, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 1)}))
+    text = [" ".join(map(str, rng.choice(60_000, 1000, replace=False))).encode() for _ in range(20)]
+
+    def peak(batches):
+        texts = ({"key": range(20 * i, 20 * i + 20), "text": text} for i in range(batches))
+        tracemalloc.start()
+        try:
+            rows = [sum(b.column("docs")[1:].to_pylist()) for b in maxscore._indexed((pa.RecordBatch.from_pydict(t) for t in texts), 1, 1, maxscore.POSTINGS)]
+            return tracemalloc.get_traced_memory()[1], sum(rows)
+        finally:
+            tracemalloc.stop()
+
+    (small, few), (large, many) = peak(55), peak(165)
+    assert (few, many) == (55 * 20_000, 165 * 20_000)
+    assert large < 1.2 * small and large < 150e6
