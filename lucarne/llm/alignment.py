@@ -1,9 +1,9 @@
 """Alignment of the tokens that two tokenizers make of the same text.
 
-Both encodings of a text spell the same bytes, so each token ends at a byte offset. A dictionary per side leads from each end to
-its token; the ends that both dictionaries hold, by intersection of their keys, sorted, are where both tokenizers cut. They
+Both encodings of a text spell the same bytes, so each token ends at a byte offset. A dictionary leads from each end of one side to
+its token; the ends of the other side that it holds, in order, are where both tokenizers cut. They
 slice the two id lists into groups that cover the same bytes, and the links of a group, all pairs of its tokens whose byte
-ranges overlap, are expanded slice by slice. Long texts pass through the dictionaries in windows of bytes.
+ranges overlap, are expanded slice by slice. Texts pass through the dictionary in windows of bytes.
 
 The first tokenizer is a byte-level BPE and encodes a space and the text; the second is a SentencePiece model, which puts that
 space itself. Special tokens are ordinary text to both. Texts that are null or empty, or that the second model does not spell
@@ -16,11 +16,11 @@ pairs, at most ``most`` by construction, as a broadcast, and pairs beyond them,
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +37,25 @@ PART = 2 << 20
 MOST = 2_000_000
 
 
-def common_ends(a_ends: list[int], b_ends: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
+def common_places(a_end: np.ndarray, b_end: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side end at or before each end that both have."""
-    a_cut, b_cut = [], []
+    a_cut, b_cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     p = q = 0
-    while p < len(a_ends):
-        limit = a_ends[p] + window
-        end_p, end_q = bisect_right(a_ends, limit, p), bisect_right(b_ends, limit, q)
-        a_index = dict(zip(a_ends[p:end_p], range(p + 1, end_p + 1), strict=True))
-        b_index = dict(zip(b_ends[q:end_q], range(q + 1, end_q + 1), strict=True))
-        common = sorted(a_index.keys() & b_index.keys())
-        a_cut += map(a_index.__getitem__, common)
-        b_cut += map(b_index.__getitem__, common)
+    while p < len(a_end):
+        limit = a_end[p] + window
+        end_p, end_q = (int(np.searchsorted(x, limit, side="right")) for x in (a_end, b_end))
+        # A dictionary from each end of the first side to its token, asked for each end of the second.
+        place = pc.index_in(pa.array(b_end[q:end_q]), value_set=pa.array(a_end[p:end_p]))
+        a_cut.append(place.drop_null().to_numpy() + np.int64(p + 1))
+        b_cut.append(np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False)) + (q + 1))
         p, q = end_p, end_q
-    return a_cut, b_cut
+    return np.concatenate(a_cut), np.concatenate(b_cut)
+
+
+def common_ends(a_ends: list[int], b_ends: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
+    """The same for the ends of one text as lists."""
+    a_cut, b_cut = common_places(np.array(a_ends, dtype=np.int64), np.array(b_ends, dtype=np.int64), window)
+    return a_cut.tolist(), b_cut.tolist()
 
 
 def links(a_end: np.ndarray, b_end: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +80,9 @@ class Aligner:
 
     def __init__(self, byte_model: bytes, piece_model: bytes):
         self.a, self.b = bpe.loaded(byte_model), pieces._loaded(piece_model)
-        # Each id of either side as it is written inside its side of a group, and at its end.
-        self.name = [f"{i}{end}" for ends, size in ((",|", self.a.size), (",;", self.b.size)) for i in range(size) for end in ends]
+        # Each id of either side as it is written inside its side of a group and at its end, and of the second at the end of a text.
+        names = [f"{i}{end}" for ends, size in ((",|", self.a.size), ((",", ";", ""), self.b.size)) for i in range(size) for end in ends]
+        self.name = pa.array(names, type=pa.large_string())
 
     def __call__(self, column: pa.Array) -> list[pa.Array]:
         """groups, n_a, n_b, n_groups, n_links, distinct pairs and how often each is linked, of all texts."""
@@ -91,14 +97,10 @@ class Aligner:
         a, b, a_count, b_count = self._spelled("".join(spaced).encode(), a, b, a_count, b_count)
         a_end, b_end = np.cumsum(self.a.token_size[a]), np.cumsum(self.b.text_size[b])
         a_at, b_at = (np.concatenate([[0], np.cumsum(x)]) for x in (a_count, b_count))
-        a_cut, b_cut, groups = [], [], []
-        a_list, b_list = a_end.tolist(), b_end.tolist()
-        for i, m, j, n in zip(a_at.tolist(), a_at[1:].tolist(), b_at.tolist(), b_at[1:].tolist(), strict=False):
-            a_own, b_own = common_ends(a_list[i:m], b_list[j:n])
-            a_cut.append(np.array(a_own, dtype=np.int64) + i)
-            b_cut.append(np.array(b_own, dtype=np.int64) + j)
-            groups.append(len(a_own))
-        a_cut, b_cut = (np.concatenate([[0], *x]).astype(np.int64) for x in (a_cut, b_cut))
+        # Every text ends where both sides end, so all texts of the part are one line of ends.
+        a_cut, b_cut = common_places(a_end, b_end)
+        groups = np.diff(np.searchsorted(a_cut, a_at, side="right"))
+        a_cut, b_cut = (np.concatenate([[0], x]) for x in (a_cut, b_cut))
         x, y = links(a_end, b_end, a_cut, b_cut)
         owner = np.repeat(np.arange(len(texts)), a_count)[x]
         total = self.a.size * self.b.size
@@ -106,9 +108,9 @@ class Aligner:
         at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code[at] // total, minlength=len(texts)))]).astype(np.int32))
         often = np.diff(np.append(at, len(code))).astype(np.int32)
-        numbers = (a_count, b_count, np.array(groups, dtype=np.int64), np.bincount(owner, minlength=len(texts)))
+        numbers = (a_count, b_count, groups, np.bincount(owner, minlength=len(texts)))
         return [
-            pa.array(self._written(a, b, a_at + b_at, a_cut, b_cut), type=pa.string()), *(pa.array(c.astype(np.int64)) for c in numbers),
+            self._written(a, b, a_at + b_at, a_cut, b_cut), *(pa.array(c.astype(np.int64)) for c in numbers),
             pa.ListArray.from_arrays(ends, pa.array(code[at] % total)), pa.ListArray.from_arrays(ends, pa.array(often)),
         ]
 
@@ -123,14 +125,20 @@ class Aligner:
         same = np.array([np.array_equal(byte[i:m], b_byte[j:n]) for i, m, j, n in zip(a_text, a_text[1:], b_text, b_text[1:], strict=False)])
         return a[np.repeat(same, a_count)], b[np.repeat(same, b_count)], a_count * same, b_count * same
 
-    def _written(self, a: np.ndarray, b: np.ndarray, text_at: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> list[str]:
+    def _written(self, a: np.ndarray, b: np.ndarray, text_at: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> pa.Array:
         """The groups of each text: the ids of both sides in the order of their slices, each with what follows it."""
         a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         a_last[a_cut[1:] - 1] = b_last[b_cut[1:] - 1] = 1
         name = np.empty(len(a) + len(b), dtype=np.int64)
         name[np.arange(len(a)) + np.repeat(b_cut[:-1], np.diff(a_cut))] = 2 * a + a_last
-        name[np.arange(len(b)) + np.repeat(a_cut[1:], np.diff(b_cut))] = 2 * (self.a.size + b) + b_last
-        return ["".join(map(self.name.__getitem__, name[i:m].tolist()))[:-1] for i, m in zip(text_at, text_at[1:], strict=False)]
+        name[np.arange(len(b)) + np.repeat(a_cut[1:], np.diff(b_cut))] = 2 * self.a.size + 3 * b + b_last
+        name[text_at[1:][np.diff(text_at) > 0] - 1] += 1
+        if not len(name):
+            return pa.array([""] * (len(text_at) - 1), type=pa.string())
+        # Names that follow each other in a text follow each other in memory: the texts are cut from it.
+        _, ends, flat = self.name.take(pa.array(name)).buffers()
+        cut = np.frombuffer(ends, dtype=np.int64, count=len(name) + 1)[text_at]
+        return pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), flat).cast(pa.string())
 
 
 _LOADED: dict[tuple[bytes, bytes], Aligner] = {}

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from lucarne.llm.pieces import _packed as packed
 from lucarne.llm.pieces import _ranges as ranges
 from lucarne.llm.pieces import _with_columns as with_columns
+from lucarne.llm.shared import distinct
 
 #: Fragments of more bytes are merged through a heap.
 LONG = 512
@@ -296,14 +297,14 @@ class BytePairs:
         """Flat ids of all texts (an Arrow array of strings) and the count of each."""
         raw, offsets = utf8(texts)
         at, special, special_id = self._cuts(raw, offsets, specials)
-        bounds = np.append(at, len(raw)).tolist()
+        bounds = np.append(at, len(raw))
         counts, out = np.zeros(len(at), dtype=np.int64), []
         for begin in range(0, len(at), STEP):
             end = min(len(at), begin + STEP)
-            fragments = [raw[a:b] for a, b in pairwise(bounds[begin:end + 1])]
+            fragments, which = distinct(raw, bounds[begin:end + 1])
             if self.held > KEPT_BYTES:
                 self._forget()
-            item = np.fromiter(map(self.known.__getitem__, fragments), dtype=np.int64, count=len(fragments))
+            item = np.fromiter(map(self.known.__getitem__, fragments), dtype=np.int64, count=len(fragments))[which]
             if self.known.met:
                 self._learn(self.known.take())
             count = self.count[item]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lucarne.llm.shared import reachable, slices
+from lucarne.llm.shared import distinct, reachable, slices
 
 SPACE = "▁"
 #: Words whose encoding a task keeps before it starts anew.
@@ -237,14 +237,19 @@ class Pieces:
 
     def encode(self, texts: list[str | None], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their counts, with begin and end ids if ``ends``."""
-        parts = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        # A space before each text, so that every word begins with one.
+        spaced = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
+        raw = "".join(spaced).encode("utf-8", "surrogatepass")
+        spaces = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 0x20)
+        met, which = distinct(raw, np.append(spaces, len(raw)))
+        words = [w[1:].decode("utf-8", "surrogatepass") for w in met]
         if len(self.words) > KEPT_WORDS:
             self._forget()
-        unknown = list({w for p in parts for w in p}.difference(self.words))
+        unknown = [w for w in words if w not in self.words]
         if unknown:
             self._learn(unknown)
-        items = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(parts)), dtype=np.int64)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        items = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))[which]
+        sizes = np.array([t.count(" ") for t in spaced], dtype=np.int64)
         ends_at = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
         full = items > 0

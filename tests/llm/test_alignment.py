@@ -105,3 +105,13 @@ def test_query(spark, tables, brute, sha):
     for r in got:
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum) == want[r.doc_id][:6]
         assert r.groups_sha256 == (sha(want[r.doc_id][6].encode()) if r.n_a else "")
+
+
+def test_ends_of_several_texts_meet_in_one_go():
+    """The ends of all texts of a part are one array; windows part it anywhere."""
+    rng = np.random.default_rng(3)
+    a_end, b_end = (np.unique(np.append(rng.integers(1, 4000, 1500), 4000)) for _ in range(2))
+    common = np.intersect1d(a_end, b_end)
+    for window in (0, 7, 1000, 1 << 20):
+        a_cut, b_cut = alignment.common_places(a_end, b_end, window)
+        assert (a_end[a_cut - 1] == common).all() and (b_end[b_cut - 1] == common).all()

@@ -118,3 +118,17 @@ def test_query(spark, tables, libraries, sha):
         want = libraries[0].encode(ODD[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(want), sha(np.array(want, "<u4").tobytes()))
         assert r.decoded_sha256 == sha(libraries[0].decode(want, skip_special_tokens=False).encode())
+
+
+def test_a_batch_asks_for_each_fragment_once(monkeypatch):
+    asked = []
+
+    class Counted(bpe._Numbers):
+        def __getitem__(self, fragment):
+            asked.append(fragment)
+            return super().__getitem__(fragment)
+
+    monkeypatch.setattr(bpe, "_Numbers", Counted)
+    ids, counts = BytePairs(MODEL).encode(pa.array([" word other" * 500, None, " word"], pa.string()))
+    assert sorted(set(asked)) == [b" other", b" word"] and len(asked) < 10
+    assert counts.tolist() == [1000, 0, 1] and len(set(ids.tolist())) == 2
