@@ -116,3 +116,10 @@ def test_sets_and_sketch_bound():
             a, b = (set(sets[ends[x] - counts[x]:ends[x]].tolist()) for x in (i, j))
             apart = np.abs(np.frombuffer(rows[i], np.uint8).astype(int) - np.frombuffer(rows[j], np.uint8)).sum()
             assert apart <= len(a ^ b)
+
+
+def test_words_are_hashed_without_a_table():
+    words = Words()
+    got = words([b"one", b"two", b"one"]).tolist()
+    assert got == [ngram_join.xxhash.xxh3_64_intdigest(w) for w in (b"one", b"two", b"one")]
+    assert not vars(words)
