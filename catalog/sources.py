@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.common import scratch, table
@@ -17,6 +16,12 @@ def _lines(df, path, sep, encoding="UTF-8"):
     return path
 
 
+def _with_last(df, key):
+    """``df`` with ``last``: whether a row has the largest key. That key is one row, so no task gets the whole table."""
+    largest = df.agg(F.max(key).alias("largest"))
+    return df.crossJoin(F.broadcast(largest)).withColumn("last", F.col(key) == F.col("largest")).drop("largest")
+
+
 def csv_scan(spark, sf):
     return tables.read_table(spark, _lines(table(spark, sf, "part"), scratch(spark, ".csv"), ";"))
 
@@ -47,8 +52,8 @@ def csv_two_headers(spark, sf):
 
 def csv_late_bad_cell(spark, sf):
     """Whole numbers but for one cell in the last row: the column stays text and loses nothing."""
-    part = table(spark, sf, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") == F.max("p_partkey").over(Window.partitionBy()), "12.5 EUR").otherwise(F.col("p_size").cast("string")).alias("size"),
+    part = _with_last(table(spark, sf, "part"), "p_partkey").select(
+        "p_partkey", F.when(F.col("last"), "12.5 EUR").otherwise(F.col("p_size").cast("string")).alias("size"),
     )
     return tables.read_table(spark, _lines(part.orderBy("p_partkey"), scratch(spark, ".csv"), ","), separator=",")
 
@@ -61,11 +66,10 @@ def csv_latin1(spark, sf):
 def csv_large_ids(spark, sf):
     """Ids of 18 to 38 digits, and whole numbers of 18 digits but for one fraction: no two of them become one value."""
     key = F.col("o_orderkey").cast("string")
-    last = F.col("o_orderkey") == F.max("o_orderkey").over(Window.partitionBy())
-    ids = table(spark, sf, "orders").select(
+    ids = _with_last(table(spark, sf, "orders"), "o_orderkey").select(
         "o_orderkey",
         *[F.concat(F.lit(lead), F.lpad(key, digits - 1, "0")).alias(f"id{digits}") for digits, lead in ((18, "9"), (19, "9"), (20, "1"), (38, "7"))],
-        F.concat(F.lit("3"), F.lpad(key, 17, "0"), F.when(last, F.lit(".5")).otherwise("")).alias("mostly_whole"),
+        F.concat(F.lit("3"), F.lpad(key, 17, "0"), F.when(F.col("last"), F.lit(".5")).otherwise("")).alias("mostly_whole"),
         F.concat(F.lit("0.1"), F.lpad(key, 20, "0"), F.lit("1")).alias("fine"),
     )
     read = tables.read_table(spark, _lines(ids, scratch(spark, ".csv"), ","), separator=",")

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.sources import _with_last
 from lucarne.operators import calculated
 from lucarne.operators.anomalies import detect_anomalies
 from lucarne.operators.cleaning import TableError
@@ -307,3 +308,14 @@ def test_line_breaks_in_quotes_are_found(spark, put, tmp_path):
     assert tables.read_table(spark, f"{tmp_path}/a.csv", separator=",", multi_line=False).count() > 2
     wide = put("wide.csv", b"\xff\xfe" + 'a,b\n"x\ny",1\n'.encode("utf-16-le"))
     assert [tuple(r) for r in tables.read_table(spark, wide, separator=",").collect()] == [("x\ny", 1)]
+
+
+def test_the_last_key_is_found_without_a_window_over_the_table(spark, capsys):
+    """Rows stay where they are; equal largest keys are all last, and a null key never is."""
+    rows = spark.createDataFrame([(1,), (7,), (None,), (7,)], "k long").repartition(3)
+    got = _with_last(rows, "k")
+    assert sorted(((r.k, r.last) for r in got.collect()), key=str) == [(1, False), (7, True), (7, True), (None, None)]
+    assert _with_last(rows.where("k is null"), "k").collect()[0].last is None
+    assert _with_last(rows.limit(0), "k").count() == 0
+    got.explain()
+    assert "Window" not in capsys.readouterr().out
