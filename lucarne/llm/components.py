@@ -2,7 +2,8 @@
 
 Both steps link the neighbours of a node to the smallest of them: the larger ones in one step, the smaller ones in the
 other. Each is a minimum per node, combined before its shuffle, and a join back on the node that Spark can split where a node
-has very many edges; nothing gathers a node's edges. The table is written after every round, so lineage stays short.
+has very many edges; nothing gathers a node's edges. The table is written after every round, so lineage stays short, and in as
+few files as its edges ask for.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucarne.llm.shared import Staging
+from lucarne.llm.shared import Staging, few
 
 
 def _linked(near: DataFrame) -> DataFrame:
@@ -34,19 +35,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, staging: Staging) -> DataFrame:
     """``node`` and ``root``, the smallest node that it reaches, for every node of ``edges`` (columns a and b, of one type).
 
-    Loops, repeated edges and nulls in either column are allowed and add nothing. No edges give an empty table.
+    Loops, repeated edges and nulls in either column are allowed and add nothing. No edges give an empty table. The edges are
+    read twice, so they should be a table.
     """
+    most = edges.count()
     edges = edges.select("a", "b").where("a <> b").distinct()
     state, before, path = None, None, None
     while True:
-        edges, new_path = staging.write(edges)
+        edges, new_path = staging.write(few(edges, most, 16))
         if path is not None:
             staging.drop(path)
         path = new_path
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if state == before or state.n == 0:
             break
-        before = state
+        before, most = state, 2 * state.n  # a round adds one edge for each node at most
         edges = _small_star(_large_star(edges).distinct()).distinct()
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    roots = few(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), state.n, 16)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lucarne.llm.shared import WORD, Staging, fresh
+from lucarne.llm.shared import WORD, Staging, few, fresh
 
 #: Expected documents of one size in one counting bucket.
 BUCKET = 4096
@@ -127,7 +127,7 @@ def mix(df: DataFrame, size: Column, source: str = "source", weights: tuple[floa
     )
     staging = Staging(df.sparkSession, "mixing")
     thin = staging.keep(rows.select(F.col(source).cast("string").alias("source"), F.col(src).alias("src"), "size", F.col(mixed).alias("mixed")))
-    counts = staging.keep(thin.groupBy("src", "size").agg(F.count("*").alias("n")))
+    counts = staging.keep(few(thin.groupBy("src", "size").agg(F.count("*").alias("n")), thin.count(), 32))
     sources = thin.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = staging.keep(shared_targets(sources, list(weights), share, most))
     balanced = balance(counts, targets.select("src", "source_size", "target"), staging, most)

@@ -8,6 +8,7 @@ import pytest
 
 from lucarne.llm import ngram_join
 from lucarne.llm.ngram_join import Words, bands, class_ids, linked_components, most_differences, shingle_sets, signatures
+from lucarne.llm.shared import Staging
 from tests.llm.test_components import plain
 
 
@@ -67,6 +68,30 @@ def test_random_corpus_in_small_blocks(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_small_tables_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions, small tables are not written in a file of each."""
+    written, write = [], Staging.write
+
+    def counted(self, df):
+        out = write(self, df)
+        written.append(len(out[0].inputFiles()))
+        return out
+
+    monkeypatch.setattr(Staging, "write", counted)
+    rows = corpus(3)
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        assert found(spark, rows) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Pairs of blocks are as many as they are; nothing else of this corpus fills a file.
+    assert sorted(written)[-2] <= 4 and sum(written) <= 2 * len(written) + 40
+
+
 def test_other_threshold(spark):
     rows = corpus(3, 120)
     assert found(spark, rows, words=2, percent=60) == brute(rows, 2, 60)
