@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucarne.llm.shared import Staging, bounded_batches, fresh, slices
+from lucarne.llm.shared import BATCH, PIECE, Staging, bounded_batches, fresh, slices
 
 BUCKETS = 1 << 14
 #: Trigrams that a text counts for at most.
@@ -77,7 +77,7 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for begin, end in slices(batch, text, 1 << 20):
+            for begin, end in slices(batch, text, PIECE):
                 part = batch.slice(begin, end - begin)
                 names, which = np.unique(part.column(label).to_pylist(), return_inverse=True)
                 for owner, bucket in trigrams(part.column(text).to_pylist()):
@@ -90,9 +90,10 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
                         counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))[code[own] - k * BUCKETS] += often[own]
         yield from flushed(counts)
 
+    spark = bounded_batches(df.sparkSession, BATCH)
     labelled = df.where(F.col(label).isNotNull()).select(primary(F.col(label)).alias(label), text).where(F.col(label) != "")
     counted = labelled.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    counted = Staging(df.sparkSession, "language-model").keep(counted)
+    counted = Staging(spark, "language-model").keep(counted)
     most = max_bytes // (4 * BUCKETS) - 1
     names = sorted(r.label for r in counted.select("label").distinct().where(F.col("label") != NONE).limit(most + 1).collect())
     if len(names) > most:
@@ -110,14 +111,14 @@ def train(df: DataFrame, text: str, label: str, least: int = 1000, smoothing: fl
 
 def read_text(df: DataFrame, model: tuple[list[str], np.ndarray], text: Column) -> DataFrame:
     """The rows with ``likelihood`` (per language), ``best`` (its index) and ``trigrams``; only the text goes to Python, once."""
-    shared = bounded_batches(df.sparkSession).sparkContext.broadcast(model[1].astype(np.float32))
+    shared = bounded_batches(df.sparkSession, BATCH).sparkContext.broadcast(model[1].astype(np.float32))
 
     @F.arrow_udf("struct<likelihood: array<double>, best: int, trigrams: bigint>")
     def read(texts: pa.Array) -> pa.Array:
         table = shared.value
         held, bests, counts = [], [], []
         batch = pa.record_batch([texts], ["text"])
-        for begin, end in slices(batch, "text", 1 << 20):
+        for begin, end in slices(batch, "text", PIECE):
             size = end - begin
             total, n = np.zeros((len(table), size)), np.zeros(size)
             for owner, bucket in trigrams(texts.slice(begin, size).to_pylist()):

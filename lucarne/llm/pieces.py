@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lucarne.llm.shared import distinct, reachable, slices
+from lucarne.llm.shared import BATCH, bounded_batches, distinct, reachable, slices
 
 SPACE = "▁"
 #: Words whose encoding a task keeps before it starts anew.
 KEPT_WORDS = 300_000
+#: Bytes of texts encoded in one go; smaller parts meet the same words more often.
+PART = 1 << 20
 
 
 class Pieces:
@@ -348,7 +350,7 @@ def read_model(path: str) -> bytes:
 
 def _with_columns(df: DataFrame, columns: list[T.StructField], over: str, make) -> DataFrame:
     """Each row with new columns at its end; columns of the same names are replaced."""
-    reachable(df.sparkSession)
+    bounded_batches(reachable(df.sparkSession), BATCH)
     names = {c.name.lower() for c in columns}
     kept = [f for f in df.schema.fields if f.name.lower() not in names or f.name == over]
     schema = T.StructType([f for f in kept if f.name.lower() not in names] + columns)
@@ -357,7 +359,7 @@ def _with_columns(df: DataFrame, columns: list[T.StructField], over: str, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in slices(batch, over):
+            for begin, end in slices(batch, over, PART):
                 part = batch.slice(begin, end - begin)
                 made = make(part.column(over))
                 fresh = [a.cast(arrow.field(c.name).type) for c, a in zip(columns, made, strict=True)]

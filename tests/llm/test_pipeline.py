@@ -1,13 +1,18 @@
 """Every stage of the pipeline beside a plain version of it, on its own input."""
 
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpus_pipeline import STAGES, run
+from lucarne.llm import language, ngram_join
 from lucarne.llm.queries import piece_model
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_ngram_join import brute
@@ -112,3 +117,61 @@ def test_columns_called_like_those_of_operators(spark, folder):
         assert got.columns == docs.columns, name
         rows = got.collect()
         assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+
+
+@pytest.mark.parametrize("name", ["language", "near_copies", "tokens"])
+def test_batches_of_bytes(spark, folder, name):
+    """Stages with Python workers hand them batches of 4 MB at most, whatever the session's setting was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        dict(STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet").limit(50), folder).count()
+        assert int(spark.conf.get(key)) <= 4 << 20
+        sizes = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("word "), 1000).alias("text")).mapInArrow(_sizes, "size long")
+        assert max(r.size for r in sizes.collect()) <= 5 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["size"])
+
+
+class Captured:
+    """In place of a DataFrame: keeps the function that its workers would run."""
+
+    schema = T.StructType([T.StructField("row", T.LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("made", ["profiles", "signatures", "trigrams"])
+def test_memory_of_workers(monkeypatch, made):
+    """Memory of a task over 4 MB of texts stays near the size of a batch, as workers keep what they have once held."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, 300)) for _ in range(1700)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string() if made == "trigrams" else pa.binary()), "row": range(1700), "text_hash": range(1700)})
+    if made == "profiles":
+        task = ngram_join.profiles(Captured(), 5)
+    elif made == "signatures":
+        task = ngram_join._all_signatures(Captured(), 5, 80)
+    else:
+        kept, table = [], SimpleNamespace(value=rng.random((8, language.BUCKETS)).astype(np.float32))
+        monkeypatch.setattr(language, "bounded_batches", lambda *a: SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: table)))
+        monkeypatch.setattr(language.F, "arrow_udf", lambda schema: lambda read: lambda column: read)
+        frame = SimpleNamespace(columns=[], sparkSession=None, select=lambda *c: None)
+        frame.withColumn = lambda name, read: kept.append(read) or frame
+        language.read_text(frame, ([], table.value), None)
+        task = lambda batches: (kept[0](b.column("text")) for b in batches)
+    tracemalloc.start()
+    for _ in task(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < (24 if made == "trigrams" else 10) << 20
